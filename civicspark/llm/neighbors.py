@@ -23,13 +23,13 @@ SAMPLE_ROWS = 24_000
 #: Queries whose exact neighbours calibrate the number of visits.
 CALIBRATION_QUERIES = 400
 #: Children of a node.
-BRANCHES = 12
+BRANCHES = 16
 #: Leaves of a tree, at most: bounds the size of what is sent to the executors.
 MAX_LEAVES = 32_768
 #: Vectors of a leaf, on average.
-LEAF_ROWS = 220
+LEAF_ROWS = 1600
 #: Vectors of a shard of a leaf, on average at most.
-SHARD_ROWS = 3_000
+SHARD_ROWS = 6_000
 #: Leaves that a query may visit before calibration gives up widening.
 MAX_VISITS = 64
 
@@ -45,9 +45,14 @@ class Tree:
         self.centres, self.children, self.leaf = centres, children, leaf
         self.squares = (centres**2).sum(1)
         self.leaves = int(leaf.max()) + 1
+        # squared distances between the children of each node
+        near = centres[children]
+        self.apart = ((near[:, :, None, :] - near[:, None, :, :]) ** 2).sum(-1) if len(centres) * children.shape[1] ** 2 * centres.shape[1] < 1 << 24 else np.stack(
+            [((c[:, None] - c[None]) ** 2).sum(-1) for c in near]
+        )
 
     @staticmethod
-    def fit(x: np.ndarray, leaf_rows: float, branches: int = BRANCHES, rounds: int = 6) -> Tree:
+    def fit(x: np.ndarray, leaf_rows: float, branches: int = BRANCHES, rounds: int = 10) -> Tree:
         """The tree of ``x``, whose leaves hold at most ``leaf_rows`` rows of it, by Lloyd's iteration."""
         rng = np.random.default_rng(7)
         centres, children, leaf, leaves = [x.mean(0) if len(x) else np.zeros(x.shape[1], np.float32)], [[]], [-1], 0
@@ -82,12 +87,18 @@ class Tree:
             table[n, : len(below)] = below
         return Tree(np.asarray(centres, np.float32), table, np.asarray(leaf, np.int32))
 
-    def _scores(self, x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Squared distances, less the squared norm of x, to the children of each row's node."""
+    def _detours(self, x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Squared distances from each row to the boundaries between the cell it falls in and its siblings.
+
+        0 for the nearest child of the row's node; infinite where there is no child.
+        """
         below = self.children[nodes]
         d = self.squares[below] - 2 * np.einsum("ijk,ik->ij", self.centres[below], x, optimize=False)
         d[below < 0] = np.inf
-        return d
+        best = d.argmin(1)
+        ahead = d - d[np.arange(len(d)), best][:, None]
+        gap = np.maximum(self.apart[nodes, best], 1e-12)
+        return np.where(np.isfinite(ahead), ahead**2 / (4 * gap), np.inf)
 
     def home(self, x: np.ndarray) -> np.ndarray:
         """The leaf in which each row of x is stored."""
@@ -102,43 +113,45 @@ class Tree:
             inner = inner[self.leaf[nodes[inner]] < 0]
         return self.leaf[nodes]
 
-    def visits(self, x: np.ndarray, most: int) -> np.ndarray:
-        """The leaves that each row of x visits, in order, ``most`` of them (-1 where there are fewer).
+    def visits(self, x: np.ndarray, most: int, widest: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves that each row of x visits, in order (-1 where there are fewer), and their detours.
 
-        All rows go through their own priority queue at once: in each step a
-        row takes the nearest node from its queue, and either visits it, if it
-        is a leaf, or puts the node's children in.
+        A node's detour is the sum of the squared distances to the cell
+        boundaries that are crossed on the way to it.  All rows go through
+        their own priority queue at once: in each step a row takes the node
+        with the smallest detour, and either visits it, if it is a leaf, or
+        puts the node's children in.  A row ends after ``most`` leaves, or
+        when no node within the detour ``widest`` is left.
         """
-        n, most = len(x), min(most, self.leaves)
-        out, found = np.full((n, most), -1, np.int32), np.zeros(n, np.int64)
-        room = 4 * self.children.shape[1]
-        queue, cost = np.zeros((n, room), np.int32), np.full((n, room), np.inf, np.float32)
+        n, most, w = len(x), min(most, self.leaves), self.children.shape[1]
+        out, costs, found = np.full((n, most), -1, np.int32), np.full((n, most), np.inf, np.float32), np.zeros(n, np.int64)
+        queue, cost = np.zeros((n, 4 * w), np.int32), np.full((n, 4 * w), np.inf, np.float32)
         used = np.ones(n, np.int64)
         cost[:, 0] = 0
         live = np.arange(n)
         while len(live):
             at = cost[live].argmin(1)
             best = cost[live, at]
-            keep = np.isfinite(best)
-            live, at = live[keep], at[keep]
+            keep = np.isfinite(best) & (best <= widest)
+            live, at, best = live[keep], at[keep], best[keep]
             nodes = queue[live, at]
             cost[live, at] = np.inf
             is_leaf = self.leaf[nodes] >= 0
             done = live[is_leaf]
             out[done, found[done]] = self.leaf[nodes[is_leaf]]
+            costs[done, found[done]] = best[is_leaf]
             found[done] += 1
             grow, parents = live[~is_leaf], nodes[~is_leaf]
             if len(grow):
-                w = self.children.shape[1]
                 if used[grow].max() + w > queue.shape[1]:
+                    cost = np.pad(cost, ((0, 0), (0, queue.shape[1])), constant_values=np.inf)
                     queue = np.pad(queue, ((0, 0), (0, queue.shape[1])))
-                    cost = np.pad(cost, ((0, 0), (0, cost.shape[1])), constant_values=np.inf)
                 place = used[grow][:, None] + np.arange(w)
                 queue[grow[:, None], place] = self.children[parents]
-                cost[grow[:, None], place] = self._scores(x[grow], parents)
+                cost[grow[:, None], place] = best[~is_leaf][:, None] + self._detours(x[grow], parents)
                 used[grow] += w
             live = live[found[live] < most]
-        return out
+        return out, costs
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,14 +218,14 @@ def _sample(units: DataFrame, rows: int, limit: int, width: int, salt: str) -> t
     return picked.column("id").to_pylist(), _rows(picked.column("vec"), width) if picked.num_rows else np.zeros((0, width), np.float32)
 
 
-def _calibrate(base: DataFrame, tree: Tree, ids: list, queries: np.ndarray, k: int, least: float, recall: float) -> int:
-    """The number of visits that finds the share ``recall`` of the queries' exact neighbours.
+def _calibrate(base: DataFrame, tree: Tree, ids: list, queries: np.ndarray, k: int, least: float, recall: float) -> float:
+    """The detour within which the share ``recall`` of the queries' exact neighbours lies.
 
     The queries, a bounded set, are held against all rows; of each batch of
     rows only the k best of each query are kept.
     """
     if not len(ids):
-        return 1
+        return 0.0
     own = {v: i for i, v in enumerate(ids)}
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,14 +251,13 @@ def _calibrate(base: DataFrame, tree: Tree, ids: list, queries: np.ndarray, k: i
         .select("q", F.explode("best.leaf").alias("leaf")).toPandas()
     )
     if not len(found):
-        return 1
-    order = tree.visits(queries, MAX_VISITS)
-    rank = np.full(len(found), MAX_VISITS)
-    hit = order[found["q"].to_numpy()] == found["leaf"].to_numpy()[:, None]
-    rank[hit.any(1)] = hit.argmax(1)[hit.any(1)]
-    reached = np.cumsum(np.bincount(rank, minlength=MAX_VISITS + 1))[:MAX_VISITS] / len(rank)
-    enough = np.flatnonzero(reached >= recall)
-    return int(enough[0]) + 1 if len(enough) else MAX_VISITS
+        return 0.0
+    order, costs = tree.visits(queries, MAX_VISITS)
+    q, leaf = found["q"].to_numpy(), found["leaf"].to_numpy()
+    hit = order[q] == leaf[:, None]
+    needed = np.sort(np.where(hit.any(1), costs[q, hit.argmax(1)], np.inf))
+    widest = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]
+    return float(widest) if np.isfinite(widest) else float(needed[np.isfinite(needed)].max(initial=0))
 
 
 def nearest(
@@ -272,14 +284,14 @@ def nearest(
     leaves = min(MAX_LEAVES, max(1, rows / leaf_rows))
     tree = Tree.fit(sample, max(1.0, len(sample) / leaves))
     ids, queries = _sample(units, rows, CALIBRATION_QUERIES, width, "calibration")
-    visits = _calibrate(units, tree, ids, queries, k, min_similarity, recall)
+    widest = _calibrate(units, tree, ids, queries, k, min_similarity, recall)
     shared = vectors.sparkSession.sparkContext.broadcast(tree)
 
     def place(ids: pa.Array, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         for lo in range(0, len(x), 2048):
             part = x[lo : lo + 2048]
-            home, order = tree.home(part), tree.visits(part, visits)
+            home, order = tree.home(part), tree.visits(part, MAX_VISITS, widest)[0]
             n = len(part)
             visit = [pa.array(row[row >= 0]) for row in order]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, visit)]).astype(np.int32)), pa.concat_arrays(visit))
