@@ -25,7 +25,8 @@ BLOCK_CHARS = 4_000_000
 #: Bits of the table that sorts out q-grams no item has.
 FILTER_BITS = 22
 
-_LETTERS = str.maketrans({"œ": "oe", "æ": "ae", "ß": "ss", "ø": "o", "đ": "d", "ł": "l", "ı": "i"})
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u20d0-\u20ff]+")
+_LETTERS = {"œ": "oe", "æ": "ae", "ß": "ss", "ø": "o", "đ": "d", "ł": "l", "ı": "i"}
 
 
 def stream(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -34,12 +35,15 @@ def stream(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
     Words are runs of letters and digits; letters outside ASCII that have no
     base letter are kept as their UTF-8 bytes.
     """
-    plain = text.lower().translate(_LETTERS)
+    plain = text.lower()
     if not plain.isascii():
-        plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
+        for letter, base in _LETTERS.items():
+            plain = plain.replace(letter, base)
+        plain = _MARKS.sub("", unicodedata.normalize("NFKD", plain))
     words = [w.encode() for w in re.findall(r"[^\W_]+", plain)]
-    ends = np.cumsum([len(w) for w in words]) if words else np.zeros(0, int)
-    return b"".join(words), ends - np.array([len(w) for w in words], int), ends
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    return b"".join(words), ends - sizes, ends
 
 
 def _grams(codes: np.ndarray, q: int) -> np.ndarray:
