@@ -6,19 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicspark.llm import neighbors, splitting
+from civicspark.llm import boilerplate, encoding, leaks, mixing, names, neighbors, personal, scans, splitting
 from civicspark.sources.tables import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": lambda s, d: encoding.damaged_fields(table(s, d, "document_metadata")),
+        "p1_repaired": lambda s, d: encoding.repair_fields(table(s, d, "document_metadata")),
         "p2_found": lambda s, d: splitting.oversized_chunks(table(s, d, "chunks")),
         "p2_pieces": lambda s, d: splitting.split_chunks(table(s, d, "chunks")),
+        "p3_found": lambda s, d: names.same_authors(table(s, d, "document_metadata")),
+        "p3_entities": lambda s, d: names.author_entities(table(s, d, "document_metadata")),
+        "p5_found": lambda s, d: scans.noise_kinds(table(s, d, "chunks")),
+        "p5_paragraphs": lambda s, d: scans.paragraphs(table(s, d, "chunks")),
         "p6_found": lambda s, d: neighbors.similar_chunks(table(s, d, "chunks")),
+        "p7_found": lambda s, d: boilerplate.site_lines(table(s, d, "chunks")),
+        "p7_cleaned": lambda s, d: boilerplate.without_site_lines(table(s, d, "chunks")),
+        "p8_found": lambda s, d: leaks.leaked_pairs(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p8_report": lambda s, d: leaks.leak_report(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p9_mixed": lambda s, d: mixing.mix_sources(table(s, d, "documents"), table(s, d, "source_targets"))[0],
+        "p9_shares": lambda s, d: mixing.mix_sources(table(s, d, "documents"), table(s, d, "source_targets"))[1],
+        "p10_found": lambda s, d: personal.personal_cases(table(s, d, "documents")),
+        "p10_redacted": lambda s, d: personal.redacted(table(s, d, "documents")),
     }
 
 
+_SPACE = r"[\s\x{A0}\x{85}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": r"SELECT DISTINCT chunk_id FROM chunks WHERE length(regexp_replace(regexp_replace(content, '[\s\x{A0}\x{2007}\x{202F}\x{2009}\x{85}]+', ' ', 'g'), '[^ ]+', 'x', 'g')) - length(regexp_replace(regexp_replace(regexp_replace(content, '[\s\x{A0}\x{2007}\x{202F}\x{2009}\x{85}]+', ' ', 'g'), '[^ ]+', 'x', 'g'), 'x', '', 'g')) > 450",
+        "p2_found": rf"SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND length(content) >= 899 AND len(list_filter(regexp_split_to_array(content, '{_SPACE}'), w -> w <> '')) > 450",
     }
