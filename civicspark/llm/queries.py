@@ -37,5 +37,5 @@ _SPACE = r"[\s\x{A0}\x{85}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{20
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": rf"SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND length(content) >= 899 AND len(list_filter(regexp_split_to_array(content, '{_SPACE}'), w -> w <> '')) > 450",
+        "p2_found": rf"SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND length(content) >= 899 AND len(list_filter(regexp_split_to_array(content, '{_SPACE}'), lambda w: w <> '')) > 450",
     }
