@@ -199,7 +199,9 @@ def _repaired(distinct: DataFrame, fitted: PairModel) -> DataFrame:
             found = [(v, *model.value.repair(v)) for v in batch["value"]]
             yield pd.DataFrame([(v, r) for v, r, damaged in found if damaged], columns=["value", "repaired"])
 
-    return distinct.mapInPandas(run, "value string, repaired string")
+    # values are few bytes but much work: their number of tasks isn't left to their size
+    tasks = 3 * distinct.sparkSession.sparkContext.defaultParallelism
+    return distinct.repartition(tasks, "value").mapInPandas(run, "value string, repaired string")
 
 
 def repair_fields(table: DataFrame, key: str = "document_id", fields: tuple[str, ...] = ("title", "commune")) -> DataFrame:
