@@ -20,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civicspark.functions.text import fold as fold_text
 from civicspark.llm.boosting import Boosted
+from civicspark.session import cut
 
 #: Documents of which the candidates are labelled to fit the trees, at most.
 SAMPLE_DOCUMENTS = 3_000
+#: Candidates of a kind that the trees are fitted on, at most.
+SAMPLE_CANDIDATES = 4_000
 #: A token counts as a given name if it makes up this share of the tokens in sure contexts; so there are at most 2 / GIVEN_SHARE.
 GIVEN_SHARE = 0.0015
 KINDS = ("email", "phone", "national_id", "address", "name")
@@ -43,13 +47,19 @@ EMAIL = re.compile(
     re.I,
 )
 DIGITS = re.compile(r"(?<![\w’'])(?:\+|\(\+?)?\d(?:[\d()]|[ .\-/\xa0 ](?=[\d(]))*\d(?![\w’'])")
-LETTER_ID = re.compile(r"(?<![\w-])[A-Z]{1,2}\d{5,9}(?!\w)|(?<![\w-])[A-Z]-\d{4}/\d{4}")
+LETTER_ID = re.compile(r"[A-Z]\d{5,9}(?!\w)|[A-Z]-\d{4}/\d{4}")
+AT_WORDS = ("@", "(at", "[at", "{at", "<at", "( at", "[ at", " at ", "arobase", "(chez", "[chez", "(ät", "[ät")
 ADDRESS = [
     re.compile(rf"(?<!\w){STREET_FR}\s+{LINK_FR}[{UP}\d][\w’'-]*(?:\s(?:(?:de la|du|des|de|et|à)\s)?[{UP}][\w’'-]*){{0,3}}\s?,?\s{NUMBER}{TOWN}"),
     re.compile(rf"(?<!\w)(?:(?:Am|An der|An den|Im|In der|Zum|Zur|Auf der|Bei der|Unter der|Obere|Untere)\s)?[{UP}][\wäöüß-]*(?i:strasse|straße|str\.|platz|weg|gasse|allee|ring|hof|rain|steig|matte|halde|quai|promenade)\s{NUMBER}{TOWN}"),
     re.compile(rf"(?<!\w)(?i:via|viale|piazza|piazzale|corso|vicolo|strada|largo|salita|contrada|stradone|lungolago)\s(?:(?:dei|delle|della|del|degli|dello|di|al|alla|alle|ai)\s)?(?:(?:dell|all)[’'])?[{UP}][\w’'-]*(?:\s(?:(?:dei|della|del|di)\s)?[{UP}][\w’'-]*){{0,2}}\s?,?\s{NUMBER}{TOWN}"),
     re.compile(rf"(?<![\w’'])\d{{1,4}}[A-Da-d]?\s(?:[{UP}][\w’'-]+\s){{1,3}}(?:Road|Street|Lane|Avenue|Close|Way|Drive|Court|Square|Place|Gardens|Terrace|Crescent|Hill|Row|Grove|Rd|St|Ln|Ave)\b\.?{TOWN}"),
 ]
+#: What the kinds of addresses are found by (fixed values).
+STREETS = "avenue av. rue ruelle sentier chemin ch. route rte quai place pl. impasse boulevard bd bvd allée promenade esplanade square passage montée cours faubourg fbg venelle escalier".split()
+STREETS_DE = "strasse straße str. platz weg gasse allee ring hof rain steig matte halde quai promenade".split()
+STREETS_IT = "via viale piazza piazzale corso vicolo strada largo salita contrada stradone lungolago".split()
+STREETS_EN = "Road Street Lane Avenue Close Way Drive Court Square Place Gardens Terrace Crescent Hill Row Grove".split()
 STREET_ONLY = re.compile(rf"(?<!\w){STREET_FR}\s+{LINK_FR}[{UP}][\w’'-]*")
 NAME = re.compile(rf"(?:{INIT}|{WORD})(?:[ \xa0](?:{PARTICLE}[ ]?)?(?:{INIT}|{WORD}))?")
 TITLED = re.compile(rf"(?<!\w){TITLE}[ \xa0]((?:{PARTICLE}[ ]?)?(?:{INIT}|{WORD})(?:[ \xa0](?:{PARTICLE}[ ]?)?(?:{INIT}|{WORD}))?)")
@@ -65,6 +75,12 @@ BEFORE = {
 AFTER_NAME = re.compile(r"\s?(?:,\s(?:né|née|of|wohnhaft|domicilié|domiciliat|tél|tel)|,|\s(?:et|und|e|and)\s|\s\(|\.|;|\n|$|\s(?:maintient|la retire|nous|est|au|on)\b)", re.I)
 
 
+BEFORE_GIVEN = re.compile(rf"(?<![\w’'-])((?:{PARTICLE} )?{WORD}) ?[ \xa0](?:{PARTICLE} )?$")
+AFTER_GIVEN = re.compile(rf"[ \xa0](?:{PARTICLE} )?({WORD})")
+LIST_BEFORE = re.compile(r"(?:[:,;]|\b(?:et|und|e|and|erteilt|contact))[ \xa0]$|\n$")
+CAPITAL = re.compile(rf"\b[{UP}](?:\.-[{UP}]\.|\.|[\w-]+)")
+IS_INIT = re.compile(rf"{INIT}$")
+AFTER_TITLE = re.compile(rf"(?<!\w){TITLE}[ \xa0](?:{PARTICLE} )?$")
 PERSON_AFTER = re.compile(r",\s(?:of|wohnhaft|née?|domicili)")
 
 
@@ -72,6 +88,15 @@ def is_particle(word: str) -> bool:
     return bool(re.fullmatch(PARTICLE, word))
 
 
+def positions(text: str, words: tuple[str, ...]) -> Iterator[int]:
+    """Where one of the words stands."""
+    for word in words:
+        at = text.find(word)
+        while at >= 0:
+            yield at
+            at = text.find(word, at + 1)
+
+
 @lru_cache(200_000)
 def fold(token: str) -> str:
     t = unicodedata.normalize("NFKD", token.lower())
@@ -89,25 +114,26 @@ def _groups(text: str) -> str:
 
 
 def sure_tokens(text: str) -> list[str]:
-    """The folded tokens of names in sure contexts: after a title or a signature."""
+    """The tokens of names in sure contexts: after a title or a signature."""
     out = []
     for pattern in (TITLED, SIGNED):
         for m in pattern.finditer(text):
             words = [w for w in re.split(r"[ \xa0]", m[1]) if len(w) > 2]
             if len(words) > 1:
-                out += [fold(w) for w in words]
+                out += words
     return out
 
 
 class Detector:
     """Generators, features and the trees of each kind."""
 
-    def __init__(self, given: frozenset[str]):
+    def __init__(self, given: frozenset[str], forms: frozenset[str] = frozenset()):
         self.given = given
+        self.forms = frozenset(f for g in forms or given for f in (g, g.capitalize(), g.title(), g.upper()))
         self.models: dict[str, Boosted] = {}
 
     def names(self, text: str) -> Iterator[tuple[int, int, list[float], bool | None]]:
-        taken = -1
+        """Names behind titles, and pairs of a given name or initial with the word behind or before it."""
         for m in TITLED.finditer(text):
             s, e = m.span(1)
             words = re.split(r"[ \xa0]", m[1])
@@ -116,36 +142,30 @@ class Detector:
             if len(words) > 1 and (IS_TITLE.match(words[-1]) or not named):
                 e = s + len(m[1]) - len(words[-1]) - 1
             yield s, e, self.name_features(text, s, e, 1.0), True
-        tokens = [(t.start(), t.end(), t[0]) for t in re.finditer(rf"\b{PARTICLE}(?= [{UP}])|{INIT}|{WORD}", text)]
-        for i, (s, e, w) in enumerate(tokens):
-            if s < taken or is_particle(w) or IS_TITLE.match(w):
-                continue
-            j = i + 1
-            if j < len(tokens) and is_particle(tokens[j][2]):
-                j += 1
-            if j >= len(tokens) or tokens[j][0] - (tokens[i][1] if j == i + 1 else tokens[j - 1][1]) > 1 or "\n" in text[e : tokens[j][0]]:
-                continue
-            if j > i + 1 and tokens[i + 1][0] - e > 1:
+        for m in CAPITAL.finditer(text):
+            s, e = m.span()
+            init = e < s + 6 and text[e - 1] == "."
+            if init:
+                if IS_TITLE.match(m[0]) or not IS_INIT.match(m[0]):
+                    continue
+            elif m[0] not in self.forms:
                 continue
-            w2 = tokens[j][2]
-            if IS_TITLE.match(w2):
+            if s and text[s - 1] in "-_.’'@":
                 continue
-            first, second = self.is_given(w), self.is_given(w2)
-            init = w.endswith(".") or w2.endswith(".")
-            if not (first or second or init):
-                continue
-            if not first and not w.endswith(".") and j + 1 < len(tokens) and tokens[j + 1][0] - tokens[j][1] == 1 and tokens[j + 1][2][0].isupper() and second and not re.search(r"[:,;]\s$|\bet\s$", text[max(0, s - 4) : s]):
-                continue  # the word before belongs to the sentence: the name is the next pair
-            end = tokens[j][1]
-            sure = None
-            if first and not second or (second and not first and re.search(r"[:,]\s$|\n$|\b(?:et|erteilt|contact)\s$", text[max(0, s - 9) : s])):
-                sure = True
-            elif init and not PERSON_AFTER.match(text[end : end + 20]) and not re.search(r"[:,]\s$|\b(?:et|erteilt|contact)\s$|\n$|^$", text[max(0, s - 9) : s]):
-                sure = False
-            elif init:
+            if AFTER_TITLE.search(text, max(0, s - 20), s):
+                continue  # found by its title
+            before = BEFORE_GIVEN.search(text, max(0, s - 48), s)
+            if before is not None and (IS_TITLE.match(before[1]) or self.is_given(before[1]) or AFTER_TITLE.search(text, max(0, before.start() - 14), before.start())):
+                before = None
+            after = AFTER_GIVEN.match(text, e)
+            listed = before is not None and bool(LIST_BEFORE.search(text, max(0, before.start() - 10), before.start()) or before.start() == 0 or PERSON_AFTER.match(text, e))
+            if listed or before is not None and after is None and not init:
+                yield before.start(), e, self.name_features(text, before.start(), e, 0.0), True if listed else None
+            elif after is not None and not IS_TITLE.match(after[1]):
                 sure = True
-            yield s, end, self.name_features(text, s, end, 0.0), sure
-            taken = end
+                if init:
+                    sure = bool(LIST_BEFORE.search(text, max(0, s - 10), s) or s == 0 or PERSON_AFTER.match(text, after.end()))
+                yield s, after.end(), self.name_features(text, s, after.end(), 0.0), sure
 
     def is_given(self, token: str) -> bool:
         return fold(token) in self.given
@@ -159,9 +179,39 @@ class Detector:
             float(len(words[-1])), float(text[s:e].isupper()), float(any(len(w) < 4 for w in words)),
         ]
 
-    def candidates(self, text: str) -> Iterator[tuple[str, int, int, list[float], bool | None]]:
+    def addresses(self, text: str) -> Iterator[tuple[int, re.Match]]:
+        """Matches of the address patterns, tried where a word for a street stands."""
+        lower = text.lower()
+        if len(lower) != len(text):
+            lower = text
+        for kind, words in ((0, STREETS), (2, STREETS_IT)):
+            for word in words:
+                at = lower.find(word)
+                while at >= 0:
+                    if (at == 0 or not lower[at - 1].isalnum()) and (m := ADDRESS[kind].match(text, at)):
+                        yield kind, m
+                    at = lower.find(word, at + 1)
+        for kind, words, where in ((1, STREETS_DE, lower), (3, STREETS_EN, text)):
+            for word in words:
+                at = where.find(word + (" " if kind == 1 else ""))
+                while at >= 0:
+                    end = at + len(word)
+                    if kind == 3 or text[end + 1 : end + 2].isdigit():
+                        begin = max(0, at - 40)
+                        for m in ADDRESS[kind].finditer(text, begin, min(len(text), end + 60)):
+                            if m.start() <= at < m.end():
+                                yield kind, m
+                                break
+                    at = where.find(word, at + 1)
+
+    def candidates(self, text: str, fitting: bool = False) -> Iterator[tuple[str, int, int, list[float], bool | None]]:
         """(kind, start, end, features, label); the label is None where no rule is sure."""
-        for m in EMAIL.finditer(text) if "@" in text or re.search(r"\bat\b|arobase", text, re.I) else ():
+        seen, lower = -1, text.lower()
+        for at in sorted(positions(lower if len(lower) == len(text) else text, AT_WORDS)):
+            m = next((x for x in EMAIL.finditer(text, max(0, at - 70), at + 90) if x.start() <= at < x.end()), None)
+            if m is None or m.start() <= seen:
+                continue
+            seen = m.start()
             span = m[0]
             at = re.search(r"@|\bat\b|arobase", span, re.I)
             domain = span[at.end() :]
@@ -190,24 +240,30 @@ class Detector:
             permit = groups == "3-3-3-1" and span[-2] == "-"
             yield "national_id", m.start(), m.end(), [*common, float(bool(BEFORE["national_id"].search(before))), float(permit), 0.0], social or permit
         for m in LETTER_ID.finditer(text):
+            if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "-_"):
+                continue
             before = text[max(0, m.start() - 24) : m.start()]
             n = len(re.sub(r"\D", "", m[0]))
             yield "national_id", m.start(), m.end(), [float(n), 0, 0, 0, 0, 0, float("/" in m[0]), 0, 0, float("-" in m[0]), float(bool(BEFORE["national_id"].search(before))), 0.0, 1.0], n == 7 and "/" not in m[0]
-        for i, pattern in enumerate(ADDRESS):
-            for m in pattern.finditer(text):
-                tail = m[0][-24:]
-                yield "address", m.start(), m.end(), [float(i), 1.0, float(bool(re.search(r"\d{4} ", tail))), float(bool(BEFORE["address"].search(text[max(0, m.start() - 16) : m.start()]))), float(len(m[0]))], True
-        for m in STREET_ONLY.finditer(text):
+        for i, m in self.addresses(text):
+            tail = m[0][-24:]
+            yield "address", m.start(), m.end(), [float(i), 1.0, float(bool(re.search(r"\d{4} ", tail))), float(bool(BEFORE["address"].search(text[max(0, m.start() - 16) : m.start()]))), float(len(m[0]))], True
+        for m in STREET_ONLY.finditer(text) if fitting else ():
             if not re.match(rf"[^\n.]{{0,30}}?\s{NUMBER}", text[m.end() : m.end() + 40]):
                 yield "address", m.start(), m.end(), [0.0, 0.0, 0.0, float(bool(BEFORE["address"].search(text[max(0, m.start() - 16) : m.start()]))), float(len(m[0]))], False
+        if fitting:
+            # pairs of capitalized words without a given name or title: places and beginnings of sentences
+            for m in re.finditer(rf"(?<![\w’'-]){WORD} {WORD}", text):
+                if not any(self.is_given(w) or IS_TITLE.match(w) for w in m[0].split(" ")) and not AFTER_TITLE.search(text, max(0, m.start() - 20), m.start()):
+                    yield "name", m.start(), m.end(), self.name_features(text, m.start(), m.end(), 0.0), False
         for s, e, features, label in self.names(text):
             yield "name", s, e, features, label
 
     def fit(self, texts: list[str]) -> Detector:
         rows: dict[str, list] = {k: [] for k in KINDS}
         for text in texts:
-            for kind, _, _, features, label in self.candidates(text):
-                if label is not None:
+            for kind, _, _, features, label in self.candidates(text, fitting=True):
+                if label is not None and len(rows[kind]) < SAMPLE_CANDIDATES:
                     rows[kind].append((features, label))
         for kind, found in rows.items():
             x = np.array([f for f, _ in found], float)
@@ -247,14 +303,16 @@ def fit_detector(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
                 counts.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
 
-    tokens = texts.mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    tokens = cut(texts.mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")))
     total = tokens.agg(F.sum("n")).first()[0] or 0
-    given = frozenset(r[0] for r in tokens.where(F.col("n") >= F.greatest(F.lit(2), F.lit(total * GIVEN_SHARE))).collect())
+    folded = tokens.groupBy(fold_text(F.col("token")).alias("given")).agg(F.sum("n").alias("n"), F.sort_array(F.collect_set("token")).alias("forms"))
+    found = folded.where(F.col("n") >= F.greatest(F.lit(2), F.lit(total * GIVEN_SHARE))).collect()
+    given, forms = frozenset(fold(r["given"]) for r in found), frozenset(f for r in found for f in r["forms"])
     n = texts.count()
     share = min(1.0, 1.3 * sample / max(n, 1))
     h = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30))
     rows = texts.where(h <= int(share * (1 << 30))).orderBy(h, "id").limit(sample).select("text").collect()
-    return Detector(given).fit([r[0] for r in rows])
+    return Detector(given, forms).fit([r[0] for r in rows])
 
 
 def personal_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,11 +351,11 @@ def redacted(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            out = []
-            for text, spans in zip(texts, shared.value.find([t or "" for t in texts])):
+            found, out = shared.value.find([t or "" for t in texts]), []
+            for text, spans in zip(texts, found):
                 for s, e, kind, _ in reversed(spans):
                     text = f"{text[:s]}[{kind.upper()}]{text[e:]}"
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array([len(x) for x in shared.value.find([t or "" for t in texts])], pa.int32())], ["doc_id", "text", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(list(map(len, found)), pa.int32())], ["doc_id", "text", "items"])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string, items int")
