@@ -26,8 +26,8 @@ from civicspark.session import cut
 
 #: Documents of which the candidates are labelled to fit the trees, at most.
 SAMPLE_DOCUMENTS = 3_000
-#: Candidates of a kind that the trees are fitted on, at most.
-SAMPLE_CANDIDATES = 4_000
+#: Candidates of a kind and label that the trees are fitted on, at most.
+SAMPLE_CANDIDATES = 2_000
 #: A token counts as a given name if it makes up this share of the tokens in sure contexts; so there are at most 2 / GIVEN_SHARE.
 GIVEN_SHARE = 0.0015
 KINDS = ("email", "phone", "national_id", "address", "name")
@@ -261,9 +261,11 @@ class Detector:
 
     def fit(self, texts: list[str]) -> Detector:
         rows: dict[str, list] = {k: [] for k in KINDS}
+        sizes: Counter = Counter()
         for text in texts:
             for kind, _, _, features, label in self.candidates(text, fitting=True):
-                if label is not None and len(rows[kind]) < SAMPLE_CANDIDATES:
+                if label is not None and sizes[kind, label] < SAMPLE_CANDIDATES:
+                    sizes[kind, label] += 1
                     rows[kind].append((features, label))
         for kind, found in rows.items():
             x = np.array([f for f, _ in found], float)
