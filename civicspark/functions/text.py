@@ -59,7 +59,7 @@ def clean_text(text: Column) -> Column:
     """Entities replaced, no-break spaces and control characters removed, at most one blank line in a row."""
     plain = F.regexp_replace(F.translate(unescape(text), "  \u0000", "  "), r"[\x01-\x08\x0b\x0c\x0e-\x1f]", "")
     lines = F.regexp_replace(F.regexp_replace(plain, r"\r\n?", "\n"), r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(lines, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(lines, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def word_count(text: Column) -> Column:
@@ -85,7 +85,7 @@ def without_page_lines(text: Column) -> Column:
     """Lines that hold only a page number are dropped; runs of blank lines collapse."""
     lines = F.transform(F.split(text, "\n"), lambda x: compact(x))
     kept = F.filter(lines, lambda x: ~x.rlike(r"(?i)^page \d+(?:\s*(?:/|sur|de)\s*\d+)?$|^\d{1,3}\s*/\s*\d{1,3}$"))
-    return F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def quoted_phrases(text: Column) -> Column:

@@ -46,6 +46,11 @@ def chunked(documents: DataFrame, id_col: str, text_col: str, size: int = 450, o
     return pieces.select("document_id", chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "content", word_count(F.col("content")).alias("word_count"))
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space, line ends included, at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def spaced(positions: Column, gap: int) -> Column:
     """Positions, in order, that lie more than ``gap`` behind the last one kept."""
     return F.aggregate(
@@ -59,7 +64,7 @@ def marked_sections(text: Column, pattern: str) -> Column:
 
     ``pattern`` applies at the beginning of a line.
     """
-    return F.filter(F.transform(F.split(text, f"(?im)(?=^(?:{pattern}))"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, f"(?im)(?=^(?:{pattern}))"), stripped), lambda s: s != "")
 
 
 RESPONSE_HEADING = r"\s*#?\s*R[ÉE]PONSE\s+MUNICIPALE\s+(?:(?:N[°ºO]\s*)?\d+(?:bis)?/\d{4}|ORALE)\b"
@@ -97,7 +102,7 @@ def response_sections(text: Column, role: Column | None = None) -> Column:
 def last_section(text: Column, start: str, end: str) -> Column:
     """From the last match of ``start`` to the first match of ``end`` behind it, or to the end; null if ``start`` isn't found."""
     tail = F.element_at(F.split(text, f"(?im)(?={start})"), -1)
-    return F.when(text.rlike(f"(?im){start}"), F.trim(F.get(F.split(tail, f"(?im)(?={end})"), F.lit(0))))
+    return F.when(text.rlike(f"(?im){start}"), stripped(F.get(F.split(tail, f"(?im)(?={end})"), F.lit(0))))
 
 
 def representative(chunks: DataFrame, priority: list[str], edge: int = 2, budget: int = 12_000) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 class Embedder(Protocol):
@@ -38,7 +39,7 @@ class HashEmbedder:
 
 def embedded(inputs: DataFrame, text: str, embedder: Embedder, batch: int = 16, tries: int = 3) -> DataFrame:
     """``inputs`` with their ``embedding``: batches of ``batch`` texts, tried again if the provider fails."""
-    schema = inputs.schema.add("embedding", "array<double>")
+    schema = StructType([*inputs.schema.fields, StructField("embedding", ArrayType(DoubleType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

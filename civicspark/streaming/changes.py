@@ -13,11 +13,12 @@ def stream_changes(probes: DataFrame, table: store.Table, log: store.Table, chec
 
     ``probes`` is a stream with the inventory's columns.  A batch that is
     delivered again after a failure finds its rows already known and logs
-    nothing new.  Within a batch the last probe of a URL counts.
+    nothing new.  Within a batch the last probe of a URL counts; one without an
+    instant comes before all others.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        last = batch.groupBy("pdf_url").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "pdf_url"]), "last_checked").alias("x")).select("pdf_url", "x.*")
+        last = batch.groupBy("pdf_url").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "pdf_url"]), F.coalesce("last_checked", F.timestamp_seconds(F.lit(0)))).alias("x")).select("pdf_url", "x.*")
         known = table.read() if table.current() else last.limit(0)
         changes = store.change_log(known, last)
         if not changes.isEmpty():
