@@ -48,3 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, on at least as many partitions as there are cores.
+
+    A small file is one task however much work its rows are.  Where the scan
+    has enough partitions already, as any large table has, or is no plain scan, nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if "Exchange" in plan or "Join" in plan or "Aggregate" in plan:
+        return df
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
