@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civicspark.session import spread
+
 #: Length of the q-grams.
 Q = 14
 #: Characters of items that are held against the corpus at a time; more are taken in blocks.
@@ -198,7 +200,7 @@ def leaked_items(
     given = items.select(F.col(item_id).cast("long").alias("item_id"), *[F.col(p).cast("string").alias(f"p{i}") for i, p in enumerate(parts)]).where("item_id is not null")
     size = given.agg(F.sum(sum((F.coalesce(F.length(f"p{i}"), F.lit(0)) for i in range(len(parts))), F.lit(0)))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_CHARS))
-    texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    texts = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null"))
     out = None
     for block in range(blocks):
         rows = given.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from civicspark.functions.text import fold as fold_text
 from civicspark.llm.boosting import Boosted
-from civicspark.session import cut
+from civicspark.session import cut, spread
 
 #: Documents of which the candidates are labelled to fit the trees, at most.
 SAMPLE_DOCUMENTS = 3_000
@@ -338,7 +338,7 @@ def personal_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
                 )
 
     texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
-    return texts.mapInArrow(run, "doc_id long, kind string, start_pos int, length int, score double")
+    return spread(texts).mapInArrow(run, "doc_id long, kind string, start_pos int, length int, score double")
 
 
 def personal_cases(documents: DataFrame) -> DataFrame:
