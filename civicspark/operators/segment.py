@@ -42,7 +42,9 @@ def chunk_id(document_id: Column, index: Column) -> Column:
 
 def chunked(documents: DataFrame, id_col: str, text_col: str, size: int = 450, overlap: int = 60) -> DataFrame:
     """One row for each window: ``document_id``, ``chunk_id``, ``chunk_index``, ``content`` and ``word_count``."""
-    pieces = documents.select(F.col(id_col).cast("string").alias("document_id"), F.posexplode(word_windows(F.col(text_col), size, overlap)).alias("chunk_index", "content"))
+    # words are cut once a row, not once a window
+    words = documents.select(F.col(id_col).cast("string").alias("document_id"), F.filter(F.split(F.col(text_col), r"(?U)\s+"), lambda w: w != "").alias("words"))
+    pieces = words.select("document_id", F.posexplode(windows(F.col("words"), size, overlap)).alias("chunk_index", "content"))
     return pieces.select("document_id", chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "content", word_count(F.col("content")).alias("word_count"))
 
 
