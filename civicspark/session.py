@@ -51,12 +51,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, a plain scan, on at least as many partitions as there are cores.
+    """``df``, a plain scan, on at least as many partitions as there are cores of a single machine.
 
     A small file is one task however much work its rows are.  Where the scan
-    has enough partitions already, as any large table has, or is no plain scan, nothing is moved.
+    has enough partitions already, as any large table has, or is no plain scan, nothing is
+    moved, nor on a cluster, where a scan so small isn't worth a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if not df.sparkSession.sparkContext.master.startswith("local["):
+        return df
     plan = df._jdf.queryExecution().sparkPlan().toString()
     if "Exchange" in plan or "Join" in plan or "Aggregate" in plan:
         return df
