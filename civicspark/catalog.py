@@ -380,8 +380,8 @@ def _(s, d):
 
 @query("spaced_markers", "W6 G6 G7", None)
 def _(s, d):
-    texts = table(s, d, "documents").where("text <> ''")
-    starts = F.transform(F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: F.substr(c("text"), i, F.lit(4)) == "CHF "), lambda i: i.cast("int"))
+    texts = table(s, d, "documents").where("text <> ''").select("doc_id", segment.positions(c("text"), "CHF ").alias("starts"))
+    starts = c("starts")
     return texts.select("doc_id", F.posexplode(segment.spaced(starts, 120)).alias("marker_no", "position"))
 
 

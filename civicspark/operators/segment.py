@@ -53,6 +53,17 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def positions(text: Column, marker: str) -> Column:
+    """Where the marker, a literal, stands in the text, counted from 1."""
+    lengths = F.transform(F.split(text, rf"\Q{marker}\E", -1), F.length)
+    step = len(marker)
+    grown = F.aggregate(
+        F.slice(lengths, F.lit(1), F.size(lengths) - 1), F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found")),
+        lambda acc, n: F.struct((acc["at"] + n + step).alias("at"), F.array_append(acc["found"], acc["at"] + n).alias("found")),
+    )
+    return grown["found"]
+
+
 def spaced(positions: Column, gap: int) -> Column:
     """Positions, in order, that lie more than ``gap`` behind the last one kept."""
     return F.aggregate(

@@ -74,6 +74,7 @@ def test_sections(spark):
     got = one(spark, segment.response_sections, body)
     assert [(s.component, s.section_title, s.response_number) for s in got] == [("interpellation_text", "Interpellation", None), ("municipal_response", "Réponse municipale 3/2025", "3/2025"), ("municipal_response", "Réponse municipale orale", None)]
     assert one(spark, lambda c: segment.spaced(c, 10), [1, 5, 12, 13, 30], "array<int>") == [1, 12, 30]
+    assert one(spark, lambda c: segment.positions(c, "x."), "abx.x.c x.") == [3, 5, 9] and one(spark, lambda c: segment.positions(c, "x."), "") == []
     assert one(spark, lambda c: segment.last_section(c, "Début", "Fin"), "Début x\nDébut y\nFin z") == "Début y"
 
 
