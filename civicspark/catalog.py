@@ -306,7 +306,7 @@ def _(s, d):
 def _(s, d):
     once = docs(s, d).groupBy("document_id").agg(F.max("title").alias("title")).withColumn("tokens", linkage.tokens(linkage.title_key(c("title"))))
     items = table(s, d, "eval_items").select(c("item_id"), linkage.tokens(linkage.title_key(c("question"))).alias("tokens"))
-    return linkage.overlap_join(linkage.candidate_pairs(once, items, "document_id", "item_id", "tokens", "tokens"))
+    return linkage.overlap_join(linkage.candidate_pairs(once, items, "document_id", "item_id", "tokens", "tokens", lambda _: F.lit(2)))
 
 
 @query("title_coverage_links", "J12 J10", None)
@@ -314,7 +314,7 @@ def _(s, d):
     once = docs(s, d).groupBy("document_id").agg(F.max("title").alias("title"), F.max("source_title").alias("source_title"))
     left = once.select("document_id", linkage.tokens(linkage.title_key(c("title"))).alias("tokens"))
     right = once.select("document_id", linkage.tokens(linkage.title_key(c("source_title"))).alias("tokens"))
-    return linkage.coverage_join(linkage.candidate_pairs(left, right, "document_id", "document_id", "tokens", "tokens"))
+    return linkage.coverage_join(linkage.candidate_pairs(left, right, "document_id", "document_id", "tokens", "tokens", linkage.coverage_needed))
 
 
 @query("title_contained_links", "J13 J14", None)

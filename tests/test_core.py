@@ -150,6 +150,16 @@ def test_title_links(spark):
     assert [(r.l, r.r, r.score, r.tier) for r in got] == [("r1", "o1", 1.0, "exact")]
 
 
+def test_pairs_of_common_tokens(spark):
+    # every token is on most of 300 right rows; the one pair wanted shares two of them
+    left = spark.createDataFrame([("a", ["pour", "date", "seul"]), ("b", ["pour"]), ("c", ["rien", "date"]), ("d", None)], "id string, t array<string>")
+    right = spark.createDataFrame([(f"r{i:03}", ["pour", "date"] if i == 7 else ["pour" if i % 2 else "date", "x"]) for i in range(300)], "id string, t array<string>")
+    pairs = linkage.candidate_pairs(left, right, "id", "id", "t", "t", lambda _: F.lit(2))
+    assert [tuple(r) for r in linkage.overlap_join(pairs).collect()] == [("a", "r007", 2)]
+    hot = linkage.salted_join(spark.createDataFrame([(f"a{i}", "x") for i in range(20)], "l string, token string"), spark.createDataFrame([(f"b{i}", "x") for i in range(30)], "r string, token string"), 7)
+    assert hot.count() == hot.distinct().count() == 600
+
+
 def test_audit_helpers(spark):
     with pytest.raises(ValueError):
         quality.one_row(spark.range(2), "regulation")
