@@ -160,6 +160,13 @@ def test_pairs_of_common_tokens(spark):
     assert hot.count() == hot.distinct().count() == 600
 
 
+def test_response_match(spark):
+    left = spark.createDataFrame([("a", "Les camps de ski"), ("b", "Garderie"), ("c", "Bus de nuit et vélos au bourg"), ("d", None)], "l string, title string")
+    right = spark.createDataFrame([("r1", "A quand les camps de ski ?"), ("r2", "Rapport. La garderie, puis un bus la nuit, des vélos et le bourg"), ("r3", "autre"), ("r4", None)], "r string, text string")
+    got = {tuple(r) for r in linkage.response_match(left, right).collect()}
+    assert got == {("a", "r1", 2, 1.0, True), ("b", "r2", 1, 1.0, True), ("c", "r2", 4, 1.0, False)}
+
+
 def test_audit_helpers(spark):
     with pytest.raises(ValueError):
         quality.one_row(spark.range(2), "regulation")
