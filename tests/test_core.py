@@ -160,6 +160,14 @@ def test_pairs_of_common_tokens(spark):
     assert hot.count() == hot.distinct().count() == 600
 
 
+def test_containment(spark):
+    left = spark.createDataFrame([("a", "la garderie"), ("b", "quel avenir pour la garderie des petits"), ("c", "arde"), ("d", ""), ("e", None), ("f", "le bus de nuit"), ("g", "quel")], "id string, k string")
+    right = spark.createDataFrame([("r1", "quel avenir pour la garderie"), ("r2", "belle garderies"), ("r3", "le bus de nuits"), ("r4", "bus"), ("r5", "")], "id string, k string")
+    got = {tuple(r) for r in linkage.contained_join(left, right, "id", "id", "k", "k").collect()}
+    a, b = [[tuple(r) for r in df.collect() if r.k] for df in (left, right)]
+    assert got == {(i, j) for i, x in a for j, y in b if x in y or y in x} and {("a", "r1"), ("c", "r2"), ("f", "r4")} <= got
+
+
 def test_response_match(spark):
     left = spark.createDataFrame([("a", "Les camps de ski"), ("b", "Garderie"), ("c", "Bus de nuit et vélos au bourg"), ("d", None)], "l string, title string")
     right = spark.createDataFrame([("r1", "A quand les camps de ski ?"), ("r2", "Rapport. La garderie, puis un bus la nuit, des vélos et le bourg"), ("r3", "autre"), ("r4", None)], "r string, text string")
