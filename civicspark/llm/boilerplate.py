@@ -69,8 +69,8 @@ class Summary:
         self.counts = defaultdict(int, {k: n - take for k, n in self.counts.items() if n > take})
 
 
-SUMMARY = "source string, key string, n long, off long, once long"
-SUMMARY_NAMES = ["source", "key", "n", "off", "once"]
+SUMMARY = "source string, key string, n long, off long"
+SUMMARY_NAMES = ["source", "key", "n", "off"]
 
 
 def _summaries(rows: DataFrame, size: int) -> DataFrame:
@@ -94,12 +94,12 @@ def _summaries(rows: DataFrame, size: int) -> DataFrame:
                         memo[line] = found[0] if found else None
                     if (key := memo[line]) is not None:
                         summary.add(key)
-        out = [(s, k, n, 0, 0) for s, x in of.items() for k, n in x.counts.items() if n > 1]
-        # a line that one partition has once is left out: that takes one off
-        out += [(s, None, 0, x.off, 1) for s, x in of.items()]
+        # lines that a partition has once are sent too: others may have them as well
+        out = [(s, k, n, 0) for s, x in of.items() for k, n in x.counts.items()]
+        out += [(s, None, 0, x.off) for s, x in of.items()]
         for lo in range(0, len(out), 10_000):
             part = list(zip(*out[lo : lo + 10_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.string()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.int64()), pa.array(part[4], pa.int64())], SUMMARY_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.string()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.int64())], SUMMARY_NAMES)
 
     return rows.mapInArrow(run, SUMMARY)
 
@@ -157,14 +157,18 @@ def repeated_lines(rows: DataFrame, source: str, document: str, piece: str, text
     wanted = F.greatest(F.lit(documents), F.ceil(F.col("documents") * share))
     size = COUNTERS
     while True:
-        summaries = cut(_summaries(given, size).groupBy("source", "key").agg(F.sum("n").alias("n"), F.sum("off").alias("off"), F.sum("once").alias("once")))
-        lost = summaries.where("key is null").select("source", F.col("off").alias("lost"), F.col("once").alias("singles")).join(sizes, "source").withColumn("wanted", wanted)
-        # a count may be too low by what its partitions took off; where that reaches half of what is wanted, summaries are enlarged
+        keys = _summaries(given, size).groupBy("source", "key").agg(F.sum("n").alias("n"), F.sum("off").alias("off"))
+        # cut-off lines are counted on their own, but a line and its cut-off forms begin alike: their sum tells whether the line may be one
+        heads = keys.groupBy("source", F.left("key", F.lit(CUT)).alias("head")).agg(F.sum("n").alias("n"), F.sum("off").alias("off"), F.collect_list(F.when(F.col("n") >= 2, F.col("key"))).alias("keys"))
+        summaries = cut(heads.where("head is null or size(keys) > 0"))
+        lost = summaries.where("head is null").select("source", F.col("off").alias("lost")).join(sizes, "source").withColumn("wanted", wanted)
+        # a count may be too low by what its partitions took off; where that is more than a quarter of what is wanted, summaries are enlarged
         if size >= 1 << 20 or lost.where(F.col("lost") > F.col("wanted") / 4).isEmpty():
             break
         size *= 8
-    # cut-off lines are counted on their own so far: half of what is wanted makes a candidate
-    candidates = summaries.where("key is not null").join(lost, "source").where(F.col("n") + F.col("lost") + F.col("singles") >= F.col("wanted") / 2).where("n >= 2").select("source", "key")
+    # every form loses on its own: where anything was taken off, half of what is wanted is enough
+    enough = F.col("wanted") / F.when(F.col("lost") > 0, 2).otherwise(1)
+    candidates = summaries.where("head is not null").join(lost, "source").where(F.col("n") + F.col("lost") >= enough).select("source", F.explode("keys").alias("key"))
     shared = spark.sparkContext.broadcast(Confirmable([tuple(r) for r in candidates.toLocalIterator()]))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

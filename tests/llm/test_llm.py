@@ -173,6 +173,15 @@ def test_site_lines(spark):
     assert boilerplate.site_lines(spark.createDataFrame([], cols)).count() == 0
 
 
+def test_site_lines_met_once_in_a_partition(spark):
+    cols = "chunk_id string, document_id string, commune_key string, content string"
+    rows = [(f"c{i}", f"d{i}", "k", f"Texte {'abcdefgh'[i]} propre du document\nPartager cette page avec vos voisins") for i in range(4)]
+    parts = [spark.createDataFrame([r], cols).coalesce(1) for r in rows]
+    frame = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    got = boilerplate.repeated_lines(frame, "commune_key", "document_id", "chunk_id", "content")
+    assert {(r.piece, r.line_no) for r in got.collect()} == {(f"c{i}", 1) for i in range(4)}
+
+
 def test_summary_bound():
     random.seed(1)
     exact, summary = {}, boilerplate.Summary(20)
