@@ -320,7 +320,7 @@ def _(s, d):
     return both.groupBy("l", "r").agg(F.max("shared").alias("shared"), F.max("coverage").alias("coverage"), F.max("exact_title").alias("exact_title"))
 
 
-@query("title_contained_links", "J13 J14", None)
+@query("title_contained_links", "J13", None)
 def _(s, d):
     once = docs(s, d).groupBy("document_id").agg(F.max("title").alias("title")).withColumn("key", linkage.title_key(c("title")))
     headings = chunks(s, d).where("section_title is not null").groupBy(linkage.title_key(c("section_title")).alias("key")).agg(F.min("chunk_id").alias("chunk_id"))
@@ -381,7 +381,7 @@ def _(s, d):
     return dedup.best_and_margin(rows, "k", "cand", "score").withColumn("tier", dedup.tier(c("score"), c("margin")))
 
 
-@query("spaced_markers", "W6 G6 G7", None)
+@query("spaced_markers", "W6", None)
 def _(s, d):
     texts = table(s, d, "documents").where("text <> ''").select("doc_id", segment.positions(c("text"), "CHF ").alias("starts"))
     starts = c("starts")
@@ -584,14 +584,14 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.posexplode(segment.source_windows(c("text"), 120, 20)).alias("window_no", "content"))
 
 
-@query("response_sections", "G4 G5 G12", None)
+@query("response_sections", "G4 G5", None)
 def _(s, d):
     once = docs(s, d).groupBy("document_id").agg(F.max("document_role").alias("document_role"))
     rows = chunks(s, d).join(once, "document_id").select("chunk_id", F.posexplode(segment.response_sections(c("content"), c("document_role"))).alias("section_no", "x"))
     return rows.select("chunk_id", "section_no", "x.component", "x.section_title", "x.response_number", F.length("x.content").alias("chars")).distinct()
 
 
-@query("embedding_inputs", "G14 G15 Z20", """
+@query("embedding_inputs", "G15 Z20", """
     SELECT DISTINCT c.chunk_id, concat_ws(chr(10), CASE WHEN m.document_family = 'political_object' THEN 'Objet politique : ' ELSE 'Document : ' END || m.title, 'Commune : ' || m.commune, 'Année : ' || m.listing_year, 'Partie : ' || c.component, c.content) AS embedding_input
     FROM chunks c JOIN (SELECT document_id, max(document_family) AS document_family, max(title) AS title, max(commune) AS commune, CAST(max(listing_year) AS VARCHAR) AS listing_year FROM document_metadata GROUP BY document_id) m USING (document_id)""")
 def _(s, d):

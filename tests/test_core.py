@@ -182,6 +182,13 @@ def test_audit_helpers(spark):
     assert {tuple(r) for r in got.collect()} == {(1, "f", "identical"), (1, "g", "only_new"), (2, "f", "both_missing"), (2, "g", "both_missing")}
 
 
+def test_catalog_claims_only_what_is_built():
+    from civicspark.catalog import CATALOG
+
+    claimed = {code for covers, _, _ in CATALOG.values() for code in covers.split()}
+    assert not claimed & {"G6", "G7", "G12", "G14", "J14"}
+
+
 def test_pages(spark):
     page = '<html><title>Liste &amp; suite</title><div class="t x"><div><a href="/a">A</a></div> b<br></div><div class="t">c</div> 12 résultats <ul data-x="[{&quot;a&quot;:1}]"></ul></html>'
     assert one(spark, html.title, page) == "Liste & suite"
