@@ -1,10 +1,13 @@
 """Personal information inside free text, and its replacement by typed placeholders.
 
-Generators with high recall propose overlapping spans of each kind.  Boosted
-trees score a span by its format and context; they are fitted on a bounded
-sample of the corpus' own candidates, labelled by strict formats and sure
-contexts.  Spans above the calibrated threshold are kept, the best one where
-they overlap.
+Generators with high recall propose overlapping spans of each kind, among them
+account numbers, dates, streets without number and pairs of capitalized words.
+Boosted trees score a span by its format and by what stands around it.  They
+are fitted on a bounded sample of the corpus' own candidates.  A candidate is
+labelled by the word before it ("tel.", "account", "domicile", a title ...),
+which the trees don't see; most candidates have no such word, and the trees
+alone decide on them.  Spans above the calibrated threshold are kept, the best
+one where they overlap.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +30,7 @@ from civicspark.session import cut, spread
 
 #: Documents of which the candidates are labelled to fit the trees, at most.
 SAMPLE_DOCUMENTS = 3_000
-#: Candidates of a kind and label that the trees are fitted on, at most.
+#: Candidates of a kind and label (and names of one word apart) that the trees are fitted on, at most.
 SAMPLE_CANDIDATES = 2_000
 #: A token counts as a given name if it makes up this share of the tokens in sure contexts; so there are at most 2 / GIVEN_SHARE.
 GIVEN_SHARE = 0.0015
@@ -60,41 +64,59 @@ STREETS = "avenue av. rue ruelle sentier chemin ch. route rte quai place pl. imp
 STREETS_DE = "strasse straße str. platz weg gasse allee ring hof rain steig matte halde quai promenade".split()
 STREETS_IT = "via viale piazza piazzale corso vicolo strada largo salita contrada stradone lungolago".split()
 STREETS_EN = "Road Street Lane Avenue Close Way Drive Court Square Place Gardens Terrace Crescent Hill Row Grove".split()
-STREET_ONLY = re.compile(rf"(?<!\w){STREET_FR}\s+{LINK_FR}[{UP}][\w’'-]*")
+STREET_ONLY = re.compile(rf"(?<!\w)(?:{STREET_FR}|(?i:via|viale|piazza|piazzale|corso|vicolo))\s+{LINK_FR}(?:(?i:dei|delle|della|del)\s)?[{UP}][\w’'-]*")
+IN_WORD = frozenset("_.+-")
 NAME = re.compile(rf"(?:{INIT}|{WORD})(?:[ \xa0](?:{PARTICLE}[ ]?)?(?:{INIT}|{WORD}))?")
+#: What titles and signatures are found by.
+TITLE_WORDS = "m. mm. mr mme mlle monsieur madame mademoiselle messieurs mesdames herr frau signor sig. mrs ms miss dr maître me".split()
+SIGNATURES = "signé gezeichnet signed firmato unterzeichnet".split()
 TITLED = re.compile(rf"(?<!\w){TITLE}[ \xa0]((?:{PARTICLE}[ ]?)?(?:{INIT}|{WORD})(?:[ \xa0](?:{PARTICLE}[ ]?)?(?:{INIT}|{WORD}))?)")
 SIGNED = re.compile(rf"(?:Signé|Gezeichnet|Signed|Firmato|Unterzeichnet)\s?:\s?((?:{INIT}|{WORD})[ \xa0](?:{PARTICLE} )?{WORD})")
 IS_TITLE = re.compile(rf"{TITLE}$")
-BEFORE = {
-    "phone": re.compile(r"(?:tél|tel|téléphone|telefon|telefono|phone|portable|mobile|natel|fax|rappeler|rufen|call|on|au|an)\W{0,5}\S{0,12}\W{0,3}$", re.I),
-    "national_id": re.compile(r"(?:avs|ahv|avs-nr|ahv-nr\.?|pièce|permis|carte|livret|id|ausweis|n°|nr\.?|n\.)\W{0,4}$", re.I),
-    "name": re.compile(rf"(?:{TITLE}|:|,|et|und|e|and|erteilt|contact|contatti)\s$"),
-    "address": re.compile(r"(?:domicile|domicilié|domiciliée|domiciliato|domiciliata|wohnhaft|of|depuis|in|adresse|:|,)\W{0,4}$", re.I),
-    "email": re.compile(r"(?:courriel|mail|à|an|a|at|,|adresse)\s$", re.I),
+#: Words before a candidate that tell what it is; candidates are labelled by them (fixed values).
+CUES = {
+    "phone": re.compile(r"(?:tél|tel|téléphone|telefon|telefono|phone|portable|mobile|natel|fax)\W{0,6}$", re.I),
+    "national_id": re.compile(r"(?:avs|ahv|ahv-nr|pièce|permis|carte|livret|\bid|ausweis)\W{0,4}$", re.I),
+    "number": re.compile(r"(?:réf|ref|compte|konto|conto|facture|code|ratios?|horaire|version|chf|fr|art|iban|n°|nr|no|du|vom|del)\W{0,4}(?:\w-)?$", re.I),
+    "address": re.compile(r"(?:domicile|domiciliée?|domiciliat[oa]|wohnhaft|\bof|depuis|adresse)\W{0,4}$", re.I),
+    "place": re.compile(r"(?:\b(?:la|le|les|au|aux|du|cette|der|die|das|the)\s|l[’'])$", re.I),
+    "email": re.compile(r"(?:courriel|mail|à|an|a|at)\s$", re.I),
+    "signed": re.compile(r"(?:Signé|Gezeichnet|Signed|Firmato|Unterzeichnet)\s?:\s?$"),
+    "ground": re.compile(r"(?:\b(?:entre|vers|quartier|secteur|parcelle|objet|pour|sur|quant à|côté de|variante de|rue|avenue|école|collège|à)|(?:préavis|postulat|motion|rapport) [\d-]+,)\s$", re.I),
 }
-AFTER_NAME = re.compile(r"\s?(?:,\s(?:né|née|of|wohnhaft|domicilié|domiciliat|tél|tel)|,|\s(?:et|und|e|and)\s|\s\(|\.|;|\n|$|\s(?:maintient|la retire|nous|est|au|on)\b)", re.I)
-
-
 BEFORE_GIVEN = re.compile(rf"(?<![\w’'-])((?:{PARTICLE} )?{WORD}) ?[ \xa0](?:{PARTICLE} )?$")
 AFTER_GIVEN = re.compile(rf"[ \xa0](?:{PARTICLE} )?({WORD})")
 LIST_BEFORE = re.compile(r"(?:[:,;]|\b(?:et|und|e|and|erteilt|contact))[ \xa0]$|\n$")
-CAPITAL = re.compile(rf"\b[{UP}](?:\.-[{UP}]\.|\.|[\w-]+)")
+INITIAL = re.compile(rf"\b[{UP}]\.(?:-[{UP}]\.)?")
+#: Two capitalized words that fill a place in a list or a line, as names do, and places.
+PAIR = re.compile(rf"(?<![\w’'-]){WORD} {WORD}(?=[,.;\n]|$)")
+PAIR_BEFORE = re.compile(r"(?:^|[:,;] |\b(?:et|e|und|and) |\n)$")
 IS_INIT = re.compile(rf"{INIT}$")
 AFTER_TITLE = re.compile(rf"(?<!\w){TITLE}[ \xa0](?:{PARTICLE} )?$")
 PERSON_AFTER = re.compile(r",\s(?:of|wohnhaft|née?|domicili)")
 
 
+_PARTICLES = re.compile(PARTICLE)
+
+
 def is_particle(word: str) -> bool:
-    return bool(re.fullmatch(PARTICLE, word))
+    return _PARTICLES.fullmatch(word) is not None
 
 
-def positions(text: str, words: tuple[str, ...]) -> Iterator[int]:
-    """Where one of the words stands."""
-    for word in words:
-        at = text.find(word)
-        while at >= 0:
-            yield at
-            at = text.find(word, at + 1)
+def back(text: str, at: int, words: int) -> int:
+    """The position so many words of the same line before ``at``."""
+    for _ in range(words):
+        while at and text[at - 1] in " \xa0":
+            at -= 1
+        while at and text[at - 1] not in " \xa0\n":
+            at -= 1
+    return at
+
+
+def lowered(text: str) -> str:
+    """Lower case, with as many characters."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
 @lru_cache(200_000)
@@ -108,16 +130,23 @@ def _ean(digits: str) -> bool:
     return len(digits) == 13 and (10 - sum(int(d) * (3 if i % 2 else 1) for i, d in enumerate(digits[:12])) % 10) % 10 == int(digits[12])
 
 
-def _groups(text: str) -> str:
-    """The lengths of the groups of digits, as in 3-3-2-2."""
-    return "-".join(str(len(g)) for g in re.findall(r"\d+", text))
+@lru_cache(1)
+def _sure_finder() -> ahocorasick.Automaton:
+    finder = ahocorasick.Automaton()
+    for pattern, words in ((TITLED, TITLE_WORDS), (SIGNED, SIGNATURES)):
+        for w in words:
+            finder.add_word(w, (len(w), pattern))
+    finder.make_automaton()
+    return finder
 
 
 def sure_tokens(text: str) -> list[str]:
     """The tokens of names in sure contexts: after a title or a signature."""
-    out = []
-    for pattern in (TITLED, SIGNED):
-        for m in pattern.finditer(text):
+    out, seen = [], set()
+    for last, (size, pattern) in _sure_finder().iter(lowered(text)):
+        start = last + 1 - size
+        if start not in seen and (m := pattern.match(text, start)):
+            seen.add(start)
             words = [w for w in re.split(r"[ \xa0]", m[1]) if len(w) > 2]
             if len(words) > 1:
                 out += words
@@ -125,147 +154,203 @@ def sure_tokens(text: str) -> list[str]:
 
 
 class Detector:
-    """Generators, features and the trees of each kind."""
+    """Generators, features and the trees of each kind.
 
-    def __init__(self, given: frozenset[str], forms: frozenset[str] = frozenset()):
+    ``given`` holds for each given name its share of the tokens in sure
+    contexts, ``forms`` its spellings.
+    """
+
+    def __init__(self, given: dict[str, float], forms: frozenset[str] = frozenset()):
         self.given = given
-        self.forms = frozenset(f for g in forms or given for f in (g, g.capitalize(), g.title(), g.upper()))
+        self.forms = frozenset(lowered(f) for f in forms or given)
         self.models: dict[str, Boosted] = {}
+        self.finder = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "finder": None}
+
+    def anchors(self, lower: str) -> Iterator[tuple[int, int, set[str]]]:
+        """(start, end, kinds) of all words that candidates are found by, in one pass over the text."""
+        if self.finder is None:
+            words: dict[str, set[str]] = {}
+            for kind, given in (("email", AT_WORDS), ("fr", STREETS), ("it", STREETS_IT), ("de", [w + " " for w in STREETS_DE]), ("en", [w.lower() for w in STREETS_EN]), ("title", TITLE_WORDS), ("name", self.forms)):
+                for w in given:
+                    words.setdefault(w, set()).add(kind)
+            self.finder = ahocorasick.Automaton()
+            for w, kinds in words.items():
+                self.finder.add_word(w, (len(w), kinds))
+            self.finder.make_automaton()
+        for last, (size, kinds) in self.finder.iter(lower):
+            yield last + 1 - size, last + 1, kinds
+
+    def is_given(self, token: str) -> bool:
+        return fold(token) in self.given
 
-    def names(self, text: str) -> Iterator[tuple[int, int, list[float], bool | None]]:
-        """Names behind titles, and pairs of a given name or initial with the word behind or before it."""
-        for m in TITLED.finditer(text):
+    def names(self, text: str, anchors: list[tuple[int, int]], titles: list[int]) -> Iterator[tuple[int, int, bool]]:
+        """(start, end, whether a title is before it): names behind titles, pairs of a given name or initial and the word behind or before it, other pairs."""
+        for m in (m for at in titles if (m := TITLED.match(text, at))):
             s, e = m.span(1)
             words = re.split(r"[ \xa0]", m[1])
             # a word after the name may begin the next sentence or title
             named = any(self.is_given(w) or w.endswith(".") or is_particle(w) for w in words)
             if len(words) > 1 and (IS_TITLE.match(words[-1]) or not named):
                 e = s + len(m[1]) - len(words[-1]) - 1
-            yield s, e, self.name_features(text, s, e, 1.0), True
-        for m in CAPITAL.finditer(text):
-            s, e = m.span()
-            init = e < s + 6 and text[e - 1] == "."
-            if init:
-                if IS_TITLE.match(m[0]) or not IS_INIT.match(m[0]):
-                    continue
-            elif m[0] not in self.forms:
+            yield s, e, True
+        found = [(s, e, False) for s, e in anchors if text[s].isupper() and not text[e : e + 1].isalnum() and text[e : e + 1] not in IN_WORD - {"."}]
+        found += [(*m.span(), True) for m in INITIAL.finditer(text) if not IS_TITLE.match(m[0])]
+        for s, e, init in sorted(found):
+            if s and (text[s - 1] in "-_.’'@" or text[s - 1].isalnum()):
                 continue
-            if s and text[s - 1] in "-_.’'@":
-                continue
-            if AFTER_TITLE.search(text, max(0, s - 20), s):
+            if AFTER_TITLE.search(text, max(0, s - 24), s):
                 continue  # found by its title
-            before = BEFORE_GIVEN.search(text, max(0, s - 48), s)
-            if before is not None and (IS_TITLE.match(before[1]) or self.is_given(before[1]) or AFTER_TITLE.search(text, max(0, before.start() - 14), before.start())):
+            before = BEFORE_GIVEN.search(text, back(text, s, 5), s)
+            if before is not None and (IS_TITLE.match(before[1]) or self.is_given(before[1]) or AFTER_TITLE.search(text, max(0, before.start() - 24), before.start())):
                 before = None
             after = AFTER_GIVEN.match(text, e)
             listed = before is not None and bool(LIST_BEFORE.search(text, max(0, before.start() - 10), before.start()) or before.start() == 0 or PERSON_AFTER.match(text, e))
             if listed or before is not None and after is None and not init:
-                yield before.start(), e, self.name_features(text, before.start(), e, 0.0), True if listed else None
+                yield before.start(), e, False
             elif after is not None and not IS_TITLE.match(after[1]):
-                sure = True
-                if init:
-                    sure = bool(LIST_BEFORE.search(text, max(0, s - 10), s) or s == 0 or PERSON_AFTER.match(text, after.end()))
-                yield s, after.end(), self.name_features(text, s, after.end(), 0.0), sure
-
-    def is_given(self, token: str) -> bool:
-        return fold(token) in self.given
-
-    def name_features(self, text: str, s: int, e: int, title: float) -> list[float]:
-        words = [w for w in re.split(r"[ \xa0]", text[s:e]) if w]
-        given = [self.is_given(w) for w in words]
+                yield s, after.end(), False
+        for m in PAIR.finditer(text):
+            if PAIR_BEFORE.search(text, max(0, m.start() - 5), m.start()) and not IS_TITLE.match(m[0].split(" ")[0]) and not any(map(self.is_given, m[0].split(" "))):
+                yield *m.span(), False
+
+    def name_features(self, text: str, s: int, e: int, title: bool) -> list[float]:
+        """The title counts for single words only; of longer names the trees see nothing of what stands before."""
+        words = [w for w in re.split(r"[ \xa0]", text[s:e]) if w and w != "la" and not is_particle(w)] or [text[s:e]]
+        share = [self.given.get(fold(w), 0.0) for w in words]
+        after = text[e : e + 1]
         return [
-            title, float(given[0]), float(given[-1]), float(sum(given)), float(len(words)), float(words[0].endswith(".") or words[-1].endswith(".")),
-            float(bool(BEFORE["name"].search(text[max(0, s - 20) : s]))), float(bool(AFTER_NAME.match(text[e : e + 16]))), float(s == 0 or text[s - 1] == "\n"),
-            float(len(words[-1])), float(text[s:e].isupper()), float(any(len(w) < 4 for w in words)),
+            float(title and len(words) == 1), share[0], share[-1], float(len(words)), float(words[0].endswith(".")), float(words[-1].endswith(".")),
+            float(not after or after == "\n"), float(text[e : e + 2] == " ("), float(after == " " and text[e + 1 : e + 2].isdigit()),
+            float(len(words[-1])), float(text[s:e].isupper()), float(words[-1].isupper() and len(words[-1]) > 2), float(min(map(len, words))), float("-" in words[0]),
         ]
 
-    def addresses(self, text: str) -> Iterator[tuple[int, re.Match]]:
-        """Matches of the address patterns, tried where a word for a street stands."""
-        lower = text.lower()
-        if len(lower) != len(text):
-            lower = text
-        for kind, words in ((0, STREETS), (2, STREETS_IT)):
-            for word in words:
-                at = lower.find(word)
-                while at >= 0:
-                    if (at == 0 or not lower[at - 1].isalnum()) and (m := ADDRESS[kind].match(text, at)):
-                        yield kind, m
-                    at = lower.find(word, at + 1)
-        for kind, words, where in ((1, STREETS_DE, lower), (3, STREETS_EN, text)):
-            for word in words:
-                at = where.find(word + (" " if kind == 1 else ""))
-                while at >= 0:
-                    end = at + len(word)
-                    if kind == 3 or text[end + 1 : end + 2].isdigit():
-                        begin = max(0, at - 40)
-                        for m in ADDRESS[kind].finditer(text, begin, min(len(text), end + 60)):
-                            if m.start() <= at < m.end():
-                                yield kind, m
-                                break
-                    at = where.find(word, at + 1)
+    def name_label(self, text: str, s: int, e: int, title: bool) -> bool | None:
+        before = text[max(0, s - 30) : s]
+        if title or CUES["signed"].search(before) or PERSON_AFTER.match(text, e):
+            return True
+        return False if CUES["ground"].search(before) else None
+
+    def addresses(self, text: str, anchors: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, int]]:
+        """(start, end, pattern number) of addresses at words for a street, and of streets without number (-1)."""
+        for s, e, kind in anchors:
+            if kind in ("fr", "it"):
+                if s and text[s - 1].isalnum():
+                    continue
+                if m := ADDRESS[0 if kind == "fr" else 2].match(text, s) or STREET_ONLY.match(text, s):
+                    yield *m.span(), -1 if m.re is STREET_ONLY else 0 if kind == "fr" else 2
+            elif kind == "de":
+                word = s
+                while word and (text[word - 1].isalnum() or text[word - 1] == "-"):
+                    word -= 1
+                m = next((m for lo in (back(text, word, 2), back(text, word, 1), word) if (m := ADDRESS[1].match(text, lo)) and m.start() <= s < m.end()), None)
+                if m:
+                    yield *m.span(), 1
+                elif text[word : word + 1].isupper():
+                    yield word, e - 1, -1
+            elif text[s].isupper() and not text[e : e + 1].isalnum():
+                if m := next((m for n in (4, 3, 2) if (m := ADDRESS[3].match(text, back(text, s, n))) and m.start() <= s < m.end()), None):
+                    yield *m.span(), 3
+
+    def emails(self, text: str, anchors: list[int]) -> Iterator[re.Match]:
+        seen = -1
+        for at in anchors:
+            if at < seen:
+                continue
+            start = at - (at > 0 and text[at - 1].isspace())
+            while start and (text[start - 1].isalnum() or text[start - 1] in IN_WORD):
+                start -= 1
+            while start < at and not (text[start].isalnum() or text[start] == "_"):
+                start += 1
+            if (m := EMAIL.match(text, start) or EMAIL.match(text, at)) and m.end() > at:
+                seen = m.end()
+                yield m
 
     def candidates(self, text: str, fitting: bool = False) -> Iterator[tuple[str, int, int, list[float], bool | None]]:
-        """(kind, start, end, features, label); the label is None where no rule is sure."""
-        seen, lower = -1, text.lower()
-        for at in sorted(positions(lower if len(lower) == len(text) else text, AT_WORDS)):
-            m = next((x for x in EMAIL.finditer(text, max(0, at - 70), at + 90) if x.start() <= at < x.end()), None)
-            if m is None or m.start() <= seen:
-                continue
-            seen = m.start()
-            span = m[0]
-            at = re.search(r"@|\bat\b|arobase", span, re.I)
-            domain = span[at.end() :]
+        """(kind, start, end, features, label); the label, by the words beside the candidate, is given only for fitting and None where they tell nothing."""
+        ats, streets, given, titles = [], [], [], []
+        for s, e, kinds in self.anchors(lowered(text)):
+            for kind in kinds:
+                if kind == "email":
+                    ats.append(s)
+                elif kind == "name":
+                    given.append((s, e))
+                elif kind == "title":
+                    titles.append(s)
+                else:
+                    streets.append((s, e, kind))
+        for m in self.emails(text, sorted(ats)):
+            s, e, span = *m.span(), m[0]
+            at = re.search(r"@|\b(?:at|arobase|chez|ät)\b", span, re.I)
+            local, domain = span[: at.start()].rstrip(" ([{<"), span[at.end() :]
             parts = re.findall(r"[\w-]+", re.sub(r"\b(?:point|dot|punkt|punto)\b", " ", domain, flags=re.I))
-            signs = "@" in span or re.search(r"[\[({<]", span) is not None
-            label = len(parts) >= 2 and at.start() > 0 and signs
-            yield "email", m.start(), m.end(), [float(signs), float(len(parts)), float(at.start()), float("." in span), float("_" in span or "+" in span), float(bool(BEFORE["email"].search(text[max(0, m.start() - 12) : m.start()]))), float(" " in span)], label
+            label = None
+            if fitting:
+                mention = at[0] == "@" and (at.start() == 0 or span[at.start() - 1].isspace()) and not domain[:1].isspace()
+                label = False if mention else True if CUES["email"].search(text[max(0, s - 10) : s]) else None
+            yield "email", s, e, [float(at[0] == "@"), float(len(parts)), float(len(local)), float(len(parts[-1]) if parts else 0), float("." in span), float("_" in span or "+" in span), float(span.count(" ")), float("\n" in span), float(any(x in span for x in "[({<")), float(text[e : e + 2] == " :")], label
         for m in DIGITS.finditer(text):
             span = m[0]
-            digits = re.sub(r"\D", "", span)
+            if len(span) < 8:
+                continue
+            digits = "".join(filter(str.isdigit, span))
             n = len(digits)
             if n < 8 or n > 16:
                 continue
-            before = text[max(0, m.start() - 24) : m.start()]
-            groups = _groups(span)
-            international = span.lstrip("(").startswith("+") or digits.startswith("00")
-            national = n == 10 and digits[0] == "0" and digits[1] in "123456789"
-            usual = groups in ("10", "3-3-2-2", "3-7", "3-3-4", "4-2-2-2", "3-2-2-3", "2-2-2-2-2") or span.startswith("(0") and groups in ("3-3-2-2", "3-7")
-            foreign = international and 10 <= n - (3 if digits.startswith("00") else 0) <= 13
-            common = [float(n), float(international), float(national), float(usual), float(groups.count("-")), float("." in span), float("/" in span), float(digits.startswith("756")), float(_ean(digits)), float("-" in span)]
-            label = bool(foreign or national and usual)
             # a bracket around the whole number isn't part of it
             start = m.start() + (span[0] == "(" and not re.match(r"\(\+?\d{2,4}\)", span))
-            yield "phone", start, m.end(), [*common, float(bool(BEFORE["phone"].search(before)))], label
-            social = n == 13 and digits.startswith("756") and groups in ("13", "3-4-4-2")
-            permit = groups == "3-3-3-1" and span[-2] == "-"
-            yield "national_id", m.start(), m.end(), [*common, float(bool(BEFORE["national_id"].search(before))), float(permit), 0.0], social or permit
+            features = self.number_features(text, m.start(), m.end(), span, digits)
+            phone = social = None
+            if fitting:
+                before = text[max(0, m.start() - 24) : m.start()]
+                cue = next((k for k in ("phone", "national_id", "number") if CUES[k].search(before)), None)
+                phone, social = (cue == "phone", cue == "national_id") if cue else (None, None)
+            yield "phone", start, m.end(), features, phone
+            yield "national_id", m.start(), m.end(), features, social
         for m in LETTER_ID.finditer(text):
-            if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "-_"):
+            s, e = m.span()
+            if s and (text[s - 1].isalnum() or text[s - 1] in "-_"):
                 continue
-            before = text[max(0, m.start() - 24) : m.start()]
-            n = len(re.sub(r"\D", "", m[0]))
-            yield "national_id", m.start(), m.end(), [float(n), 0, 0, 0, 0, 0, float("/" in m[0]), 0, 0, float("-" in m[0]), float(bool(BEFORE["national_id"].search(before))), 0.0, 1.0], n == 7 and "/" not in m[0]
-        for i, m in self.addresses(text):
-            tail = m[0][-24:]
-            yield "address", m.start(), m.end(), [float(i), 1.0, float(bool(re.search(r"\d{4} ", tail))), float(bool(BEFORE["address"].search(text[max(0, m.start() - 16) : m.start()]))), float(len(m[0]))], True
-        for m in STREET_ONLY.finditer(text) if fitting else ():
-            if not re.match(rf"[^\n.]{{0,30}}?\s{NUMBER}", text[m.end() : m.end() + 40]):
-                yield "address", m.start(), m.end(), [0.0, 0.0, 0.0, float(bool(BEFORE["address"].search(text[max(0, m.start() - 16) : m.start()]))), float(len(m[0]))], False
+            label = None
+            if fitting:
+                before = text[max(0, s - 24) : s]
+                label = True if CUES["national_id"].search(before) else False if CUES["number"].search(before) else None
+            yield "national_id", s, e, self.number_features(text, s, e, m[0], "".join(filter(str.isdigit, m[0]))), label
+        for s, e, pattern in self.addresses(text, streets):
+            label = None
+            if fitting:
+                before = text[max(0, s - 20) : s]
+                label = True if CUES["address"].search(before) else False if CUES["place"].search(before) else None
+            span = text[s:e]
+            last = span.rsplit("\n", 1)[-1]
+            yield "address", s, e, [float(any(map(str.isdigit, span))), float(len(re.findall(r"\d+", span))), float(bool(re.search(r"\d{4} ", span))), float(e - s), float(span.count(" ")), float(len(last)), float(text[s - 1 : s] in ("", "\n")), float(text[max(0, s - 2) : s] == ": "), float(text[e : e + 1] in ("", "\n", ".", ",")), float(span[:1].isupper())], label
+        for s, e, title in self.names(text, given, sorted(set(titles))):
+            yield "name", s, e, self.name_features(text, s, e, title), self.name_label(text, s, e, title) if fitting else None
         if fitting:
-            # pairs of capitalized words without a given name or title: places and beginnings of sentences
-            for m in re.finditer(rf"(?<![\w’'-]){WORD} {WORD}", text):
-                if not any(self.is_given(w) or IS_TITLE.match(w) for w in m[0].split(" ")) and not AFTER_TITLE.search(text, max(0, m.start() - 20), m.start()):
-                    yield "name", m.start(), m.end(), self.name_features(text, m.start(), m.end(), 0.0), False
-        for s, e, features, label in self.names(text):
-            yield "name", s, e, features, label
+            # a single word without a title isn't a name
+            for m in re.finditer(rf"(?<=[a-zé] )({WORD})(?= [a-zà])", text):
+                if not AFTER_TITLE.search(text, max(0, m.start() - 24), m.start()) and not self.is_given(m[0]):
+                    yield "name", *m.span(), self.name_features(text, *m.span(), False), False
+
+    def number_features(self, text: str, s: int, e: int, span: str, digits: str) -> list[float]:
+        """Digits, grouping, signs and what stands at the sides."""
+        groups = [float(len(g)) for g in re.findall(r"\d+", span)][:6]
+        return [
+            float(len(digits)), float("+" in span), float(digits[:2] == "00"), float(digits[0] == "0"), float(digits[:1] == "0" and digits[1:2] not in "0"), float(digits[:3] == "756"), float(_ean(digits)),
+            float(span[0].isalpha()), float("." in span), float("/" in span), float(span.count("-")), float(span[-2:-1] == "-"), float("(" in span), float(" " in span or "\xa0" in span), float(len(groups)), *groups, *[0.0] * (6 - len(groups)),
+            float(text[e : e + 2] == " :"), float(text[s - 1 : s] == "("),
+        ]
 
     def fit(self, texts: list[str]) -> Detector:
         rows: dict[str, list] = {k: [] for k in KINDS}
         sizes: Counter = Counter()
         for text in texts:
             for kind, _, _, features, label in self.candidates(text, fitting=True):
-                if label is not None and sizes[kind, label] < SAMPLE_CANDIDATES:
-                    sizes[kind, label] += 1
+                group = kind, label, kind == "name" and features[3] == 1
+                if label is not None and sizes[group] < SAMPLE_CANDIDATES:
+                    sizes[group] += 1
                     rows[kind].append((features, label))
         for kind, found in rows.items():
             x = np.array([f for f, _ in found], float)
@@ -284,7 +369,7 @@ class Detector:
             if rows and (model := self.models.get(kind)):
                 scores[rows] = model.score(np.array([spans[i][4] for i in rows], float)) - model.threshold
         kept: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-        for i in sorted(range(len(spans)), key=lambda i: (spans[i][0], -(spans[i][3] - spans[i][2]) * (scores[i] > 0), spans[i][2])):
+        for i in sorted(range(len(spans)), key=lambda i: (spans[i][0], -(spans[i][3] - spans[i][2]) * (scores[i] >= 0), -scores[i], spans[i][2])):
             d, kind, s, e, _ = spans[i]
             if scores[i] >= 0 and all(e <= a or b <= s for a, b, _, _ in kept[d]):
                 kept[d].append((s, e, kind, float(scores[i])))
@@ -309,7 +394,7 @@ def fit_detector(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     total = tokens.agg(F.sum("n")).first()[0] or 0
     folded = tokens.groupBy(fold_text(F.col("token")).alias("given")).agg(F.sum("n").alias("n"), F.sort_array(F.collect_set("token")).alias("forms"))
     found = folded.where(F.col("n") >= F.greatest(F.lit(2), F.lit(total * GIVEN_SHARE))).collect()
-    given, forms = frozenset(fold(r["given"]) for r in found), frozenset(f for r in found for f in r["forms"])
+    given, forms = {fold(r["given"]): r["n"] / total for r in found}, frozenset(f for r in found for f in r["forms"])
     n = texts.count()
     share = min(1.0, 1.3 * sample / max(n, 1))
     h = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30))
