@@ -13,7 +13,8 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +30,11 @@ LEAST_GAIN = 3.0
 SAME_GAIN = -1.0
 #: A pair carries information if it does so this often in a million pairs.
 COMMON = 4000.0
+#: Pairs rarer than this share of all pairs count as unseen; so there are at most 1 / SHARE of them on the driver.
+SHARE = 1e-7
 
 LOST = "�"
-_CONTROL = re.compile("[\x80-\x9f]")
+_BROKEN = re.compile("[\x80-\x9f\ufffd]")
 _CLUSTER = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -68,41 +71,53 @@ class PairModel:
             self.right[b] = self.right.get(b, 0) + n
         self.total = max(1, sum(counts.values()))
         self.to_byte, self.single = _tables()
-        self.memo: dict[tuple[str, str], float] = {}
+        self.memo: dict[tuple[str, str, str], list] = {}
 
     def information(self, a: str, b: str) -> float:
         """The pair's share of the corpus' mutual information, per million pairs, less what is common; in logarithms.
 
-        Negative for improbable pairs.
+        Negative for improbable pairs.  Control and replacement characters are
+        no text, so pairs with them carry none.
         """
         n = self.pairs.get((a, b), 0)
-        if not n:
+        if not n or _BROKEN.match(a) or _BROKEN.match(b):
             return -4.0
         mutual = math.log2(n * self.total / (self.left[a] * self.right[b]))
         return max(-4.0, min(4.0, math.log2((1 + n * max(mutual, 0.0) * 1e6 / self.total) / COMMON)))
 
-    def runs(self, text: str) -> list[tuple[int, int]]:
-        """Maximum-scoring segments of improbable pairs (Ruzzo and Tompa), as [start, end) in characters."""
-        padded = "\0" + text + "\0"
-        stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
-        total = 0.0
-        for i in range(len(padded) - 1):
-            a, b = padded[i], padded[i + 1]
-            score = -self.information(a, b) if not (a.isascii() and b.isascii()) else -1.0
-            before, total = total, total + score
-            if score <= 0:
-                continue
-            cur = (i, i + 1, before, total)
-            while True:
-                j = len(stack) - 1
-                while j >= 0 and stack[j][2] >= cur[2]:
-                    j -= 1
-                if j < 0 or stack[j][3] >= cur[3]:
-                    break
-                cur = (stack[j][0], cur[1], stack[j][2], cur[3])
-                del stack[j:]
-            stack.append(cur)
-        return [(max(0, s - 1), min(len(text), e)) for s, e, _, _ in stack]
+    def runs(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """For each text the maximum-scoring segments of improbable pairs (Ruzzo and Tompa), as [start, end) in characters.
+
+        A pair scores by the information it lacks; pairs of two ASCII
+        characters, which no wrong decoding makes, score 1 below.  All pairs of
+        the batch are scored at once, each different one once.
+        """
+        joined = "\0" + "\0".join(texts) + "\0"
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
+        kinds, where = np.unique((codes[:-1] << 21) | codes[1:], return_inverse=True)
+        scored = np.array([-1.0 if a < 128 and b < 128 else -self.information(chr(a), chr(b)) for a, b in zip((kinds >> 21).tolist(), (kinds & ((1 << 21) - 1)).tolist())])
+        scores = scored[where]
+        bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        up = np.flatnonzero(scores > 0)
+        of = np.searchsorted(bounds, up, "right") - 1
+        for k in np.unique(of):
+            first = int(bounds[k])
+            sums = np.concatenate([[0.0], np.cumsum(scores[first : int(bounds[k + 1])])])
+            stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+            for i in (up[of == k] - first).tolist():
+                cur = (i, i + 1, sums[i], sums[i + 1])
+                while True:
+                    j = len(stack) - 1
+                    while j >= 0 and stack[j][2] >= cur[2]:
+                        j -= 1
+                    if j < 0 or stack[j][3] >= cur[3]:
+                        break
+                    cur = (stack[j][0], cur[1], stack[j][2], cur[3])
+                    del stack[j:]
+                stack.append(cur)
+            out[k] = [(max(0, s - 1), min(len(texts[k]), e)) for s, e, _, _ in stack]
+        return out
 
     def log(self, a: str, b: str) -> float:
         return math.log((self.pairs.get((a, b), 0) + 0.02) / (self.left.get(a, 0) + 4.0))
@@ -140,35 +155,59 @@ class PairModel:
                 any_found = True
         return "".join(out) if any_found else None
 
-    def repair(self, text: str) -> tuple[str, bool]:
-        """The text with wrong decodings undone, and whether it was damaged."""
-        damaged = LOST in text or bool(_CONTROL.search(text))
-        for _ in range(3):
-            suspects = self.runs(text)
-            clusters = [
-                (m.start(), m.end() + (m.end() < len(text) and text[m.end()] == " " and m[0][-1] in "ÃÂГ"))
-                for m in _CLUSTER.finditer(text)
-                if any(s < m.end() and m.start() < e for s, e in suspects) and m[0].strip(LOST)
-            ]
-            best_gain, best = 0.0, None
-            for kind in [*READ_AS, *SINGLE]:
-                new, gain, shift, sure = text, 0.0, 0, False
-                for s, e in clusters:
-                    run = text[s:e]
-                    fixed = self.utf8(run, kind) if isinstance(kind, str) else "".join(self.single[kind].get(c, c) for c in run)
-                    if fixed is None or fixed == run:
-                        continue
-                    at = s + shift
-                    trial = new[:at] + fixed + new[at + len(run) :]
-                    g = self.likelihood(trial, at, at + len(fixed)) - self.likelihood(new, at, at + len(run))
-                    if g >= SAME_GAIN:
-                        new, gain, shift, sure = trial, gain + g, shift + len(fixed) - len(run), sure or g >= LEAST_GAIN
-                if sure and gain > best_gain:
-                    best_gain, best = gain, new
-            if best is None:
-                break
-            text, damaged = best, True
-        return text, damaged
+    def undone(self, before: str, run: str, after: str) -> list[tuple[int, str, float]]:
+        """The inverse mappings that make the run between its neighbours no less probable: number of the mapping, result, gain."""
+        key = before, run, after
+        if (known := self.memo.get(key)) is not None:
+            return known
+        out, was = [], self.likelihood(before + run + after, len(before), len(before) + len(run))
+        for k, kind in enumerate((*READ_AS, *SINGLE)):
+            fixed = self.utf8(run, kind) if isinstance(kind, str) else "".join(self.single[kind].get(c, c) for c in run)
+            if fixed is None or fixed == run:
+                continue
+            gain = self.likelihood(before + fixed + after, len(before), len(before) + len(fixed)) - was
+            if gain >= SAME_GAIN:
+                out.append((k, fixed, gain))
+        if len(self.memo) > 100_000:
+            self.memo.clear()
+        self.memo[key] = out
+        return out
+
+    def repair(self, texts: list[str]) -> list[tuple[str, bool]]:
+        """Each text with wrong decodings undone, and whether it was damaged.
+
+        One mapping is chosen for a text: the one with the largest gain over
+        all of its runs.  That is repeated until nothing gains, as text may be
+        damaged more than once.
+        """
+        done, damaged = list(texts), [False] * len(texts)
+        left = list(range(len(texts)))
+        while left:
+            again = []
+            for i, runs in zip(left, self.runs([done[i] for i in left])):
+                text = done[i]
+                damaged[i] |= any(_BROKEN.search(text, s, e) for s, e in runs)
+                pieces = []
+                for m in _CLUSTER.finditer(text) if runs else ():
+                    for s, e in runs:
+                        lo, hi = max(s, m.start()), min(e, m.end())
+                        if lo < hi and text[lo:hi].strip(LOST):
+                            hi += hi < len(text) and text[hi] == " " and text[hi - 1] in "ÃÂГ"
+                            pieces.append((lo, hi))
+                gains: dict[int, list] = {}
+                for lo, hi in pieces:
+                    for k, fixed, gain in self.undone(text[max(0, lo - 1) : lo], text[lo:hi], text[hi : hi + 1]):
+                        gains.setdefault(k, []).append((gain, lo, hi, fixed))
+                sure = {k: sum(g[0] for g in found) for k, found in gains.items() if max(found)[0] >= LEAST_GAIN}
+                best = max(sure, key=lambda k: (sure[k], -k), default=None)
+                if best is None or sure[best] <= 0:
+                    continue
+                for _, lo, hi, fixed in reversed(gains[best]):
+                    text = text[:lo] + fixed + text[hi:]
+                done[i], damaged[i] = text, True
+                again.append(i)
+            left = again
+        return list(zip(done, damaged))
 
 
 def _values(table: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
@@ -179,29 +218,32 @@ def _values(table: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
 def pair_model(values: DataFrame) -> PairModel:
     """The model of the ``value`` column, counted over all rows.
 
-    What comes to the driver are counts of pairs of characters: as many rows
-    as there are pairs in use, whatever the size of the corpus.
+    What comes to the driver are counts of pairs of characters, at most
+    1 / SHARE of them whatever the size of the corpus; rarer pairs carry as
+    little information as unseen ones.
     """
-    counts = (
+    counts = cut(
         values.groupBy("value").agg(F.count("*").alias("n"))
         .select("n", F.concat(F.lit("\0"), "value", F.lit("\0")).alias("v"))
         .select("n", F.explode(F.expr("transform(sequence(1, length(v) - 1), i -> substring(v, i, 2))")).alias("pair"))
         .groupBy("pair").agg(F.sum("n").alias("n"))
     )
-    return PairModel({(r[0][0], r[0][1]): r[1] for r in counts.toLocalIterator() if len(r[0]) == 2})
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return PairModel({(r[0][0], r[0][1]): r[1] for r in counts.where(F.col("n") >= total * SHARE).toLocalIterator() if len(r[0]) == 2})
 
 
 def _repaired(distinct: DataFrame, fitted: PairModel) -> DataFrame:
     model = distinct.sparkSession.sparkContext.broadcast(fitted)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(v, *model.value.repair(v)) for v in batch["value"]]
-            yield pd.DataFrame([(v, r) for v, r, damaged in found if damaged], columns=["value", "repaired"])
+            values = batch.column(0).to_pylist()
+            found = [(v, r) for v, (r, damaged) in zip(values, model.value.repair(values)) if damaged]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.string()), pa.array([r for _, r in found], pa.string())], ["value", "repaired"])
 
     # values are few bytes but much work: their number of tasks isn't left to their size
     tasks = 3 * distinct.sparkSession.sparkContext.defaultParallelism
-    return distinct.repartition(tasks, "value").mapInPandas(run, "value string, repaired string")
+    return distinct.repartition(tasks, "value").mapInArrow(run, "value string, repaired string")
 
 
 def repair_fields(table: DataFrame, key: str = "document_id", fields: tuple[str, ...] = ("title", "commune")) -> DataFrame:
