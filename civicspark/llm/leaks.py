@@ -4,7 +4,9 @@ Texts are reduced to streams of letters and digits.  The character q-grams a
 text shares with an item are counted in overlapping diagonal bands; by the
 q-gram lemma a region that holds the wanted words with at most ``edits``
 errors shares at least ``length - q + 1 - q * edits`` of them in one band.
-Bands below that bound are dropped, the others are verified by alignment.
+Windows of words below that bound are dropped, the others are verified by
+banded alignment, all windows of a batch together.  Where the words have to be
+the same, runs of equal words are taken from the windows that were verified.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from civicspark.session import spread
 Q = 14
 #: Characters of items that are held against the corpus at a time; more are taken in blocks.
 BLOCK_CHARS = 4_000_000
+#: Errors that a window of words may hold for the filter and the alignment.
+EDITS = 2
+#: Shared q-grams that are looked at at a time; batches with more are cut in halves, by documents and then by items.
+MOST_HITS = 4_000_000
 #: Bits of the table that sorts out q-grams no item has.
 FILTER_BITS = 22
 
@@ -64,33 +70,32 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def banded_distance(a: bytes, b: bytes, edits: int) -> int:
-    """The least number of edits between ``a`` and any part of ``b``, or ``edits + 1`` if there are more.
+def banded_distances(a: list[bytes], b: list[bytes], width: int, edits: int) -> np.ndarray:
+    """For each i the least number of edits between ``a[i]`` and a part of ``b[i]``, or ``edits + 1`` if there are more.
 
-    Only cells near the diagonal are computed; ``b`` is longer than ``a`` by
-    at most ``2 * edits``.
+    Only cells up to ``width`` beyond the diagonal are computed: ``b[i]`` holds
+    what may align with ``a[i]``, from ``edits`` before its first character to
+    ``width - edits`` behind its last one.
     """
-    width = len(b) - len(a) + 2 * edits + 1
-    if width <= 0:
-        return edits + 1
+    n, long = len(a), max(map(len, a), default=0)
     far = edits + 1
-    row = [0 if 0 <= j - edits <= len(b) else far for j in range(width)]
-    for i, c in enumerate(a, 1):
-        new = [far] * width
-        for k in range(width):
-            j = i + k - edits
-            if not 0 <= j <= len(b):
-                continue
-            best = far
-            if j > 0:
-                best = row[k] + (b[j - 1] != c)
-            if k + 1 < width:
-                best = min(best, row[k + 1] + 1)
-            if k > 0:
-                best = min(best, new[k - 1] + 1)
-            new[k] = min(best, far)
-        row = new
-    return min(row)
+    pattern = np.zeros((n, long), np.uint8)
+    text = np.full((n, long + width + 1), 255, np.uint8)
+    for i, (x, y) in enumerate(zip(a, b)):
+        pattern[i, : len(x)] = np.frombuffer(x, np.uint8)
+        y = y[: long + width + 1]
+        text[i, : len(y)] = np.frombuffer(y, np.uint8)
+    sizes, steps = np.array([len(x) for x in a]), np.arange(width + 1)
+    # row[i, k] is the cost of aligning the first r characters of a[i] with a part of b[i] that ends before character r + k
+    row = np.zeros((n, width + 1), np.int16)
+    out = np.full(n, far)
+    for r in range(long):
+        out[sizes == r] = row[sizes == r].min(1) if (sizes == r).any() else 0
+        best = row + (text[:, r : r + width + 1] != pattern[:, r : r + 1])
+        best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 1)
+        row = np.minimum.accumulate(best - steps, 1) + steps
+    out[sizes == long] = row[sizes == long].min(1)
+    return np.minimum(out, far)
 
 
 class Items:
@@ -119,46 +124,82 @@ class Items:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
 
-    def find(self, texts: list[str]) -> list[tuple[int, int, int]]:
-        """(text number, item id, words) of the passages found; words is the length of the longest."""
+    def hits(self, grams: np.ndarray, parts: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the texts hold a q-gram of the parts, the first of its places in the sorted q-grams, and how many there are."""
+        at = np.flatnonzero(self.filter[(grams & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
+        low, high = np.searchsorted(self.hashes, grams[at], "left"), np.searchsorted(self.hashes, grams[at], "right")
+        if parts != (0, len(self.ids)):
+            # places of a q-gram are in order
+            first, last = self.offsets[parts[0]], self.offsets[parts[1]] if parts[1] < len(self.ids) else len(self.places)
+            inside = np.concatenate([[0], np.cumsum((self.places >= first) & (self.places < last))])
+            before = np.concatenate([[0], np.cumsum(self.places < first)])
+            skip = before[high] - before[low]
+            low, high = low + skip, low + skip + inside[high] - inside[low]
+        keep = high > low
+        return at[keep], low[keep], (high - low)[keep]
+
+    def find(self, texts: list[str], exact: bool = True, parts: tuple[int, int] | None = None) -> list[tuple[int, int, int]]:
+        """(text number, item id, words) of the passages found; words is the length of the longest, or the number asked for where errors are permitted."""
         if not len(self.hashes) or not texts:
             return []
+        parts = parts or (0, len(self.ids))
         streams = [stream(t) for t in texts]
         codes = np.frombuffer(b"\0".join(s for s, _, _ in streams), np.uint8)
         begin = np.cumsum([0] + [len(s) + 1 for s, _, _ in streams])[:-1]
-        grams = _grams(codes, Q)
-        at = np.flatnonzero(self.filter[(grams & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
-        low, high = np.searchsorted(self.hashes, grams[at], "left"), np.searchsorted(self.hashes, grams[at], "right")
-        many = high - low
-        at, low, many = at[many > 0], low[many > 0], many[many > 0]
+        at, low, many = self.hits(_grams(codes, Q), parts)
+        if not len(at):
+            return []
+        if many.sum() > MOST_HITS and (len(texts) > 1 or parts[1] - parts[0] > 1):
+            half, middle = len(texts) // 2, sum(parts) // 2
+            if half:
+                return self.find(texts[:half], exact, parts) + [(d + half, i, w) for d, i, w in self.find(texts[half:], exact, parts)]
+            found = self.find(texts, exact, (parts[0], middle)) + self.find(texts, exact, (middle, parts[1]))
+            return [(0, i, max(w for _, j, w in found if j == i)) for i in {j for _, j, _ in found}]
         pos = np.repeat(at, many)
         place = self.places[np.repeat(low, many) + np.arange(len(pos)) - np.repeat(np.cumsum(many) - many, many)]
         doc = np.searchsorted(begin, pos, "right") - 1
         part = np.searchsorted(self.offsets, place, "right") - 1
-        diagonal = (pos - begin[doc]) - (place - self.offsets[part])
+        pos, place = pos - begin[doc], place - self.offsets[part]
         # bands as wide as two times the edits, overlapping by half
+        diagonal = pos - place
         step = max(1, self.edits)
-        out: dict[tuple[int, int], int] = {}
-        if not len(pos):
-            return []
         shift = diagonal.min()
+        windows: list[tuple] = []
+        bands: dict[tuple, np.ndarray] = {}
         for half in range(2 if self.edits else 1):
             band = (diagonal - shift + half * step) // (2 * step if self.edits else 1)
-            order = np.lexsort((pos, band, part, doc))
+            order = np.lexsort((place, band, part, doc))
             key = np.stack([doc[order], part[order], band[order]])
             edge = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
             size = np.diff(np.r_[edge, len(order)])
             bound = np.array(self.bound)[key[1, edge]]
             for e, n in zip(edge[size >= bound], size[size >= bound]):
-                d, p = int(key[0, e]), int(key[1, e])
-                rows = order[e : e + n]
-                words = self._exact(streams[d], p, int(diagonal[rows[0]]), pos[rows] - begin[d]) if not self.edits else self._aligned(streams[d], p, diagonal[rows])
+                d, p, rows = int(key[0, e]), int(key[1, e]), order[e : e + n]
+                shared = np.unique(place[rows])
+                a, b = self.starts[p][: len(self.starts[p]) - self.words + 1], self.ends[p][self.words - 1 :]
+                # q-grams shared within each window of words
+                count = np.searchsorted(shared, b - Q, "right") - np.searchsorted(shared, a, "left")
+                kept = np.flatnonzero(count >= np.maximum(1, b - a - Q + 1 - Q * self.edits))
+                if len(kept):
+                    bands[d, p, half, int(key[2, e])] = rows
+                    windows += [(d, p, half, int(key[2, e]), int(a[i]), int(b[i]), int(diagonal[rows].min()), int(diagonal[rows].max())) for i in kept]
+        out: dict[tuple[int, int], int] = {}
+        for lo in range(0, len(windows), 4000):
+            some = windows[lo : lo + 4000]
+            width = 2 * self.edits + max(w[7] - w[6] for w in some)
+            near = [streams[w[0]][0][max(0, w[4] + w[6] - self.edits) : w[5] + w[7] + self.edits] for w in some]
+            # a window that would begin before the text is moved to its beginning
+            near = [b"\xfe" * max(0, self.edits - w[4] - w[6]) + x for w, x in zip(some, near)]
+            distance = banded_distances([self.texts[w[1]][w[4] : w[5]] for w in some], near, width, self.edits)
+            for key in {w[:4] for w, x in zip(some, distance) if x <= self.edits}:
+                d, p, rows = key[0], key[1], bands[key]
+                words = max(self._equal(streams[d], p, int(x), pos[rows[diagonal[rows] == x]]) for x in np.unique(diagonal[rows])) if exact else self.words
                 if words >= self.words:
                     k = (d, self.ids[p])
                     out[k] = max(out.get(k, 0), words)
         return [(d, i, w) for (d, i), w in out.items()]
 
-    def _exact(self, text: tuple, part: int, diagonal: int, pos: np.ndarray) -> int:
+    def _equal(self, text: tuple, part: int, diagonal: int, pos: np.ndarray) -> int:
         """Whole words of the longest run that is equal along the diagonal."""
         _, text_start, text_end = text
         best = 0
@@ -172,25 +213,18 @@ class Items:
                 best = max(best, int(last[-1] - first[0] + 1))
         return best
 
-    def _aligned(self, text: tuple, part: int, diagonals: np.ndarray) -> int:
-        """``words`` if a window of so many words aligns within the edits near the diagonals."""
-        lo, hi = int(diagonals.min()) - self.edits, int(diagonals.max()) + self.edits
-        start, end = self.starts[part], self.ends[part]
-        for i in range(len(start) - self.words + 1):
-            a, b = int(start[i]), int(end[i + self.words - 1])
-            if banded_distance(self.texts[part][a:b], text[0][max(0, a + lo) : max(0, b + hi)], self.edits + (hi - lo)) <= self.edits:
-                return self.words
-        return 0
-
 
 def leaked_items(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    parts: tuple[str, ...] = ("question", "passage"), words: int = 16, edits: int = 0,
+    parts: tuple[str, ...] = ("question", "passage"), words: int = 16, edits: int = EDITS, exact: bool = True,
 ) -> DataFrame:
     """The documents that contain ``words`` consecutive words of a part of an item.
 
-    Gives ``doc_id``, ``item_id`` and ``words``, the number of words of the
-    longest passage (with edits: the number asked for), one row for each pair.
+    Gives ``doc_id``, ``item_id`` and ``words``, one row for each pair.  Passages
+    are searched with at most ``edits`` inserted, left out or replaced
+    characters in ``words`` words.  With ``exact`` those are kept that hold so
+    many equal words in a row, and ``words`` is the length of the longest run;
+    without, ``words`` is the number asked for.
     Case, accents, punctuation, spacing and line breaks don't count.  Null and
     empty texts and parts contain nothing; a part shorter than ``words`` can't
     be found.  Items are held against the corpus in blocks of bounded size, so
@@ -210,7 +244,7 @@ def leaked_items(
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1000):
                     part = batch.slice(lo, 1000)
-                    found = shared.value.find(part.column(1).to_pylist())
+                    found = shared.value.find(part.column(1).to_pylist(), exact)
                     ids = part.column(0)
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32())],
@@ -227,6 +261,11 @@ def leaked_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:
     return leaked_items(documents, items).select("doc_id", "item_id")
 
 
+def near_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs of document and item where 16 words agree up to ``EDITS`` characters: passages that were changed a little."""
+    return leaked_items(documents, items, exact=False).select("doc_id", "item_id")
+
+
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:
     """For each item that leaked: in how many documents, and the longest passage in words."""
     found = leaked_items(documents, items)

@@ -230,8 +230,44 @@ def test_leaks_against_brute_force(spark):
 def test_leaks_with_edits():
     base = "un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize"
     items = leaks.Items([(1, base)], 16, 2)
-    assert items.find(["avant " + base.replace("huit", "huix") + " fin", base.replace("huit", "zzzzz")]) == [(0, 1, 16)]
-    assert leaks.banded_distance(b"abcdef", b"xxabdefyy", 2) == 1
+    texts = ["avant " + base.replace("huit", "huix") + " fin", base.replace("huit", "zzzzz"), "x " + base]
+    assert sorted(items.find(texts, exact=False)) == [(0, 1, 16), (2, 1, 16)]
+    assert items.find(texts) == [(2, 1, 16)]
+
+
+def test_banded_distances_against_brute_force():
+    rng = random.Random(5)
+
+    def whole(a, b):
+        """The least edits between a and any part of b."""
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    a, b = [], []
+    for _ in range(300):
+        x = [rng.choice(b"abc") for _ in range(rng.randint(5, 12))]
+        y = list(x)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(y))
+            y[k : k + rng.choice([0, 1])] = [rng.choice(b"abc")] if rng.random() < 0.7 else []
+        a.append(bytes(x))
+        b.append(bytes([rng.choice(b"de") for _ in range(2)] + y + [100, 101]))
+    got = leaks.banded_distances(a, b, 4, 2)
+    assert [int(g) for g in got if g <= 2] and all(g == min(whole(x, y), 3) or (g == 3 and len(y) != len(x) + 4) for g, x, y in zip(got, a, b))
+
+
+def test_leaks_cut_batches(monkeypatch):
+    base = " ".join(f"mot{i}" for i in range(40))
+    items = leaks.Items([(i, base) for i in range(6)], 16, 2)
+    texts = [base, "autre", base.upper()]
+    whole = sorted(items.find(texts))
+    monkeypatch.setattr(leaks, "MOST_HITS", 50)
+    assert sorted(items.find(texts)) == whole and len(whole) == 12
 
 
 # ---- mixing
