@@ -1,10 +1,12 @@
 """Variant spellings of the names of persons and associations.
 
 Names are cut into tokens without titles, party marks, case and accents.  A
-symmetric-delete index finds tokens at a small edit distance; names that share
-a token, up to such an edit, and the initial of another one are aligned token
-by token with the least total cost, where initials, nicknames, abbreviations
-and left-out parts are permitted at a price.  Each spelling then points to its
+symmetric-delete index finds tokens at a small edit distance.  Two names are
+candidates if one token is the same and another one is near, or one is near
+and another one begins alike or is an initial; the total cost that links two
+names permits no more than one edit, so nothing else can be linked.  They are
+aligned by an optimal assignment of their tokens, where initials, nicknames,
+abbreviations and left-out parts are permitted at a price.  Each spelling then points to its
 best more frequent partner, and spellings that lead to the same root are one
 entity.
 """
@@ -15,7 +17,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -117,30 +118,78 @@ def token_cost(a: str, b: str) -> float:
     return float("inf")
 
 
+def assignment(cost: list[list[float]]) -> list[int]:
+    """For each row its column in the assignment with the least total cost; no more rows than columns.
+
+    Rows are added one at a time along the shortest augmenting path, with
+    potentials that keep all reduced costs from being negative.
+    """
+    rows, columns = len(cost), len(cost[0])
+    row_price, column_price = [0.0] * rows, [0.0] * columns
+    owner = [-1] * columns
+    for new in range(rows):
+        distance, parent, done = [float("inf")] * columns, [-1] * columns, [False] * columns
+        row, at, reached = new, -1, 0.0
+        while True:
+            nearest = -1
+            for j in range(columns):
+                if done[j]:
+                    continue
+                d = reached + cost[row][j] - row_price[row] - column_price[j]
+                if d < distance[j]:
+                    distance[j], parent[j] = d, at
+                if nearest < 0 or distance[j] < distance[nearest]:
+                    nearest = j
+            reached, at = distance[nearest], nearest
+            done[at] = True
+            if owner[at] < 0:
+                break
+            row = owner[at]
+        for j in range(columns):
+            if done[j]:
+                if owner[j] >= 0:
+                    row_price[owner[j]] += reached - distance[j]
+                column_price[j] += distance[j] - reached
+        row_price[new] += reached
+        while at >= 0:
+            before = parent[at]
+            owner[at] = owner[before] if before >= 0 else new
+            at = before
+    out = [-1] * rows
+    for j, i in enumerate(owner):
+        if i >= 0:
+            out[i] = j
+    return out
+
+
+#: Stands for an infinite price in an assignment.
+_NEVER = 1e6
+
+
 def alignment(a: list[str], b: list[str]) -> tuple[float, int]:
     """The least cost of an assignment of the tokens of a to those of b, and how many full tokens agree.
 
-    A token without partner costs ``DROPPED``, but one is needed for each
-    token that isn't an initial; at least one token longer than an initial
-    has to agree up to an edit.
+    A token without partner costs ``2 * DROPPED``; so no more than one may be
+    left out.  At least one token longer than an initial has to agree up to an
+    edit.  Names may have any number of tokens.
     """
     if len(a) > len(b):
         a, b = b, a
-    if not a or len(b) - len(a) > 1 or len(b) > 7:
+    if not a or len(b) - len(a) > 1:
         return float("inf"), 0
+    prices = [[min(token_cost(x, y), _NEVER) for y in b] for x in a]
     best, agree = float("inf"), 0
-    for order in permutations(range(len(b)), len(a)):
-        cost, full = DROPPED * (len(b) - len(a)) * 2, 0
-        for x, j in zip(a, order):
-            c = token_cost(x, b[j])
-            cost += c
-            if cost >= best:
-                break
-            full += not is_initial(x) and not is_initial(b[j]) and c != NICK and len(x) > 2
-        else:
-            if full and cost < best:
-                best, agree = cost, full
-    return best, agree
+    full = [[not is_initial(x) and not is_initial(y) and c < _NEVER and c != NICK and len(x) > 1 for y, c in zip(b, row)] for x, row in zip(a, prices)]
+    chosen = assignment(prices)
+    # where the cheapest assignment has no full pair, each full pair is tried as a fixed one
+    for fixed in [None] if any(full[i][j] for i, j in enumerate(chosen)) else [(i, j) for i in range(len(a)) for j in range(len(b)) if full[i][j]]:
+        if fixed:
+            chosen = assignment([[c if (i == fixed[0]) == (j == fixed[1]) else _NEVER for j, c in enumerate(row)] for i, row in enumerate(prices)])
+        cost = DROPPED * (len(b) - len(a)) * 2 + sum(prices[i][j] for i, j in enumerate(chosen))
+        n = sum(full[i][j] for i, j in enumerate(chosen))
+        if n and cost < best:
+            best, agree = cost, n
+    return (best, agree) if best < _NEVER else (float("inf"), 0)
 
 
 def _forms(names: DataFrame) -> DataFrame:
@@ -154,25 +203,53 @@ def _forms(names: DataFrame) -> DataFrame:
     return names.mapInPandas(run, "name string, n long, places array<string>, form string")
 
 
-def _keys(forms: DataFrame) -> DataFrame:
-    """The index: each token up to one deletion, with the initial of each other token."""
+def keys(form: str) -> tuple[set[str], set[str]]:
+    """The index of a form: the keys it is stored under, and those it asks for.
+
+    Of two forms that can be linked, one token is the same in both or one edit
+    away, and of another one the same is true, or it begins alike (an
+    abbreviation, a nickname, a double name), or it is an initial.  Each way
+    has keys of its own, so a group holds forms that agree in two tokens; only
+    forms with an initial ask for "one token and an initial", where all forms
+    are stored.  The word that begins the names of associations is no token to
+    be found by.
+    """
+    words = form.split(" ")
+    stored, asked = set(), set()
+    solid = [w for w in words if not is_initial(w) and w not in KINDS.values()] or [w for w in words if not is_initial(w)]
+    for i, w in enumerate(solid):
+        near = deletes(w) | (deletes(w.split("-")[0]) if "-" in w else set())
+        rest = solid[:i] + solid[i + 1 :]
+        short = [x for x in words if is_initial(x)]
+        for other in rest:
+            begins = NICKNAMES.get(other, other)
+            # equal and near, near and alike
+            both = {f"2 {w} {d}" for d in deletes(other)} | {f"3 {d} {x[:3]}" for d in near for x in {begins, other}}
+            stored |= both
+            asked |= both
+            stored |= {f"1 {d} {x[:1]}" for d in near for x in {begins, other, *other.split("-")[:1]}}
+        for x in short:
+            own = {f"1 {d} {x[:1]}" for d in near}
+            stored |= own
+            asked |= own
+        if len(words) <= 2:
+            # a token alone, and the one that is left when the other one is left out
+            alone = {f"0 {d}" for d in near}
+            stored |= alone
+            asked |= alone if len(words) == 1 else set()
+    return stored, asked
 
+
+def _keys(forms: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for form in batch["form"]:
-                toks = form.split(" ")
-                keys = set()
-                for i, t in enumerate(toks):
-                    if is_initial(t) or len(t) < 3:
-                        continue
-                    near = deletes(t) | (deletes(t.split("-")[0]) if "-" in t else set())
-                    others = {NICKNAMES.get(o, o)[:1] for j, o in enumerate(toks) if j != i} or {""}
-                    keys |= {f"{d} {o}" for d in near for o in others}
-                out += [(form, k) for k in keys]
-            yield pd.DataFrame(out, columns=["form", "key"])
+                stored, asked = keys(form)
+                out += [(form, k, k in asked) for k in stored | asked]
+            yield pd.DataFrame(out, columns=["form", "key", "asks"])
 
-    return forms.select("form").mapInPandas(run, "form string, key string")
+    return forms.select("form").mapInPandas(run, "form string, key string, asks boolean")
 
 
 def link_names(mentions: DataFrame, name: str = "name", place: str | None = None) -> DataFrame:
@@ -193,8 +270,10 @@ def link_names(mentions: DataFrame, name: str = "name", place: str | None = None
     )
     spelled = cut(_forms(names).where("form <> ''"))
     forms = spelled.groupBy("form").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    keys = _keys(forms)
-    pairs = keys.alias("a").join(keys.alias("b"), "key").where("a.form <> b.form").select(F.col("a.form").alias("form"), F.col("b.form").alias("other")).distinct()
+    index = _keys(forms)
+    asking = index.where("asks").select("key", F.col("form").alias("a"))
+    met = asking.join(index.select("key", F.col("form").alias("b"), "asks"), "key").where("a <> b and (not asks or a < b)").select("a", "b").distinct()
+    pairs = met.select(F.explode(F.array(F.struct(F.col("a").alias("form"), F.col("b").alias("other")), F.struct(F.col("b").alias("form"), F.col("a").alias("other")))).alias("p")).select("p.*").distinct()
     candidates = (
         pairs.join(forms.alias("f"), "form").join(forms.select(F.col("form").alias("other"), F.col("n").alias("m"), F.col("places").alias("theirs")).alias("o"), "other")
         .select("form", "other", "n", "m", F.size(F.array_intersect("places", "theirs")).alias("shared"))

@@ -329,3 +329,48 @@ def test_boosting_on_held_out_rows():
 @pytest.mark.parametrize("name", ["p1_found", "p5_found", "p7_found", "p8_found"])
 def test_queries_run(spark, data, name):
     assert queries.queries()[name](spark, data).count() > 0
+
+
+# ---- names: assignment and keys
+
+
+def test_assignment_against_permutations():
+    from itertools import permutations
+
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randint(1, 5)
+        cost = [[rng.choice([0.0, 0.5, 1.0, 7.0]) for _ in range(n + rng.randint(0, 1))] for _ in range(n)]
+        cost = [row[: len(cost[0])] + [3.0] * (len(cost[0]) - len(row)) for row in cost]
+        chosen = names.assignment(cost)
+        least = min(sum(cost[i][j] for i, j in enumerate(order)) for order in permutations(range(len(cost[0])), n))
+        assert len(set(chosen)) == n and abs(sum(cost[i][j] for i, j in enumerate(chosen)) - least) < 1e-9
+
+
+def test_long_and_short_names(spark):
+    long = "Association des parents pour la defense du lac bleu contre toute nouvelle marina privee"
+    given = [long, long, long.replace("marina", "maruna"), "Li Wu", "Li Wu", "L. Wu", "Anna Berg"]
+    frame = spark.createDataFrame([(n,) for n in given], "name string")
+    got = {r["name"]: r["entity"] for r in names.link_names(frame).collect()}
+    assert got[long] == got[long.replace("marina", "maruna")] and got["Li Wu"] == got["L. Wu"] != got["Anna Berg"]
+
+
+def test_keys_of_linked_names_meet():
+    rng = random.Random(4)
+    given = ["jean", "marie", "christophe", "li", "anne-lise", "sebastien"]
+    last = ["martin", "wu", "de kermonegny", "favre", "nervon"]
+    forms = set()
+    for _ in range(150):
+        g, f = rng.choice(given), rng.choice(last)
+        if rng.random() < 0.3:
+            k = rng.randrange(len(f))
+            f = f[:k] + rng.choice("xyz") + f[k + 1 :]
+        g = rng.choice([g, g, g[:1] + ".", g[:4], g[:1] + g[2:] if len(g) > 5 else g])
+        forms.add(" ".join(names.tokens(f"{g} {f}")))
+    forms = sorted(forms)
+    index = {f: names.keys(f) for f in forms}
+    for a in forms:
+        for b in forms:
+            if a < b and names.alignment(a.split(" "), b.split(" "))[0] <= names.LIMIT:
+                (sa, qa), (sb, qb) = index[a], index[b]
+                assert sa & qb or sb & qa or qa & qb, (a, b)
