@@ -9,15 +9,22 @@ from functools import lru_cache
 #: Month names in the languages of the texts (fixed values).
 MONTHS = "janvier fevrier mars avril mai juin juillet aout septembre octobre novembre decembre januar februar marz april juni juli august oktober dezember gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre dicembre"
 _DATE = re.compile(rf"\b\d{{1,2}}(?:er|\.)?\s+(?:{'|'.join(MONTHS.split())})\s+\d{{4}}\b|\b\d{{1,4}}[./-]\d{{1,2}}[./-]\d{{1,4}}\b")
+_DIGIT, _NUMBER, _NO_WORD = re.compile(r"\d"), re.compile(r"\d+(?:['.,]\d+)*"), re.compile(r"[^a-z0]+")
 _MARKS = re.compile("[̀-ͯ]+")
 _PAGE = re.compile(r"(?:seite\s*/\s*)?(?:pages?|p\.?|pag\.?|seite|s\.)\s*\d{1,4}(?:\s*(?:sur|de|/|von|of|di)\s*\d{1,4})?|\d{1,3}\s*/\s*\d{1,3}|\d{1,3}|[\[(]\s*\d{1,4}\s*[\])]|[-–—]+\s*\d{1,4}\s*[-–—]+")
 #: Glyphs that scanners take for one another, as they look alike; both sides become the second (fixed values).
 GLYPHS = {"0": "o", "1": "l", "|": "l", "†": "t", "5": "s", "9": "g", "6": "b", "í": "i", "ì": "i", "ﬁ": "fi", "ﬂ": "fl"}
 
 
-@lru_cache(200_000)
 def plain(text: str) -> str:
     """Lower case without accents, with single spaces and straight quotes."""
+    return _plain(text) if len(text) <= 400 else _plain.__wrapped__(text)
+
+
+@lru_cache(100_000)
+def _plain(text: str) -> str:
+    if text.isascii():
+        return " ".join(text.lower().split())
     t = unicodedata.normalize("NFKD", text.lower().replace("œ", "oe").replace("’", "'").replace("­", ""))
     return " ".join(_MARKS.sub("", t).split())
 
@@ -30,9 +37,10 @@ def is_page_number(line: str) -> bool:
 
 def masked(line: str) -> str:
     """The line with dates and numbers replaced by 0, without case, accents, punctuation and a leading mark."""
-    t = _DATE.sub("0", plain(line))
-    t = re.sub(r"\d+(?:['.,]\d+)*", "0", t)
-    return " ".join(re.sub(r"[^a-z0]+", " ", t).split())
+    t = plain(line)
+    if not t.isalpha() and _DIGIT.search(t):
+        t = _NUMBER.sub("0", _DATE.sub("0", t))
+    return _NO_WORD.sub(" ", t).strip()
 
 
 _HEAD = re.compile(r"^(.{2,60}?)\s[–—|·-]\s(.{2,30}?)\s?(?:n°|no|nr)\.?\s?(0(?:[-/]0)?)(?:\s[–—|·-]\s|$)")

@@ -374,3 +374,38 @@ def test_keys_of_linked_names_meet():
             if a < b and names.alignment(a.split(" "), b.split(" "))[0] <= names.LIMIT:
                 (sa, qa), (sb, qb) = index[a], index[b]
                 assert sa & qb or sb & qa or qa & qb, (a, b)
+
+
+# ---- lines of any length, and summaries that are handed on
+
+
+def test_long_short_and_signed_lines(spark):
+    notice = "Les informations publiées sur ce site le 12 mai 2020 " + "sont données sans garantie aucune et peuvent changer " * 12
+    rows = []
+    for d in range(8):
+        own = "\n".join(f"Texte {chr(97 + d) * 5} du conseil {chr(98 + d) * 4}." for _ in range(2))
+        rows.append(("a", f"d{d}", f"c{d}", f"{own}\n{notice.replace('12', str(d + 1))}\nPartager\n© 2024 Commune\nécole du village"))
+    rows.append(("b", "x", "y", "Partager"))
+    frame = spark.createDataFrame(rows, "s string, d string, p string, t string")
+    got = {(r["piece"], r["line_no"]) for r in boilerplate.repeated_lines(frame, "s", "d", "p", "t").collect()}
+    assert got == {(f"c{d}", i) for d in range(8) for i in (2, 3, 4)}
+
+
+def test_summaries_are_handed_on(spark, monkeypatch):
+    rows = [("a", f"d{d}", f"c{d}", f"Ligne commune à tous\nRien que {chr(97 + d % 20)}{chr(97 + d // 20)} ici") for d in range(60)]
+    frame = spark.createDataFrame(rows, "s string, d string, p string, t string").repartition(6)
+    whole = {tuple(r) for r in boilerplate.repeated_lines(frame, "s", "d", "p", "t").select("piece", "line_no").collect()}
+    monkeypatch.setattr(boilerplate, "COUNTERS", (2, 4, None))
+    monkeypatch.setattr(boilerplate, "CANDIDATES", 1)
+    assert whole == {tuple(r) for r in boilerplate.repeated_lines(frame, "s", "d", "p", "t").select("piece", "line_no").collect()} == {(f"c{d}", 0) for d in range(60)}
+
+
+def test_latest_version_is_cleaned(spark):
+    import datetime
+
+    rows = []
+    for d in range(5):
+        rows += [(f"d{d}#chunk-000", f"d{d}", "k", "Menu du site web\nancien texte", datetime.datetime(2020, 1, 1)), (f"d{d}#chunk-000", f"d{d}", "k", f"nouveau {'abcde'[d]}\nMenu du site web", datetime.datetime(2021, 1, 1))]
+    frame = spark.createDataFrame(rows, "chunk_id string, document_id string, commune_key string, content string, loaded_at timestamp")
+    got = {r["chunk_id"]: r["content"] for r in boilerplate.without_site_lines(frame).collect()}
+    assert got == {f"d{d}#chunk-000": f"nouveau {'abcde'[d]}" for d in range(5)}
