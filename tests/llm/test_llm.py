@@ -409,3 +409,21 @@ def test_latest_version_is_cleaned(spark):
     frame = spark.createDataFrame(rows, "chunk_id string, document_id string, commune_key string, content string, loaded_at timestamp")
     got = {r["chunk_id"]: r["content"] for r in boilerplate.without_site_lines(frame).collect()}
     assert got == {f"d{d}#chunk-000": f"nouveau {'abcde'[d]}" for d in range(5)}
+
+
+# ---- headers of any form, and forms that are joined instead of sent
+
+
+def test_repeated_headers(spark):
+    rows = [("d1#chunk-000", "Rapport au Conseil n° 12-2022\nDu texte ici"), ("d1#chunk-001", "suite\nRapport au Conseil n° 12-2022"), ("d2#chunk-000", "Avis n° 3\nfin"), ("d2#chunk-001", "Avis n° 3"), ("d3#chunk-000", "Avis n° 4"), (None, "x"), ("d4#chunk-000", None)]
+    got = {tuple(r) for r in scans.repeated_headers(spark.createDataFrame(rows, "chunk_id string, content string")).collect()}
+    assert got == {("d1#chunk-000", 0), ("d1#chunk-001", 1)}
+
+
+def test_known_forms_are_joined(spark, data, monkeypatch):
+    chunks = spark.read.parquet(f"{data}/chunks.parquet")
+    sent = {tuple(r) for r in scans.noise_kinds(chunks).collect()}
+    # a third of what there is, so everything is taken in blocks
+    words = scans.scan_lines(chunks).selectExpr("explode(lines) as l").where("l.misread > 0").count()
+    monkeypatch.setattr(scans, "ENTRIES", max(1, words // 3))
+    assert sent == {tuple(r) for r in scans.noise_kinds(chunks).collect()} and sent
