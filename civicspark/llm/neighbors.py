@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows the tree is fitted on, at most.
-SAMPLE_ROWS = 24_000
+from civicspark.session import cut
+
+#: Rows the tree is fitted on: so many, or a dozen for each leaf where those are more; at most SAMPLE_MOST.
+SAMPLE_ROWS, SAMPLE_LEAF, SAMPLE_MOST = 24_000, 12, 400_000
 #: Queries whose exact neighbours calibrate the number of visits.
 CALIBRATION_QUERIES = 400
 #: Children of a node.
@@ -30,8 +32,8 @@ MAX_LEAVES = 32_768
 LEAF_ROWS = 1600
 #: Vectors of a shard of a leaf, on average at most.
 SHARD_ROWS = 6_000
-#: Leaves that a query may visit before calibration gives up widening.
-MAX_VISITS = 64
+#: Leaves that a query may visit at first; calibration doubles them until the recall is reached, with all leaves at the latest.
+FIRST_VISITS = 64
 
 
 class Tree:
@@ -218,14 +220,14 @@ def _sample(units: DataFrame, rows: int, limit: int, width: int, salt: str) -> t
     return picked.column("id").to_pylist(), _rows(picked.column("vec"), width) if picked.num_rows else np.zeros((0, width), np.float32)
 
 
-def _calibrate(base: DataFrame, tree: Tree, ids: list, queries: np.ndarray, k: int, least: float, recall: float) -> float:
-    """The detour within which the share ``recall`` of the queries' exact neighbours lies.
+def _calibrate(base: DataFrame, tree: Tree, ids: list, queries: np.ndarray, k: int, least: float, recall: float) -> tuple[float, int]:
+    """The detour within which the share ``recall`` of the queries' exact neighbours lies, and the most leaves to visit.
 
     The queries, a bounded set, are held against all rows; of each batch of
     rows only the k best of each query are kept.
     """
     if not len(ids):
-        return 0.0
+        return 0.0, 1
     own = {v: i for i, v in enumerate(ids)}
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,13 +253,17 @@ def _calibrate(base: DataFrame, tree: Tree, ids: list, queries: np.ndarray, k: i
         .select("q", F.explode("best.leaf").alias("leaf")).toPandas()
     )
     if not len(found):
-        return 0.0
-    order, costs = tree.visits(queries, MAX_VISITS)
+        return 0.0, 1
     q, leaf = found["q"].to_numpy(), found["leaf"].to_numpy()
-    hit = order[q] == leaf[:, None]
-    needed = np.sort(np.where(hit.any(1), costs[q, hit.argmax(1)], np.inf))
-    widest = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]
-    return float(widest) if np.isfinite(widest) else float(needed[np.isfinite(needed)].max(initial=0))
+    most = FIRST_VISITS
+    while True:
+        order, costs = tree.visits(queries, most)
+        hit = order[q] == leaf[:, None]
+        needed = np.sort(np.where(hit.any(1), costs[q, hit.argmax(1)], np.inf))
+        widest = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]
+        if np.isfinite(widest) or most >= tree.leaves:
+            return float(widest), most
+        most *= 2
 
 
 def nearest(
@@ -280,51 +286,49 @@ def nearest(
 
     units = _units(given, width, plain, "id string, vec binary")
     rows = given.count()
-    _, sample = _sample(units, rows, sample_rows, width, "tree")
     leaves = min(MAX_LEAVES, max(1, rows / leaf_rows))
+    _, sample = _sample(units, rows, min(SAMPLE_MOST, max(sample_rows, int(leaves * SAMPLE_LEAF))), width, "tree")
     tree = Tree.fit(sample, max(1.0, len(sample) / leaves))
     ids, queries = _sample(units, rows, CALIBRATION_QUERIES, width, "calibration")
-    widest = _calibrate(units, tree, ids, queries, k, min_similarity, recall)
+    widest, most = _calibrate(units, tree, ids, queries, k, min_similarity, recall)
     shared = vectors.sparkSession.sparkContext.broadcast(tree)
 
     def place(ids: pa.Array, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         for lo in range(0, len(x), 2048):
             part = x[lo : lo + 2048]
-            home, order = tree.home(part), tree.visits(part, MAX_VISITS, widest)[0]
+            home, order = tree.home(part), tree.visits(part, most, widest)[0]
             n = len(part)
             visit = [pa.array(row[row >= 0]) for row in order]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, visit)]).astype(np.int32)), pa.concat_arrays(visit))
             yield pa.RecordBatch.from_arrays([ids.slice(lo, n), _blobs(part), pa.array(home), lists], ["id", "vec", "home", "visit"])
 
-    placed = _units(given, width, place, "id string, vec binary, home int, visit array<int>")
-    return _meet(placed, rows, max(1, tree.leaves), k, width, min_similarity)
+    placed = cut(_units(given, width, place, "id string, vec binary, home int, visit array<int>"))
+    return _meet(placed, k, width, min_similarity)
 
 
-def _meet(placed: DataFrame, rows: int, leaves: int, k: int, width: int, least: float) -> DataFrame:
-    """Vectors and visits brought together by leaf, and the k best of each query."""
-    shards = max(1, -(-rows // (leaves * SHARD_ROWS)))
-    if shards == 1:
-        # a leaf larger than its share is cut further: counts of at most MAX_LEAVES leaves
-        sizes = {r[0]: r[1] for r in placed.groupBy("home").count().where(F.col("count") > SHARD_ROWS).collect()}
-        many = {leaf: -(-n // SHARD_ROWS) for leaf, n in sizes.items()}
-    else:
-        many = {}
+def _meet(placed: DataFrame, k: int, width: int, least: float) -> DataFrame:
+    """Vectors and visits brought together by leaf, and the k best of each query.
+
+    A leaf is cut into as many shards as its own rows need, its queries into as
+    many parts, so no group holds more than about SHARD_ROWS of each.
+    """
+    # one row for each leaf, at most MAX_LEAVES
+    sizes = placed.groupBy(F.col("home").alias("leaf")).agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards")).where("shards > 1")
+    many = {r["leaf"]: r["shards"] for r in sizes.collect()}
     if many:
-        table = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
-        of = lambda leaf: F.coalesce(F.try_element_at(table, leaf), F.lit(1))
+        table = F.broadcast(placed.sparkSession.createDataFrame(list(many.items()), "leaf int, shards int"))
+        homes = placed.join(table, F.col("home") == F.col("leaf"), "left").select("id", "vec", F.col("home").alias("leaf"), F.coalesce("shards", F.lit(1)).alias("shards"))
+        visits = placed.select(F.explode("visit").alias("leaf"), "id", "vec").join(table, "leaf", "left").select("id", "vec", "leaf", F.coalesce("shards", F.lit(1)).alias("shards"))
     else:
-        of = lambda leaf: F.lit(shards)
-    own = F.pmod(F.xxhash64("id"), of(F.col("home"))).cast("int")
-    part = F.pmod(F.xxhash64("id", F.lit("q")), of(F.col("leaf"))).cast("int")
+        homes = placed.select("id", "vec", F.col("home").alias("leaf"), F.lit(1).alias("shards"))
+        visits = placed.select("id", "vec", F.explode("visit").alias("leaf"), F.lit(1).alias("shards"))
+    own = F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")
+    part = F.pmod(F.xxhash64("id", F.lit("q")), F.col("shards")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
     # stored once for each part of the queries, searched once for each shard of the leaf
-    stored = placed.select(
-        F.col("home").alias("leaf"), own.alias("shard"), F.explode(F.sequence(F.lit(0), of(F.col("home")).cast("int") - 1)).alias("part"),
-        F.lit(True).alias("stored"), "id", "vec",
-    )
-    asked = placed.select(F.explode("visit").alias("leaf"), "id", "vec").select(
-        "leaf", F.explode(F.sequence(F.lit(0), of(F.col("leaf")).cast("int") - 1)).alias("shard"), part.alias("part"), F.lit(False).alias("stored"), "id", "vec"
-    )
+    stored = homes.select("leaf", own.alias("shard"), every.alias("part"), F.lit(True).alias("stored"), "id", "vec")
+    asked = visits.select("leaf", every.alias("shard"), part.alias("part"), F.lit(False).alias("stored"), "id", "vec")
 
     def search(table: pa.Table) -> pa.Table:
         is_stored = np.asarray(table.column("stored"))

@@ -427,3 +427,27 @@ def test_known_forms_are_joined(spark, data, monkeypatch):
     words = scans.scan_lines(chunks).selectExpr("explode(lines) as l").where("l.misread > 0").count()
     monkeypatch.setattr(scans, "ENTRIES", max(1, words // 3))
     assert sent == {tuple(r) for r in scans.noise_kinds(chunks).collect()} and sent
+
+
+# ---- vectors: hot leaves, and visits that are widened
+
+
+def test_hot_leaf_and_widening(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 8))
+    x[:200] = x[0]
+    rows = [(f"v{i:03}", [float(a) for a in v]) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "id string, v array<float>").repartition(5)
+    monkeypatch.setattr(neighbors, "SHARD_ROWS", 40)
+    monkeypatch.setattr(neighbors, "FIRST_VISITS", 1)
+    got = {}
+    for r in neighbors.nearest(frame, "id", "v", 5, 8, leaf_rows=20).collect():
+        got.setdefault(r["id"], []).append(r["similarity"])
+    unit = x.astype(np.float32) / np.linalg.norm(x.astype(np.float32), axis=1)[:, None]
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    exact = np.sort(sims, 1)[:, -5:]
+    hit = sum(int((np.array(got.get(f"v{i:03}", [])) >= exact[i, 0] - 1e-4).sum()) for i in range(600))
+    assert hit >= 0.93 * 3000 and all(min(got[f"v{i:03}"]) > 0.999 for i in range(200))
