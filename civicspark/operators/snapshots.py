@@ -79,8 +79,10 @@ def snapshot_states(rows: DataFrame, snapshot: str, key: str, values: dict[str,
     for the snapshots before it.  A key that comes back after a gap starts anew.
     Rows with a null snapshot or key are left out.
 
-    The values of a key are gathered in one array, as long as the number of
-    snapshots, so no partition holds more than a key's history at a time.
+    This is the one grouping by key that can't be saved: repeated rows would
+    not cancel out in the tables of ``snapshot_changes``, and a missing value
+    is only known from the key's other snapshots.  A window holds no more than
+    a key's history, as long as the number of snapshots.
     """
     names = list(values)
     seen = rows.where(F.col(snapshot).isNotNull() & F.col(key).isNotNull()).select(
@@ -214,9 +216,12 @@ def snapshot_changes(states: DataFrame, first_cells: int = FIRST_CELLS, bucket_k
     for part in parts[1:]:
         found = found.unionByName(part)
     found = found.select("pair", "sign", "key_hash", "state_hash", (F.col("pair") - F.when(F.col("sign") < 0, 1).otherwise(0)).alias("snapshot"))
-    if found.count() <= BROADCAST_PAIRS:
+    recovered = found.count()
+    if recovered <= BROADCAST_PAIRS:
         found = F.broadcast(found)
-    known = hashed.join(found, ["snapshot", "key_hash", "state_hash"])
+    known = cut(hashed.join(found, ["snapshot", "key_hash", "state_hash"]))
+    if known.count() < recovered:
+        raise RuntimeError("a recovered pair of hashes belongs to no row")
     return (
         known.groupBy(F.col("pair").alias("snapshot"), "key")
         .agg(F.max("sign").alias("last"), F.min("sign").alias("first"))
