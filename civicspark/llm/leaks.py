@@ -26,14 +26,15 @@ from civicspark.session import spread
 Q = 14
 #: Characters of items that are held against the corpus at a time; more are taken in blocks.
 BLOCK_CHARS = 4_000_000
-#: Errors that a window of words may hold for the filter and the alignment.
-EDITS = 2
+#: Errors that a window of words may hold for the filter and the alignment; where changed passages are asked for, NEAR.
+EDITS, NEAR = 1, 2
 #: Shared q-grams that are looked at at a time; batches with more are cut in halves, by documents and then by items.
 MOST_HITS = 4_000_000
 #: Bits of the table that sorts out q-grams no item has.
 FILTER_BITS = 22
 
 _MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u20d0-\u20ff]+")
+_WORD = re.compile(r"[^\W_]+")
 _LETTERS = {"œ": "oe", "æ": "ae", "ß": "ss", "ø": "o", "đ": "d", "ł": "l", "ı": "i"}
 
 
@@ -48,10 +49,13 @@ def stream(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
         for letter, base in _LETTERS.items():
             plain = plain.replace(letter, base)
         plain = _MARKS.sub("", unicodedata.normalize("NFKD", plain))
-    words = [w.encode() for w in re.findall(r"[^\W_]+", plain)]
+    words = _WORD.findall(plain)
+    joined = "".join(words)
+    if not joined.isascii():
+        words = [w.encode() for w in words]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes)
-    return b"".join(words), ends - sizes, ends
+    return joined.encode(), ends - sizes, ends
 
 
 def _grams(codes: np.ndarray, q: int) -> np.ndarray:
@@ -159,6 +163,13 @@ class Items:
         place = self.places[np.repeat(low, many) + np.arange(len(pos)) - np.repeat(np.cumsum(many) - many, many)]
         doc = np.searchsorted(begin, pos, "right") - 1
         part = np.searchsorted(self.offsets, place, "right") - 1
+        # documents and parts that share too few q-grams in all
+        pair = doc * len(self.ids) + part
+        _, of, shared = np.unique(pair, return_inverse=True, return_counts=True)
+        keep = shared[of] >= np.array(self.bound)[part]
+        if not keep.any():
+            return []
+        pos, place, doc, part = pos[keep], place[keep], doc[keep], part[keep]
         pos, place = pos - begin[doc], place - self.offsets[part]
         # bands as wide as two times the edits, overlapping by half
         diagonal = pos - place
@@ -262,8 +273,8 @@ def leaked_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def near_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """The pairs of document and item where 16 words agree up to ``EDITS`` characters: passages that were changed a little."""
-    return leaked_items(documents, items, exact=False).select("doc_id", "item_id")
+    """The pairs of document and item where 16 words agree up to ``NEAR`` characters: passages that were changed a little."""
+    return leaked_items(documents, items, edits=NEAR, exact=False).select("doc_id", "item_id")
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:
