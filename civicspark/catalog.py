@@ -591,15 +591,6 @@ def _(s, d):
     return rows.select("chunk_id", "section_no", "x.component", "x.section_title", "x.response_number", F.length("x.content").alias("chars")).distinct()
 
 
-@query("embedding_inputs", "G15 Z20", """
-    SELECT DISTINCT c.chunk_id, concat_ws(chr(10), CASE WHEN m.document_family = 'political_object' THEN 'Objet politique : ' ELSE 'Document : ' END || m.title, 'Commune : ' || m.commune, 'Année : ' || m.listing_year, 'Partie : ' || c.component, c.content) AS embedding_input
-    FROM chunks c JOIN (SELECT document_id, max(document_family) AS document_family, max(title) AS title, max(commune) AS commune, CAST(max(listing_year) AS VARCHAR) AS listing_year FROM document_metadata GROUP BY document_id) m USING (document_id)""")
-def _(s, d):
-    once = docs(s, d).groupBy("document_id").agg(*[F.max(x).alias(x) for x in ("document_family", "title", "commune", "listing_year")])
-    text_ = segment.embedding_text(c("document_family"), c("title"), c("commune"), c("listing_year").cast("string"), c("component"), c("content"))
-    return chunks(s, d).join(once, "document_id").select("chunk_id", text_.alias("embedding_input")).distinct()
-
-
 @query("representative_chunks", "G17", """
     WITH o AS (SELECT document_id, chunk_id, chunk_index, min(component) AS component, min(content) AS content FROM chunks GROUP BY ALL), r AS (
       SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_id) AS h, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index DESC, chunk_id DESC) AS t FROM o), g AS (

@@ -32,6 +32,11 @@ def primary(role: Column) -> Column:
     return ~F.coalesce(role, F.lit("")).isin(*SECONDARY_ROLES)
 
 
+def canonical(flag: Column) -> Column:
+    """Whether a record is an object of its own; only the text ``false`` says no."""
+    return F.coalesce(flag.cast("string"), F.lit("true")) != "false"
+
+
 def browse(
     documents: DataFrame, communes: Sequence[str] = (), categories: Sequence[str] = (), keywords: Sequence[str] = (), year_from: str | None = None, year_to: str | None = None,
     limit: int = 200,
