@@ -272,36 +272,6 @@ def _(s, d):
     return retrieval.responses(docs(s, d))
 
 
-@query("answered_interpellations", "V11 V12 J21 D5 D6", """
-    WITH r AS (SELECT DISTINCT document_id, document_role, regexp_extract(document_id, '^(.*_\\d+)_', 1) AS key FROM document_metadata WHERE regexp_extract(document_id, '^(.*_\\d+)_', 1) <> ''),
-    dates AS (SELECT document_id, max(document_date) AS response_date FROM document_metadata GROUP BY document_id)
-    SELECT o.document_id AS object_id, a.document_id AS response_id, dates.response_date FROM r o JOIN r a ON o.key = a.key AND a.document_role = 'municipal_response' LEFT JOIN dates ON dates.document_id = a.document_id
-    WHERE o.document_role IN ('interpellation_text','postulat_text','postulate_text','motion_text') AND o.document_id IN (SELECT document_id FROM document_metadata WHERE category = 'interpellation')""")
-def _(s, d):
-    return retrieval.answered(docs(s, d), "interpellation")
-
-
-@query("unanswered_interpellations", "V13 V14 D8", """
-    WITH r AS (SELECT DISTINCT document_id, document_role, regexp_extract(document_id, '^(.*_\\d+)_', 1) AS key FROM document_metadata WHERE regexp_extract(document_id, '^(.*_\\d+)_', 1) <> '')
-    SELECT document_id AS object_id, max(document_date) AS filed FROM document_metadata WHERE category = 'interpellation' AND suffix(document_role, '_text')
-      AND document_id NOT IN (SELECT o.document_id FROM r o JOIN r a ON o.key = a.key AND a.document_role = 'municipal_response' WHERE o.document_role IN ('interpellation_text','postulat_text','postulate_text','motion_text')) GROUP BY document_id""")
-def _(s, d):
-    return retrieval.unanswered(docs(s, d), "interpellation")
-
-
-@query("answered_orders", "V11 J4 J21", "SELECT l_orderkey AS object_id, count(*) AS links, arg_min(l_partkey, (l_linenumber, l_partkey)) AS first_target FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY l_orderkey")
-def _(s, d):
-    edges = table(s, d, "lineitem").select(c("l_orderkey").alias("object_id"), c("l_linenumber").alias("position"), c("l_partkey").alias("target_id"))
-    return retrieval.resolvable(edges, table(s, d, "part").where("p_size > 25").select(c("p_partkey").alias("target_id")))
-
-
-@query("unanswered_orders", "V13 V14", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25))")
-def _(s, d):
-    edges = table(s, d, "lineitem").select(c("l_orderkey").alias("object_id"), c("l_linenumber").alias("position"), c("l_partkey").alias("target_id"))
-    done = retrieval.resolvable(edges, table(s, d, "part").where("p_size > 25").select(c("p_partkey").alias("target_id")))
-    return table(s, d, "orders").select("o_orderkey").join(done.select(c("object_id").alias("o_orderkey")), "o_orderkey", "left_anti")
-
-
 @query("token_overlap_links", "J11 R11 Z8", None)
 def _(s, d):
     once = docs(s, d).groupBy("document_id").agg(F.max("title").alias("title")).withColumn("tokens", linkage.tokens(linkage.title_key(c("title"))))

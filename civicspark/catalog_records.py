@@ -255,7 +255,7 @@ def _(s, d):
 
 
 @query("title_parts", "T17", """
-    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Postulat' WHEN 1 THEN 'Interpellation' ELSE 'Motion' END AS label, CASE WHEN doc_id % 3 < 2 THEN 'Mme Roch' ELSE 'A et B' END AS author, CASE doc_id % 3 WHEN 0 THEN 'Lac ' || source || ' (suite)' WHEN 1 THEN 'Lac ' || source ELSE replace(source, '_', ' ') END AS subject
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Postulat' WHEN 1 THEN 'Interpellation' ELSE 'Motion' END AS label, CASE WHEN doc_id % 3 < 2 THEN 'Mme Roch' ELSE 'A et B' END AS author, CASE doc_id % 3 WHEN 0 THEN 'Lac ' || source || ' (suite)' WHEN 1 THEN 'Lac ' || source ELSE regexp_replace(source, '^motion', '') END AS subject
     FROM (SELECT doc_id, split_part(source, '_', 1) AS source FROM documents)""")
 def _(s, d):
     third, name = c("doc_id") % 3, F.split("source", "_")[0]

@@ -6,16 +6,15 @@ from pyspark.sql import functions as F
 
 from civicspark.catalog import c, chunks, docs, query
 from civicspark.catalog_records import cat, council, lit
-from civicspark.functions import dates, text
+from civicspark.functions import dates
 from civicspark.operators import segment
 from civicspark.sources.tables import table
 
 #: A paragraph that is longer than the gap between two headings.
 LONG = "mot " * 70
-_L = "trim(repeat('mot ', 70))"
 
 
-@query("response_parts", "G4 G5", f"""
+@query("response_parts", "G4 G5", """
     SELECT doc_id, 0 AS no, CASE doc_id % 3 WHEN 2 THEN 'municipal_response' ELSE 'interpellation_text' END AS component, CASE doc_id % 3 WHEN 2 THEN 'Réponse municipale 4/2021' ELSE 'Interpellation' END AS section_title, CASE doc_id % 3 WHEN 2 THEN '4/2021' END AS response_number FROM documents
     UNION ALL SELECT doc_id, 1, CASE doc_id % 3 WHEN 2 THEN 'interpellation_text' ELSE 'municipal_response' END, CASE doc_id % 3 WHEN 0 THEN 'Réponse municipale ' || (doc_id % 9 + 1) || '/2022' WHEN 1 THEN 'Réponse municipale' ELSE 'Interpellation annexée' END, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 9 + 1) || '/2022' END FROM documents
     UNION ALL SELECT doc_id, 2, 'municipal_response', 'Réponse municipale orale', NULL FROM documents WHERE doc_id % 3 = 0""")
@@ -28,7 +27,7 @@ def _(s, d):
     return parts.select("doc_id", "no", "x.component", "x.section_title", "x.response_number")
 
 
-@query("motion_parts", "G6", f"""
+@query("motion_parts", "G6", """
     SELECT doc_id, 0 AS no, 'motion_text' AS component, 'Motion' AS section_title, length('Texte ' || source || ' ') + 279 AS chars FROM documents
     UNION ALL SELECT doc_id, 1, 'commission_report', CASE WHEN doc_id % 2 = 0 THEN 'Rapport de majorité' ELSE 'Rapport de commission' END, 30 + 280 - 1 FROM documents
     UNION ALL SELECT doc_id, 2, 'commission_report', 'Rapport de minorité', 22 + 279 FROM documents UNION ALL SELECT doc_id, 3, 'council_decision', 'Décision du Conseil communal', 31 FROM documents""")
@@ -61,13 +60,12 @@ def _(s, d):
     return parts.select("doc_id", "no", "x.component", F.left("x.content", lit(8)).alias("head"))
 
 
-@query("annual_parts", "G10", "SELECT doc_id, 0 AS no, 'annual_management_report' AS component, length(source) + 1 + 279 AS chars FROM documents UNION ALL SELECT doc_id, 1, 'commission_report', 34 + 280 + 28 FROM documents UNION ALL SELECT doc_id, 2, 'municipal_response', 25 + 3 FROM documents")
+@query("annual_parts", "G10", "SELECT doc_id, 0 AS no, 'annual_management_report' AS component, left(source, 6) AS head FROM documents UNION ALL SELECT doc_id, 1, 'commission_report', '## RAP' FROM documents UNION ALL SELECT doc_id, 2, 'municipal_response', 'Répons' FROM documents")
 def _(s, d):
     # the extract stands too near to the heading before it
     body = cat(c("source"), lit("\n" + LONG + "\n## RAPPORT DE LA COMMISSION DE GESTION\nEXTRAIT DU PROCÈS-VERBAL 11\n" + LONG + "\nRéponses de la Municipalité ok"))
     parts = council(s, d).select("doc_id", F.posexplode(segment.annual_sections(body)).alias("no", "x"))
-    sized = parts.select("doc_id", "no", "x.component", F.length("x.content").alias("chars"))
-    return sized.withColumn("chars", F.when(c("no") == 1, c("chars") - F.length(lit("## RAPPORT DE LA COMMISSION DE GESTION\nEXTRAIT DU PROCÈS-VERBAL 11\n")) - 279 + 342).when(c("no") == 2, c("chars") - F.length(lit("Réponses de la Municipalité ok")) + 28).otherwise(c("chars")))
+    return parts.select("doc_id", "no", "x.component", F.left("x.content", lit(6)).alias("head"))
 
 
 def minutes(s, d):

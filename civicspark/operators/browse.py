@@ -39,23 +39,30 @@ def canonical(flag: Column) -> Column:
 
 def browse(
     documents: DataFrame, communes: Sequence[str] = (), categories: Sequence[str] = (), keywords: Sequence[str] = (), year_from: str | None = None, year_to: str | None = None,
-    limit: int = 200,
+    limit: int = 200, metadata: Column | None = None,
 ) -> DataFrame:
-    """Primary documents, newest first, at most ``limit`` (1 to 2000)."""
+    """Primary documents, newest first, at most ``limit`` (1 to 2000).
+
+    Keywords are looked for in both titles and, if given, in the text of the
+    metadata; records that say that they are no objects of their own
+    (``canonical_object``) are left out.
+    """
     year = browser_year(F.col("document_date"), F.col("listing_year"))
     rows = documents.where(primary(F.col("document_role"))).withColumn("year", year)
+    if "canonical_object" in documents.columns:
+        rows = rows.where(canonical(F.col("canonical_object")))
     if communes:
         rows = rows.where(F.col("commune").isin(*communes))
     if categories:
         rows = rows.where(F.col("category").isin(*[CATEGORIES.get(c, c) for c in categories]))
     if keywords:
-        rows = rows.where(matches_keywords(keywords, F.col("title"), F.col("source_title")))
+        rows = rows.where(matches_keywords(keywords, F.col("title"), F.col("source_title"), *([metadata] if metadata is not None else [])))
     rows = rows.where(year_between(F.col("year"), year_from, year_to)) if year_from or year_to else rows
     return rows.orderBy(F.desc_nulls_last("year"), F.asc_nulls_last("commune"), F.asc_nulls_last("title"), "document_id").limit(max(1, min(limit, 2000))).select("document_id", "year", "commune", "category", "title")
 
 
 def filters(spec: dict) -> Column:
-    """The conjunction of the filters that are set: city, doc_type, year.
+    """The conjunction of the filters that are set: city, doc_type, article, year.
 
     ``all`` and unknown types filter nothing, as a question may name none.
     """
@@ -65,21 +72,18 @@ def filters(spec: dict) -> Column:
         out = out & (F.col("commune") == city)
     if (kind := str(spec.get("doc_type") or "").lower()) in CATEGORIES:
         out = out & (F.col("category") == CATEGORIES[kind])
+    if spec.get("article"):
+        out = out & (F.col("article") == str(spec["article"]))
     if spec.get("year"):
         out = out & (F.col("listing_year").cast("string") == str(spec["year"]))
     return out
 
 
 def relaxed(spec: dict) -> list[dict]:
-    """Weaker versions of the filters, in order: without the year, then the city alone."""
-    out: list[dict] = []
-    if spec.get("year"):
-        out.append({k: v for k, v in spec.items() if k != "year"})
-    if spec:
-        only = {"city": spec["city"]} if spec.get("city") else {}
-        if not out or out[-1] != only:
-            out.append(only)
-    return out
+    """Weaker versions of the filters, in order: without the year, then the city alone; none twice."""
+    fewer = [{k: spec[k] for k in spec if k != "year"}] if spec.get("year") else []
+    alone = [{k: spec[k] for k in ("city",) if spec.get(k)}] if spec else []
+    return fewer + [a for a in alone if a not in fewer[-1:]]
 
 
 def author_listing(documents: DataFrame) -> DataFrame:

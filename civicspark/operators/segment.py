@@ -421,7 +421,11 @@ def own_interpellation(pages: Column, is_object: Column, duplicate_of: Column, e
 def page_components(text: Column, rules: list[tuple[str, str]]) -> Column:
     """The first page, from 1, on which each component is found: a map; pages are separated by form feeds."""
     pages = F.split(text, "\f")
-    entries = F.array(*[F.struct(F.lit(name).alias("k"), F.get(F.filter(F.transform(pages, lambda p, i, p_=p_: F.when(fold(p).rlike(p_), i + 1)), lambda i: i.isNotNull()), F.lit(0)).alias("v")) for name, p_ in rules])
+
+    def first(pattern: str) -> Column:
+        return F.get(F.filter(F.transform(pages, lambda p, i: F.when(fold(p).rlike(pattern), i + 1)), lambda i: i.isNotNull()), F.lit(0))
+
+    entries = F.array(*[F.struct(F.lit(name).alias("k"), first(pattern).alias("v")) for name, pattern in rules])
     return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
 
 

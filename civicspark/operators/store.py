@@ -87,7 +87,11 @@ def change_log(known: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 class Table:
-    """A Parquet table with versions in a folder that all executors share."""
+    """A Parquet table with numbered versions in a folder that all executors share.
+
+    A version counts as soon as its empty file ``current/n`` is there; the
+    highest one is read, so there is no moment without a version.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -97,12 +101,14 @@ class Table:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def current(self) -> str | None:
+    def versions(self) -> list[str]:
+        """The names of the written versions, the oldest first; a name is a number and a random part."""
         fs, path = self._files()
-        pointer = path(f"{self.path}/current")
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.path}/current").first()[0]
+        folder = path(f"{self.path}/current")
+        return sorted((f.getPath().getName() for f in fs.listStatus(folder)), key=lambda n: int(n.split("-")[0])) if fs.exists(folder) else []
+
+    def current(self) -> str | None:
+        return next(reversed(self.versions()), None)
 
     def read(self) -> DataFrame:
         version = self.current()
@@ -112,18 +118,15 @@ class Table:
 
     def replace(self, df: DataFrame, check: Callable[[DataFrame], None] | None = None, partition_by: list[str] | None = None) -> DataFrame:
         """Writes a new version, checks what was written, and makes it current; a failed check leaves the old one."""
-        version = f"v-{uuid.uuid4().hex}"
+        last = self.current()
+        version = f"{int(last.split('-')[0]) + 1 if last else 1}-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.path}/{version}")
         written = self.spark.read.parquet(f"{self.path}/{version}")
         if check is not None:
             check(written)
         fs, path = self._files()
-        out = fs.create(path(f"{self.path}/current.new"), True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        fs.delete(path(f"{self.path}/current"), False)
-        fs.rename(path(f"{self.path}/current.new"), path(f"{self.path}/current"))
+        fs.create(path(f"{self.path}/current/{version}"), False).close()
         return written
 
     def append(self, df: DataFrame) -> None:
@@ -133,3 +136,67 @@ class Table:
             self.replace(df)
         else:
             df.write.mode("append").parquet(f"{self.path}/{version}")
+
+
+class Runs:
+    """The log of loading runs: a row for each change of a run's state; the last one counts."""
+
+    SCHEMA = "run_id string, status string, rows long, at timestamp"
+
+    def __init__(self, table: Table):
+        self.table = table
+
+    def note(self, run_id: str, status: str, rows: int | None = None) -> None:
+        spark = self.table.spark
+        self.table.append(spark.createDataFrame([(run_id, status, rows)], "run_id string, status string, rows long").withColumn("at", F.current_timestamp()))
+
+    def run(self, run_id: str, load: Callable[[], DataFrame]) -> DataFrame:
+        """What ``load`` gives, noted as loading before and completed, with its rows, afterwards; or as failed."""
+        self.note(run_id, "loading")
+        try:
+            loaded = load()
+            self.note(run_id, "completed", loaded.count())
+            return loaded
+        except Exception:
+            self.note(run_id, "failed")
+            raise
+
+    def states(self) -> DataFrame:
+        """Each run with its last status."""
+        rank = F.when(F.col("status") == "loading", 0).otherwise(1)
+        return self.table.read().groupBy("run_id").agg(F.max_by(F.struct("status", "rows"), F.struct("at", rank)).alias("x")).select("run_id", "x.*")
+
+
+def status_summaries(df: DataFrame, status: str, labels: Column, summary: str = "summary") -> DataFrame:
+    """The table with its summary set from a status where it has none."""
+    return df.withColumn(summary, F.coalesce(F.nullif(F.trim(F.col(summary)), F.lit("")), labels))
+
+
+def inserted_once(target: DataFrame, source: DataFrame, key: str, flag: str) -> DataFrame:
+    """Insert-ignore with one exception: a known row whose ``flag`` isn't set takes over a set one; all else stays."""
+    new = source.groupBy(key).agg(*[F.max(x).alias(x) for x in source.columns if x != key])
+    given = new.select(F.col(key), F.col(flag).alias("__flag"))
+    kept = target.join(given, key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) | F.coalesce("__flag", F.lit(False))).drop("__flag")
+    return kept.unionByName(new.join(target.select(key), key, "left_anti"))
+
+
+def backfill_steps(df: DataFrame, column: str, value: Column, key: str, size: int) -> DataFrame:
+    """One resumable step of a backfill: the first ``size`` rows by key that lack the column are filled; it is done when a step changes none."""
+    lacking = df.where(F.trim(F.coalesce(column, F.lit(""))) == "").orderBy(key).limit(size).select(key, F.lit(True).alias("__now"))
+    return df.join(lacking, key, "left").withColumn(column, F.when(F.col("__now"), value).otherwise(F.col(column))).drop("__now")
+
+
+def ensure_table(spark: SparkSession, name: str, schema: str, path: str) -> None:
+    """Creates the table if it isn't there, and adds columns that it lacks; done twice it changes nothing."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet LOCATION '{path}'")
+    have = {c.lower() for c in spark.table(name).columns}
+    missing = [c.strip() for c in schema.split(",") if c.split()[0].lower() not in have]
+    if missing:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(missing)})")
+
+
+def analyzed(spark: SparkSession, name: str) -> DataFrame:
+    """Computes the statistics of a table and gives its rows and bytes."""
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
+    found = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Statistics'")
+    return found.select(F.lit(name).alias("name"), F.regexp_extract("data_type", r"(\d+) rows", 1).cast("long").alias("rows"))

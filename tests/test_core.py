@@ -210,9 +210,16 @@ def test_questions():
     assert question.understand("Liste des motions restées sans réponse en 2024", names).route == "unanswered"
     assert question.understand("Que dit l’article 12bis du règlement du Conseil ?", names).article == "12bis"
     assert question.understand("Budget 2024", names, {"city": "all", "year": "2023"}).year == "2023"
-    assert question.conflict(spec, {"city": "Vérandes"}, {}) == "city"
-    assert question.conflict(spec, {}, {"Haut-Vérandes": ["motion"]}) == "doc_type_unavailable"
-    assert question.in_context(["Qui a déposé la motion ?"], "Et en 2024 ?") == "Qui a déposé la motion ? Et en 2024 ?"
+    towns = {"Vérandes": {"enabled": True, "types": ["motion"], "names": []}, "Aubrény": {"enabled": False, "types": [], "names": ["Aub"]}}
+    assert question.conflict("Les motions d’Aub ?", {}, towns) == "town_unavailable"
+    assert question.conflict("Les motions ?", {"city": "Aubrény"}, towns) == "city_unavailable"
+    assert question.conflict("Les postulats de Vérandes", {}, towns) == "type_unavailable"
+    assert question.conflict("Les motions de 2022", {"year": 2023, "city": "Vérandes"}, towns) == "year"
+    assert question.conflict("Les motions", {"doc_type": "postulats"}, towns) == "type"
+    assert question.conflict("Les motions de Vérandes en 2022", {"city": "all", "year": "2022"}, towns) is None
+    assert question.follows_up("Et en 2024 ?") and question.follows_up("Combien de motions ont été déposées par des femmes ?") and not question.follows_up("Quels objets ont été déposés par des femmes ?")
+    assert question.is_complex("Compare 2021") and question.is_complex("Le lac et la route") and not question.is_complex("Que dit « le lac et la route » ?")
+    assert question.find_range("de 2020-2019 ou entre 2023 et 2021") == ("2021", "2023")
 
 
 def test_providers(spark):
@@ -228,5 +235,15 @@ def test_stream_of_probes(spark, tmp_path):
     for title in ("t", "T"):
         spark.createDataFrame([("u", title, 1, "m", "e", None, None)], cols).write.mode("append").parquet(folder)
         changes.stream_changes(spark.readStream.schema(cols).parquet(folder), table, log, str(tmp_path / "c")).awaitTermination()
-    assert sorted(r[1] for r in log.read().collect()) == ["new", "renamed"]
+    assert sorted(r["change_type"] for r in log.read().collect()) == ["new", "renamed"]
     assert table.read().first().title == "T"
+
+
+def test_batch_delivered_twice(spark, tmp_path):
+    cols = "pdf_url string, title string, content_length long, last_modified string, etag string, first_seen timestamp, last_checked timestamp"
+    folder = str(tmp_path / "in")
+    table, log = store.Table(spark, str(tmp_path / "t")), store.Table(spark, str(tmp_path / "l"))
+    spark.createDataFrame([("u", "t", 1, "m", "e", None, None)], cols).write.parquet(folder)
+    for name in ("a", "b"):  # a lost checkpoint: the first batch comes again
+        changes.stream_changes(spark.readStream.schema(cols).parquet(folder), table, log, str(tmp_path / name)).awaitTermination()
+    assert [r["change_type"] for r in log.read().collect()] == ["new"] and table.read().count() == 1
