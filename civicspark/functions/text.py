@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: Letters with a mark and their base letters; ligatures stay (fixed values).
 MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
@@ -229,6 +230,23 @@ def response_reference(text: Column) -> Column:
     return F.when(number != "", F.concat(F.lit("RI "), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number), F.lit("/"), year))
 
 
+def cleaned_values(df: DataFrame, clean: Callable[[Column], Column] = clean_text) -> DataFrame:
+    """Every text of the table cleaned, within structs, arrays and the values of maps as well."""
+
+    def one(value: Column, kind: DataType) -> Column:
+        if isinstance(kind, StringType):
+            return clean(value)
+        if isinstance(kind, ArrayType):
+            return F.transform(value, lambda x: one(x, kind.elementType))
+        if isinstance(kind, MapType):
+            return F.transform_values(value, lambda _, x: one(x, kind.valueType))
+        if isinstance(kind, StructType):
+            return F.when(value.isNotNull(), F.struct(*[one(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        return value
+
+    return df.select(*[one(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
 def badness(text: Column) -> Column:
     """How many sequences of wrong decoding a text holds; the smaller of two readings is the better one."""
     return F.regexp_count(text, F.lit("Ã|Â|â€|Ð|�|[\u0080-\u009f]"))

@@ -97,6 +97,25 @@ def weak(results: DataFrame, documents: int = 2, score: float = 0.75) -> bool:
     return row[0] < documents or (row[1] or 0.0) < score
 
 
+def retried(first: DataFrame, broadened: DataFrame) -> DataFrame:
+    """The first results, or those of the broadened question where the first are weak and the others' best score is higher."""
+    if not weak(first):
+        return first
+    best = lambda df: df.agg(F.max("score")).first()[0] or 0.0
+    return broadened if best(broadened) > best(first) else first
+
+
+def evidence(results: DataFrame, limit: int = 15) -> DataFrame:
+    """What an answer is made from: results interleaved over the communes, in order of their names, those without one last; ``place`` counts from 1."""
+    known = results.withColumn("__g", F.coalesce(F.nullif(F.trim("commune"), F.lit("")), F.lit("\uffff")))
+    return interleave(known, "__g", [F.desc("score"), F.col("chunk_id")], "chunk_id", limit).drop("__g")
+
+
+def stable_order(results: DataFrame, columns: Sequence[Column]) -> list[Column]:
+    """Sort keys in which a null counts as empty text, with the insertion order as the last one."""
+    return [*[F.coalesce(c, F.lit("")) for c in columns], F.col("place")]
+
+
 def rerank_filled(results: DataFrame, chosen: Sequence[str], keep: int) -> DataFrame:
     """Chosen ids in the given order, then the others in theirs, ``keep`` in all; ``place`` is the order of ``results``."""
     order = F.array_position(F.array(*[F.lit(c) for c in chosen]) if chosen else F.array().cast("array<string>"), F.col("chunk_id"))
@@ -112,37 +131,6 @@ def responses(documents: DataFrame) -> DataFrame:
     return objects.join(answers, "key", "left").select("object_id", "response_id")
 
 
-def answered(documents: DataFrame, category: str, year: str | None = None) -> DataFrame:
-    """Objects of a category that have a response, with the response's date; ``year`` is that of the response."""
-    dates = documents.groupBy(F.col("document_id").alias("response_id")).agg(F.max("document_date").alias("response_date"))
-    own = documents.where(F.col("category") == category).select(F.col("document_id").alias("object_id")).distinct()
-    rows = responses(documents).join(own, "object_id").where("response_id is not null").join(dates, "response_id", "left")
-    return (rows.where(F.left("response_date", F.lit(4)) == year) if year else rows).select("object_id", "response_id", "response_date")
-
-
-def unanswered(documents: DataFrame, category: str, year: str | None = None) -> DataFrame:
-    """Objects of a category without a response; ``year`` is that of filing."""
-    own = documents.where((F.col("category") == category) & F.col("document_role").endswith("_text")).groupBy(F.col("document_id").alias("object_id")).agg(F.max("document_date").alias("filed"))
-    rows = own.join(responses(documents).where("response_id is not null"), "object_id", "left_anti")
-    return rows.where(F.left("filed", F.lit(4)) == year) if year else rows
-
-
-def match_responses(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """The linked document of each response entry: by its number, or the only link of the object.
-
-    ``entries`` has ``object_id``, ``entry_no`` and ``response_number``,
-    ``links`` has ``object_id``, ``position``, ``response_id`` and
-    ``response_number``.  Of several links with the number the first one is
-    taken; an entry without a match keeps a null ``response_id``.
-    """
-    by_number = links.where("response_number is not null").groupBy("object_id", "response_number").agg(F.min_by("response_id", "position").alias("numbered"))
-    single = links.groupBy("object_id").agg(F.count("*").alias("n"), F.min("response_id").alias("single")).where("n = 1").select("object_id", "single")
-    return (
-        entries.join(by_number, ["object_id", "response_number"], "left").join(single, "object_id", "left")
-        .select("object_id", "entry_no", "response_number", F.coalesce("numbered", "single").alias("response_id"))
-    )
-
-
 def resolvable(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Objects with how many of their links lead to an existing target, and the first one; ``edges``: object_id, position, target_id."""
     found = edges.join(targets.select("target_id").distinct(), "target_id")

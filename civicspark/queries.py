@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark import catalog_objects, catalog_records, catalog_sections  # noqa: F401  register their queries
+from civicspark import catalog_objects, catalog_records, catalog_sections, catalog_sources  # noqa: F401  register their queries
 from civicspark.catalog import CATALOG
 from civicspark.functions import dates
 from civicspark.operators import retrieval, segment

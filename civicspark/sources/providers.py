@@ -67,3 +67,24 @@ def recognized(pages: DataFrame, cache: DataFrame, recognize, key: str = "page_h
             yield pd.DataFrame({key: frame[key], "text": [recognize(x) for x in frame["content"]]})
 
     return cache.select(key, "text").unionByName(missing.select(key, F.col("content")).mapInPandas(run, f"{key} string, text string"))
+
+
+def fetched(urls: DataFrame, fetch, tries: int = 3) -> DataFrame:
+    """``url`` and ``body`` of each distinct URL, fetched in the partitions side by side; a URL that fails ``tries`` times has a null body and its error."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for url in frame["url"]:
+                error = None
+                for _ in range(tries):
+                    try:
+                        rows.append((url, fetch(url), None))
+                        break
+                    except (ConnectionError, TimeoutError) as e:
+                        error = str(e)
+                else:
+                    rows.append((url, None, error))
+            yield pd.DataFrame(rows, columns=["url", "body", "error"])
+
+    return urls.select("url").distinct().mapInPandas(run, "url string, body string, error string")

@@ -53,3 +53,29 @@ def file_kind(content: Column) -> Column:
     return (
         F.when(head.startswith("25504446"), "pdf").when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("504B0304"), "zip").otherwise("other")
     )
+
+
+def named_like(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """Text files whose name matches a glob such as ``seance-*.json``, at any depth: ``file`` and ``text``."""
+    rows = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
+    return rows.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+
+
+def without_trailing_number(page: Column) -> Column:
+    """A page without the last line that holds only its number, and white space behind."""
+    return F.regexp_replace(F.regexp_replace(page, r"\s+$", ""), r"(?i)\n\s*(?:page\s*)?\d{1,4}(?:\s*(?:/|sur|de)\s*\d{1,4})?$", "")
+
+
+def positioned(pages_: DataFrame, id_col: str, pages_col: str) -> DataFrame:
+    """The lines of text pages as blocks: ``id``, ``page`` from 1, ``block``, ``top`` and ``bottom`` as shares of the page's height, and ``text``.
+
+    Without a library for PDF files the lines' order stands for their place.
+    """
+    paged = pages_.select(F.col(id_col).alias("id"), F.posexplode(pages_col).alias("page", "content")).select("id", (F.col("page") + 1).alias("page"), F.split("content", "\n").alias("ls"))
+    each = paged.select("id", "page", F.size("ls").alias("n"), F.posexplode("ls").alias("block", "text"))
+    return each.select("id", "page", "block", (F.col("block") / F.col("n")).alias("top"), ((F.col("block") + 1) / F.col("n")).alias("bottom"), F.trim("text").alias("text")).where("text <> ''")
+
+
+def as_pages(kind: Column, text: Column) -> Column:
+    """The pages of an attachment: those of its text for a PDF, one page for an image, none for anything else."""
+    return F.when(kind == "pdf", pages(text)).when(kind.isin("png", "jpeg"), F.array(F.coalesce(text, F.lit("")))).otherwise(F.array().cast("array<string>"))

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from civicspark.functions import dates, text
-from civicspark.operators import dedup, linkage, quality, retrieval, segment, store
+from civicspark.operators import dedup, linkage, objects, quality, retrieval, segment, store
 from civicspark.plans import question
 from civicspark.sources import html, providers, readers
 from civicspark.streaming import changes
@@ -119,11 +119,14 @@ def test_change_log(spark):
     assert sorted(map(tuple, store.change_log(known, listed).collect())) == [("a", "content_changed"), ("a", "renamed"), ("d", "new")]
 
 
-def test_response_matching(spark):
-    entries = spark.createDataFrame([("o1", 0, "1/2024"), ("o1", 1, "2/2024"), ("o2", 0, None), ("o3", 0, "9/2024")], "object_id string, entry_no int, response_number string")
-    links = spark.createDataFrame([("o1", 0, "r1", "1/2024"), ("o1", 1, "r1b", "1/2024"), ("o1", 2, "r9", None), ("o2", 0, "r2", None)], "object_id string, position int, response_id string, response_number string")
-    got = {(r.object_id, r.entry_no): r.response_id for r in retrieval.match_responses(entries, links).collect()}
-    assert got == {("o1", 0): "r1", ("o1", 1): None, ("o2", 0): "r2", ("o3", 0): None}
+def test_matched_entries(spark):
+    own = spark.createDataFrame([("a",), ("b",), ("c",)], "object_id string")
+    entries = spark.createDataFrame([("a", 0, "2", None, None), ("a", 1, None, None, None), ("b", 0, "9", None, None)], "object_id string, entry_no int, response_number string, adoption_date string, entry_date string")
+    links = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "y"), ("c", 0, "gone"), ("c", 1, "x")], "object_id string, position int, response_id string")
+    responses = spark.createDataFrame([("x", ["1"]), ("y", ["2"]), ("z", None)], "response_id string, numbers array<string>")
+    got = {(r.object_id, r.entry_no): (r.response_number, r.response_id) for r in objects.matched_entries(own, entries, links, responses).collect()}
+    # the only link stands in where the number isn't found; c has the entries of its response
+    assert got == {("a", 0): ("2", "y"), ("a", 1): (None, "x"), ("b", 0): ("9", "y"), ("c", 0): ("1", "x")}
 
 
 def test_vectors(spark):
