@@ -66,9 +66,9 @@ def _(s, d):
     return browse.browse(docs(s, d), categories=["interpellations", "postulats"], keywords=["patrimoine"], year_from="2022", year_to="2024", limit=5000)
 
 
-@query("filter_conjunction", "F1-F3 F5", "SELECT document_id, category, listing_year FROM document_metadata WHERE commune = 'Vérandes' AND category = 'motion' AND cast(listing_year AS VARCHAR) = '2023'")
+@query("filter_conjunction", "F1-F3 F5", "SELECT document_id, category, listing_year FROM document_metadata WHERE commune = 'Châtel-Névis' AND category = 'postulat' AND cast(listing_year AS VARCHAR) = '2025'")
 def _(s, d):
-    return docs(s, d).where(browse.filters({"city": "Vérandes", "doc_type": "motions", "year": 2023})).select("document_id", "category", "listing_year")
+    return docs(s, d).where(browse.filters({"city": "Châtel-Névis", "doc_type": "postulats", "year": 2025})).select("document_id", "category", "listing_year")
 
 
 @query("filter_relaxed", "F6", "SELECT document_id, commune FROM document_metadata WHERE commune = 'Vérandes' AND category = 'motion'")
@@ -297,7 +297,11 @@ def _(s, d):
     return linkage.contained_join(headings, once, "chunk_id", "document_id", "key", "key")
 
 
-@query("unique_title_links", "R3 J18", None)
+@query("unique_title_links", "R3 J18", f"""
+    WITH t AS (SELECT DISTINCT document_id, document_role, {_fold('title')} AS f FROM document_metadata WHERE title IS NOT NULL), q AS (SELECT *, list_last(regexp_extract_all(f, '[«"]\\s*([^»"]{{8,}}?)\\s*[»"]', 1)) AS q FROM t),
+    k AS (SELECT document_id, document_role, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(CASE WHEN q IS NOT NULL THEN q ELSE regexp_replace(f, '\\.pdf$', '') END, '\\bri\\s*\\d+\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT list_contains({linkage.EMPTY_WORDS}, w) AND NOT regexp_matches(w, '^20\\d\\d$')), ' ') AS k FROM q),
+    u AS (SELECT k, min(document_id) AS r FROM (SELECT DISTINCT document_id, k FROM k WHERE document_role <> 'municipal_response' AND k <> '') GROUP BY k HAVING count(*) = 1)
+    SELECT DISTINCT document_id AS l, r FROM k JOIN u USING (k) WHERE document_role = 'municipal_response' AND document_id <> r""")
 def _(s, d):
     rows = docs(s, d).select("document_id", "title", "document_role").distinct()
     return linkage.unique_title_links(rows.where("document_role = 'municipal_response'"), rows.where("document_role <> 'municipal_response'"))
@@ -305,8 +309,8 @@ def _(s, d):
 
 @query("fuzzy_title_links", "R1 R2 W4 J10 Z28", None)
 def _(s, d):
-    once = docs(s, d).groupBy("document_id").agg(F.max("title").alias("title"), F.max("document_role").alias("document_role"), F.max("listing_year").alias("listing_year"), F.max("commune_key").alias("commune_key"))
-    return linkage.link_by_title(once.where("document_role = 'municipal_response'"), once.where("document_role = 'interpellation_text'"), author="commune_key", year="listing_year")
+    once = docs(s, d).groupBy("document_id").agg(F.max("title").alias("title"), F.max("document_role").alias("document_role"), F.max("listing_year").alias("listing_year"), F.max(F.get("authors", F.lit(0))["name"]).alias("author"))
+    return linkage.link_by_title(once.where("document_role = 'municipal_response'"), once.where("document_role = 'interpellation_text'"), author="author", year="listing_year")
 
 
 @query("audited_links", "Z51 S29", """
@@ -413,7 +417,8 @@ def _(s, d):
     return docs(s, d).select("document_id", F.explode(text.quoted_phrases(c("title"))).alias("phrase")).distinct()
 
 
-@query("capitalized_words", "T11", None)
+@query("capitalized_words", "T11", f"""
+    SELECT item_id, array_to_string(list_filter(w[2:], lambda x: length(x) >= 4 AND regexp_matches(x, '^\\p{{Lu}}') AND NOT list_contains({sorted(text.COMMON_CAPITALIZED)}, {_fold('x')})), ',') AS keywords FROM (SELECT item_id, regexp_extract_all(question, '\\p{{L}}[\\p{{L}}\\p{{N}}_''-]*') AS w FROM eval_items)""")
 def _(s, d):
     return table(s, d, "eval_items").select("item_id", F.array_join(text.capitalized_keywords(c("question")), ",").alias("keywords"))
 
@@ -527,7 +532,10 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", dates.content_hash(c("text")).alias("content_hash"), dates.raw_hash(c("text")).alias("raw_hash"), dates.content_id(c("text")).alias("content_id"))
 
 
-@query("fingerprints", "D21 T31", None)
+@query("fingerprints", "D21 T31", """
+    WITH k AS (SELECT rpad(hex('public test key'), 128, '0') AS h), b AS (SELECT list_transform(range(1, 129, 2), lambda i: ('0x' || substr(h, i, 2))::INT) AS bytes FROM k),
+    p AS (SELECT list_transform(bytes, lambda x: printf('%02x', xor(x, 54))) AS i, list_transform(bytes, lambda x: printf('%02x', xor(x, 92))) AS o FROM b)
+    SELECT commune_key, sha256(unhex(array_to_string(o, '') || sha256(unhex(array_to_string(i, '') || hex(source_domain))))) AS fingerprint, regexp_matches('greffe@' || source_domain, '^[^\\s@]+@[^\\s@]+\\.[^\\s@.]{2,}$') AS valid FROM municipalities, p""")
 def _(s, d):
     return table(s, d, "municipalities").select("commune_key", dates.hmac_sha256(c("source_domain"), "public test key").alias("fingerprint"), text.valid_email(F.concat(F.lit("greffe@"), "source_domain")).alias("valid"))
 
@@ -549,7 +557,10 @@ def _(s, d):
     return segment.chunked(table(s, d, "documents"), "doc_id", "text", 120, 20).withColumn("word_count", c("word_count").cast("long"))
 
 
-@query("source_windows", "G2", None)
+@query("source_windows", "G2", """
+    WITH p AS (SELECT doc_id, regexp_extract_all(text, '[^\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]*') AS w FROM documents),
+    n AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 120 THEN 1 ELSE ceil((len(w) - 20) / 100.0)::INT END AS n FROM p)
+    SELECT doc_id, k::INT AS window_no, regexp_replace(array_to_string(w[k * 100 + 1 : k * 100 + 120], ''), '^[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g') AS content FROM n, unnest(range(0, n)) AS u(k)""")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", F.posexplode(segment.source_windows(c("text"), 120, 20)).alias("window_no", "content"))
 
@@ -584,7 +595,10 @@ def _(s, d):
     return quality.chunk_quality(chunks(s, d)).withColumn("words", c("words").cast("long"))
 
 
-@query("input_issues", "Q5 A12", None)
+@query("input_issues", "Q5 A12", f"""
+    WITH w AS (SELECT *, len({_words("coalesce(content, '')")}) AS n, trim(coalesce(content, '')) AS x FROM chunks), i AS (SELECT list_distinct(list_filter([CASE WHEN coalesce(section_title, '') = '' THEN 'missing:section_title' END, CASE WHEN coalesce(content, '') = '' THEN 'missing:content' END, CASE WHEN n > 500 THEN 'content_over_500_words' END, CASE WHEN n BETWEEN 1 AND 9 THEN 'content_under_10_words' END,
+      CASE WHEN regexp_matches(x, '\\b\\d{{1,3}}\\s*\\|\\s*\\d{{1,3}}\\b') THEN 'inline_page_marker' END, CASE WHEN length(x) > 24000 THEN 'input_over_24000_characters' END, CASE WHEN regexp_matches(x, '(?i)^(?:page\\s*)?\\d{{1,3}}$') THEN 'standalone_page_number' END], lambda v: v IS NOT NULL) || list_transform(coalesce(quality_issues, []), lambda v: 'upstream:' || v)) AS a FROM w)
+    SELECT issue, count(*) AS n FROM (SELECT unnest(a) AS issue FROM i) GROUP BY issue""")
 def _(s, d):
     return quality.histogram(quality.input_issues(chunks(s, d), ["chunk_id", "document_id", "content", "section_title"]), "issues")
 
@@ -686,7 +700,7 @@ def _(s, d):
     return retrieval.vector_search(table(s, d, "embeddings"), _query_vector(s, d), 10, id_col="vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("vector_topk_filtered", "V1 F2", "SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score FROM embeddings WHERE label = 3 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) DESC, vec_id LIMIT 10")
+@query("vector_topk_filtered", "V1", "SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score FROM embeddings WHERE label = 3 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) DESC, vec_id LIMIT 10")
 def _(s, d):
     return retrieval.vector_search(table(s, d, "embeddings"), _query_vector(s, d), 10, c("label") == 3, "vec_id").select("vec_id", "label", F.round("score", 6).alias("score"))
 
@@ -720,18 +734,29 @@ def _search(s: SparkSession, d: str) -> DataFrame:
     return retrieval.fuse(retrieval.title_search(once, titles, "patrimoine bâti"), retrieval.keyword_search(once, titles, "Sergnole"), near, 20)
 
 
-@query("hybrid_search", "V4 V9", None)
+_FUSED = """
+    WITH c AS (SELECT chunk_id, document_id, chunk_index, max(content) AS content, max(embedding) AS e FROM chunks GROUP BY ALL), m AS (SELECT document_id, max(title) AS title FROM document_metadata GROUP BY document_id),
+    t AS (SELECT chunk_id, document_id, 1.0 AS score, 0 AS stage FROM c JOIN m USING (document_id) WHERE title ILIKE '%patrimoine bâti%' ORDER BY document_id, chunk_index, chunk_id LIMIT 15),
+    kw AS (SELECT chunk_id, document_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_id) AS rn FROM c JOIN m USING (document_id) WHERE coalesce(title ILIKE '%Sergnole%', false) OR coalesce(content ILIKE '%Sergnole%', false)) WHERE rn <= 2 ORDER BY document_id, chunk_index, chunk_id LIMIT 40),
+    k AS (SELECT min(chunk_id) AS chunk_id, document_id, 0.9 AS score, 1 AS stage FROM kw WHERE document_id NOT IN (SELECT document_id FROM t) GROUP BY document_id ORDER BY document_id LIMIT 10),
+    v AS (SELECT chunk_id, document_id, score, 2 AS stage FROM (SELECT *, list_cosine_similarity(e::DOUBLE[], list_transform(range(64), lambda i: 1.0::DOUBLE)) AS score FROM c WHERE e IS NOT NULL AND list_aggregate(list_transform(e, lambda x: abs(x)), 'sum') > 0) ORDER BY score DESC, chunk_id LIMIT 20),
+    f AS (SELECT *, row_number() OVER (ORDER BY stage, score DESC, document_id, chunk_id) AS place FROM (SELECT chunk_id, any_value(document_id) AS document_id, arg_min(score, (stage, -score)) AS score, min(stage) AS stage FROM (SELECT * FROM t UNION ALL SELECT * FROM k UNION ALL SELECT * FROM v) GROUP BY chunk_id) QUALIFY place <= 20)"""
+
+
+@query("hybrid_search", "V4", _FUSED + " SELECT place, chunk_id, document_id, stage, round(score, 6) AS score FROM f")
 def _(s, d):
     return _search(s, d).select("place", "chunk_id", "document_id", "stage", F.round("score", 6).alias("score"))
 
 
-@query("expanded_search", "V6 V5 A9 A10", None)
+@query("expanded_search", "V6 V5 A9 A10", _FUSED + """, b AS (SELECT document_id, max(score) AS s FROM f GROUP BY document_id ORDER BY s DESC, document_id LIMIT 3), n AS (SELECT DISTINCT chunk_id, document_id FROM chunks),
+    x AS (SELECT chunk_id, document_id, s FROM n JOIN b USING (document_id) WHERE (SELECT count(*) FROM n y WHERE y.document_id = n.document_id) <= 15 UNION ALL SELECT chunk_id, document_id, score FROM f)
+    SELECT document_id, round(max(s), 6) AS top_score, count(DISTINCT chunk_id) AS passages FROM x GROUP BY document_id""")
 def _(s, d):
     once = chunks(s, d).select("chunk_id", "document_id").distinct()
     return retrieval.group_by_document(retrieval.expand_small_documents(_search(s, d), once)).select("document_id", F.round("top_score", 6).alias("top_score"), "passages")
 
 
-@query("reranked_search", "V10 X9", None)
+@query("reranked_search", "V10", _FUSED + " SELECT chunk_id, document_id FROM f ORDER BY CASE WHEN place > (SELECT max(place) FROM f) - 3 THEN -place ELSE 1000 + place END LIMIT 15")
 def _(s, d):
     found = _search(s, d)
     last = [r[0] for r in found.orderBy(F.desc("place")).limit(3).collect()]
@@ -805,18 +830,13 @@ def _names(s: SparkSession, d: str) -> dict[str, str]:
     return {n: r[0] for r in rows for n in [r[0], *(r[1] or [])]}
 
 
-@query("question_counts", "N1-N8 A7", None)
+@query("question_counts", "N1-N4 A7", """
+    SELECT a.name AS name, count(DISTINCT document_id) AS documents FROM (SELECT document_id, unnest(authors) AS a FROM document_metadata WHERE commune = 'Châtel-Névis' AND category = 'interpellation') WHERE a.name IS NOT NULL AND a.civility IN ('Mme', 'Madame') GROUP BY a.name""")
 def _(s, d):
     spec = question.understand("Combien d’interpellations ont été déposées à Châtel-Névis par des femmes ?", _names(s, d))
     return question.compile_spec(spec, docs(s, d), chunks(s, d))
 
 
-@query("question_answered", "N4 V11", None)
-def _(s, d):
-    spec = question.understand("Quelles interpellations ont reçu une réponse ?", _names(s, d))
-    return question.compile_spec(spec, docs(s, d), chunks(s, d))
-
-
 @query("question_search", "N1-N5 N9 V4", None)
 def _(s, d):
     spec = question.understand("Que disent les préavis de Sergnole sur « le patrimoine bâti » ?", _names(s, d))

@@ -280,3 +280,81 @@ def _(s, d):
     rows = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_discount").alias("a"), F.max("l_quantity").alias("q"))
     tier = F.when(c("q") >= 49, "exact").when(c("q") >= 38, "probable").otherwise("manual")
     return rows.select("l_orderkey", objects.publication(c("a") < 0.02, tier).alias("status"))
+
+
+@query("question_answered", "N4 V11", "WITH " + _LINKS.format("interpellation_text") + " SELECT object_id, arg_min(rid, pos) AS response_id FROM l JOIN m ON m.document_id = l.object_id WHERE m.ca = 'interpellation' GROUP BY object_id")
+def _(s, d):
+    from civicspark.plans import question
+
+    spec = question.understand("Quelles interpellations ont reçu une réponse ?", {})
+    links = stored(s, d, "interpellation_text")[1]
+    return question.compile_spec(spec, docs(s, d), chunks(s, d), links=links).select("object_id", "response_id")
+
+
+@query("response_statuses", "A15 A16", "WITH " + _LINKS.format("interpellation_text") + " SELECT CASE WHEN object_id IN (SELECT object_id FROM l) THEN 'answered' ELSE 'pending' END AS status, count(*) AS n, count(*) FILTER (WHERE object_id IN (SELECT object_id FROM l JOIN ns USING (rid))) AS with_summary FROM o GROUP BY 1")
+def _(s, d):
+    own, links, responses = stored(s, d, "interpellation_text")
+    summed = links.join(responses.where("numbers is not null"), "response_id", "left_semi").select("object_id").distinct().withColumn("summary", lit(True))
+    state = own.join(links.select("object_id").distinct().withColumn("linked", lit(True)), "object_id", "left").join(summed, "object_id", "left")
+    return state.groupBy(F.when(c("linked"), "answered").otherwise("pending").alias("status")).agg(F.count("*").alias("n"), F.count_if("summary").alias("with_summary"))
+
+
+@query("identical_records", "A18", """
+    SELECT count(*) AS records, count(*) FILTER (WHERE a = b AND t = u) AS all_identical, count(*) FILTER (WHERE a = b) AS tag_identical FROM (SELECT pdf_url, coalesce(max(etag) FILTER (WHERE snapshot_no <= 3), '') AS a, coalesce(max(etag) FILTER (WHERE snapshot_no > 3), '') AS b, coalesce(trim(regexp_replace(max(title) FILTER (WHERE snapshot_no <= 3), '[\\s\\x{A0}]+', ' ', 'g')), '') AS t, coalesce(trim(regexp_replace(max(title) FILTER (WHERE snapshot_no > 3), '[\\s\\x{A0}]+', ' ', 'g')), '') AS u FROM site_inventory GROUP BY pdf_url)""")
+def _(s, d):
+    from civicspark.operators import quality
+
+    half = lambda cond: table(s, d, "site_inventory").where(cond).groupBy("pdf_url").agg(F.max("etag").alias("etag"), F.max("title").alias("title"))
+    status = quality.compare_records(half("snapshot_no <= 3"), half("snapshot_no > 3"), "pdf_url", ["etag", "title"])
+    same = c("status").isin("identical", "both_missing")
+    each = status.groupBy("pdf_url").agg(F.bool_and(same).alias("all"), F.bool_or((c("field") == "etag") & same).alias("tag"))
+    return each.agg(F.count("*").alias("records"), F.count_if("all").alias("all_identical"), F.count_if("tag").alias("tag_identical"))
+
+
+@query("other_sources", "U5 X7", "SELECT commune_key, source, array_to_string(list_sort(list_filter((SELECT list(DISTINCT d.source) FROM documents d WHERE d.commune_key = x.commune_key), lambda v: v <> x.source)), ',') AS others FROM (SELECT DISTINCT commune_key, source FROM documents WHERE commune_key IS NOT NULL) x")
+def _(s, d):
+    sets = table(s, d, "documents").where("commune_key is not null").groupBy("commune_key").agg(F.collect_set("source").alias("all"))
+    each = table(s, d, "documents").where("commune_key is not null").select("commune_key", "source").distinct().join(sets, "commune_key")
+    return each.select("commune_key", "source", F.array_join(F.sort_array(F.array_except(F.array_union("all", F.array("source")), F.array("source"))), ",").alias("others"))
+
+
+@query("url_categories", "Z47 D22", "SELECT DISTINCT pdf_url, CASE WHEN contains(lower(pdf_url), 'proces-verbaux') THEN 'proces-verbaux' WHEN contains(lower(pdf_url), 'preavis') THEN 'preavis-municipaux' WHEN contains(lower(pdf_url), 'communications') THEN 'communications-municipales' WHEN contains(lower(pdf_url), 'rapport-de-gestion') THEN 'rapport-de-gestion' ELSE 'autres' END AS category, coalesce(nullif(regexp_extract(pdf_url, '/(20\\d{2})/', 1), ''), nullif(regexp_extract(regexp_extract(pdf_url, '([^/]*)$', 1), '(20\\d{2})', 1), ''), '1999') AS year FROM site_inventory WHERE pdf_url IS NOT NULL AND NOT regexp_matches(pdf_url, '[%?#+]')")
+def _(s, d):
+    rows = table(s, d, "site_inventory").where("pdf_url is not null").where(~c("pdf_url").rlike("[%?#+]")).select("pdf_url").distinct()
+    return rows.select("pdf_url", records.url_category(c("pdf_url")).alias("category"), records.url_year_or(c("pdf_url"), lit("1999")).alias("year"))
+
+
+@query("mixed_url_categories", "Z47 D22", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'interpellations' WHEN 1 THEN 'postulats' ELSE 'budget' END AS category, '2021' AS year, CASE doc_id % 3 WHEN 0 THEN 'Interpellation-' ELSE 'postulat_' END || doc_id || '-' || left(sha1('https://x.example/' || (CASE doc_id % 3 WHEN 2 THEN 'budget' ELSE 'motions-postulats' END) || '/2021/' || CASE doc_id % 3 WHEN 0 THEN 'Interpellation-' ELSE 'postulat_' END || doc_id || '.pdf'), 8) AS id FROM documents")
+def _(s, d):
+    from civicspark.functions import dates
+
+    third = c("doc_id") % 3
+    url = cat(lit("https://x.example/"), F.when(third == 2, "budget").otherwise("motions-postulats"), lit("/2021/"), F.when(third == 0, "Interpellation-").otherwise("postulat_"), c("doc_id"), lit(".pdf"))
+    return council(s, d).select("doc_id", records.url_category(url).alias("category"), records.url_year_or(url, lit("x")).alias("year"), dates.url_id(url).alias("id"))
+
+
+@query("authors_of_all_categories", "X6 T15 T19", """
+    SELECT document_id, CAST(len(list_distinct(list_transform(list_filter(authors, lambda a: trim(coalesce(a.name, '')) <> ''), lambda a: CASE WHEN a.party IS NOT NULL AND NOT contains(CASE WHEN a.civility IS NOT NULL AND NOT starts_with(a.name, a.civility) THEN a.civility || ' ' || a.name ELSE a.name END, '(' || a.party) THEN (CASE WHEN a.civility IS NOT NULL AND NOT starts_with(a.name, a.civility) THEN a.civility || ' ' || a.name ELSE a.name END) || ' (' || a.party || ')' ELSE (CASE WHEN a.civility IS NOT NULL AND NOT starts_with(a.name, a.civility) THEN a.civility || ' ' || a.name ELSE a.name END) END))) AS INTEGER) AS authors
+    FROM (SELECT document_id, arg_max(authors, loaded_at) AS authors FROM document_metadata WHERE authors IS NOT NULL GROUP BY document_id)""")
+def _(s, d):
+    rows = docs(s, d).where("authors is not null").groupBy("document_id").agg(F.max_by("authors", "loaded_at").alias("authors"))
+    both = F.create_map(lit("motion_metadata"), c("authors"), lit("postulate_metadata"), c("authors"))
+    return rows.select("document_id", F.size(records.all_authors(both)).alias("authors"))
+
+
+@query("author_years", "Z39", f"SELECT DISTINCT trim(lower(translate(a.name, '{text.MARKED}', '{text.BASE}'))) AS author, coalesce(cast(y AS VARCHAR), '') AS year FROM (SELECT unnest(authors) AS a, listing_year AS y FROM document_metadata) WHERE trim(coalesce(a.name, '')) <> ''")
+def _(s, d):
+    from civicspark.operators import browse
+
+    return browse.author_years(docs(s, d))
+
+
+@query("result_rows", "F22", """
+    SELECT chunk_id AS id, document_id, t AS title, ca AS doc_type, length(content) AS chars, coalesce(nullif(fu, ''), nullif(pu, ''), '') AS source_url, 0.9 AS score, 'keyword' AS search_source, (t IS NOT NULL AND t <> '')::INT + (ca IS NOT NULL)::INT + 1 AS fields FROM (SELECT DISTINCT chunk_id, document_id, content FROM chunks) JOIN (SELECT document_id, max(title) AS t, max(category) AS ca, max(file_url) AS fu, max(source_page_url) AS pu FROM document_metadata GROUP BY document_id) USING (document_id)""")
+def _(s, d):
+    from civicspark.operators import browse
+
+    titles = docs(s, d).groupBy("document_id").agg(*[F.max(x).alias(x) for x in ("title", "category", "file_url", "source_page_url")])
+    rows = chunks(s, d).select("chunk_id", "document_id", "content").distinct().join(titles, "document_id").withColumn("summary", lit("")).withColumn("score", lit(0.9))
+    shaped = browse.result_rows(rows, "keyword")
+    return shaped.select("id", "document_id", "title", "doc_type", F.length("text").alias("chars"), "source_url", c("score").cast("decimal(2,1)").alias("score"), "search_source", F.size("metadata").alias("fields"))

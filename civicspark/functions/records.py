@@ -467,3 +467,36 @@ def in_context(question: Column, history: Column, hints: Sequence[str], most: in
     line = lambda m: F.concat(F.when(m["role"] == "user", "Utilisateur").otherwise("Assistant"), F.lit(": "), F.left(compact(F.regexp_replace(m["content"], r"(?s)\nSources utilisées:.*", "")), F.lit(chars)))
     before = F.array_join(F.transform(kept, line), "\n")
     return F.when(follows_up(question, hints) & (before != ""), F.concat(F.lit("Question de suivi dans une conversation.\nContexte récent:\n"), before, F.lit("\n\nQuestion actuelle: "), question)).otherwise(question)
+
+
+#: Categories by what stands in a URL's path, in order (fixed values).
+URL_CATEGORIES = (
+    ("proces-verbaux", "proces-verbaux"), ("preavis", "preavis-municipaux"), ("communications", "communications-municipales"), ("informations-diverses", "informations-diverses"),
+    ("rapport-de-gestion", "rapport-de-gestion"), ("/budget/", "budget"),
+)
+
+
+def url_category(url: Column) -> Column:
+    """The category that a document's URL names: that of its file among motions and postulates, else by its path, else ``autres``."""
+    path = F.lower(F.coalesce(F.try_url_decode(F.regexp_replace(url, r"[?#].*$", "")), url))
+    file = F.regexp_extract(path, r"([^/]*)$", 1)
+    mixed = F.when(file.contains("interpellation"), "interpellations").when(file.contains("postulat"), "postulats").otherwise("motions")
+    out = F.when(path.contains("/motions-postulats/"), mixed)
+    for part, category in URL_CATEGORIES:
+        out = out.when(path.contains(part), category)
+    return out.otherwise("autres")
+
+
+def url_year_or(url: Column, fallback: Column) -> Column:
+    """The year of a URL's folder, else the first in its file's name, else ``fallback``."""
+    path = F.coalesce(F.try_url_decode(F.regexp_replace(url, r"[?#].*$", "")), url)
+    return F.coalesce(dates.url_year(path), _found(F.regexp_extract(path, r"([^/]*)$", 1), r"(20\d{2})"), fallback)
+
+
+def all_authors(by_category: Column) -> Column:
+    """The authors of a map from categories to arrays of persons, as they are shown, each once, in order."""
+    from civicspark.functions.text import author_display
+
+    persons = F.flatten(F.map_values(by_category))
+    shown = F.transform(F.filter(persons, lambda a: F.trim(F.coalesce(a["name"], F.lit(""))) != ""), lambda a: author_display(a["civility"], a["name"], a["party"]))
+    return F.array_distinct(shown)

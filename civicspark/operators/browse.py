@@ -113,3 +113,26 @@ def available_types(municipalities: DataFrame, communes: Sequence[str]) -> DataF
     if communes:
         rows = rows.where(F.col("label").isin(*communes))
     return rows.select(F.explode("document_types").alias("document_type")).distinct()
+
+
+def result_rows(found: DataFrame, source: str) -> DataFrame:
+    """The rows of a search as they are handed on: ids, texts, the first URL known, the score rounded to six decimals, and the search they come from.
+
+    ``found`` has ``chunk_id``, ``document_id``, ``title``, ``category``,
+    ``content``, ``file_url``, ``source_page_url``, ``summary`` and ``score``;
+    the metadata is a map without empty entries.
+    """
+    url = F.coalesce(F.nullif("file_url", F.lit("")), F.nullif("source_page_url", F.lit("")), F.lit(""))
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.nullif(F.col(k), F.lit("")).alias("v")) for k in ("title", "category", "document_id", "summary")])
+    return found.select(
+        F.col("chunk_id").alias("id"), "document_id", "title", F.col("category").alias("doc_type"), F.col("content").alias("text"), url.alias("source_url"), F.round("score", 6).alias("score"), F.lit(source).alias("search_source"),
+        F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull())).alias("metadata"),
+    )
+
+
+def author_years(documents: DataFrame) -> DataFrame:
+    """Each author, folded, with each year: ``author`` and ``year``, an unknown year as empty text."""
+    from civicspark.functions.text import fold
+
+    rows = documents.select(F.explode("authors").alias("a"), F.coalesce(F.col("listing_year").cast("string"), F.lit("")).alias("year"))
+    return rows.select(F.trim(fold(F.col("a.name"))).alias("author"), "year").where("author <> ''").distinct()

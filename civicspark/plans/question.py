@@ -160,14 +160,14 @@ def follows_up(question: str) -> bool:
     return 0 < len(words) and (len(words) < 5 or not GOING_ON.isdisjoint(words))
 
 
-def compile_spec(spec: QuerySpec, documents: DataFrame, chunks: DataFrame, vector: Sequence[float] | None = None, limit: int = 20) -> DataFrame:
-    """The DataFrame that answers a specification."""
+def compile_spec(spec: QuerySpec, documents: DataFrame, chunks: DataFrame, vector: Sequence[float] | None = None, limit: int = 20, links: DataFrame | None = None) -> DataFrame:
+    """The DataFrame that answers a specification; ``links`` are the stored ones of objects to responses (see ``objects.answered``), else those by common number."""
     if spec.route == "answered":
-        own, links, responses = _linked(documents, spec)
+        own, links, responses = _linked(documents, spec, links)
         entries = own.select("object_id", F.lit(0).alias("entry_no"), *[F.lit(None).cast("string").alias(x) for x in ("response_number", "adoption_date", "entry_date")]).where("false")
         return objects.answered(own, entries, links, responses, year=spec.response_year)
     if spec.route == "unanswered":
-        return objects.unanswered(*_linked(documents, spec), spec.year)
+        return objects.unanswered(*_linked(documents, spec, links), spec.year)
     rows = documents.where(browse.filters(spec.filters()))
     if spec.year_range:
         rows = rows.where(browse.year_between(browse.browser_year(F.col("document_date"), F.col("listing_year")), *spec.year_range))
@@ -191,11 +191,11 @@ def _in_city(documents: DataFrame, spec: QuerySpec) -> DataFrame:
     return documents.where(F.col("commune") == spec.city) if spec.city else documents
 
 
-def _linked(documents: DataFrame, spec: QuerySpec) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The objects a question asks for, the links of all objects to responses, by their common number, and the responses."""
+def _linked(documents: DataFrame, spec: QuerySpec, links: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The objects a question asks for, the links of all objects to responses, and the responses."""
     once = documents.groupBy("document_id").agg(*[F.max(x).alias(x) for x in ("commune", "category", "document_role", "document_date", "listing_year")])
     own = _in_city(once, spec).where((F.col("category") == SINGULAR[spec.doc_type or ""]) & F.col("document_role").endswith("_text"))
-    links = retrieval.responses(documents).where("response_id is not null").withColumn("position", F.lit(0))
+    links = links if links is not None else retrieval.responses(documents).where("response_id is not null").withColumn("position", F.lit(0))
     empty = F.lit("")
     # a response without a number of its own is one entry
     answers = once.where("document_role = 'municipal_response'").select(
