@@ -32,6 +32,14 @@ def _words(c: str) -> str:
     return _WORDS.format(c)
 
 
+def _subject(c: str) -> str:
+    """The words of a title's subject, as an array, in SQL; see ``linkage.title_key``."""
+    f = _fold(c)
+    phrase = f"list_last(regexp_extract_all({f}, '[«\"]\\s*([^»\"]{{8,}}?)\\s*[»\"]', 1))"
+    bare = f"regexp_replace(regexp_replace(coalesce({phrase}, regexp_replace({f}, '\\.pdf$', '')), '\\bri\\s*\\d+\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')"
+    return f"list_filter(string_split({bare}, ' '), lambda w: w <> '' AND NOT list_contains({linkage.EMPTY_WORDS}, w) AND NOT regexp_matches(w, '^20\\d\\d$'))"
+
+
 def query(name: str, covers: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         CATALOG[name] = (covers, f, sql)
@@ -71,7 +79,8 @@ def _(s, d):
     return docs(s, d).where(browse.filters({"city": "Châtel-Névis", "doc_type": "postulats", "year": 2025})).select("document_id", "category", "listing_year")
 
 
-@query("filter_relaxed", "F6", "SELECT document_id, commune FROM document_metadata WHERE commune = 'Vérandes' AND category = 'motion'")
+@query("filter_relaxed", "F6", """
+    WITH a AS (SELECT document_id, commune FROM document_metadata WHERE commune = 'Vérandes' AND category = 'motion') SELECT * FROM a UNION ALL SELECT document_id, commune FROM document_metadata WHERE commune = 'Vérandes' AND NOT EXISTS (SELECT * FROM a)""")
 def _(s, d):
     spec = {"city": "Vérandes", "doc_type": "motions", "year": 1999}
     for stage in [spec, *browse.relaxed(spec)]:
@@ -272,7 +281,10 @@ def _(s, d):
     return retrieval.responses(docs(s, d))
 
 
-@query("token_overlap_links", "J11 R11 Z8", None)
+@query("token_overlap_links", "J11 R11", f"""
+    WITH a AS (SELECT document_id, list_distinct(list_filter({_subject('t')}, lambda w: length(w) >= 4)) AS ws FROM (SELECT document_id, max(title) AS t FROM document_metadata GROUP BY document_id)), b AS (SELECT item_id, list_distinct(list_filter({_subject('question')}, lambda w: length(w) >= 4)) AS ws FROM eval_items),
+    p AS (SELECT document_id, item_id, count(*) AS n FROM (SELECT document_id, unnest(ws) AS w FROM a) JOIN (SELECT item_id, unnest(ws) AS w FROM b) USING (w) GROUP BY ALL)
+    SELECT document_id AS l, item_id AS r, n AS shared FROM p WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC, item_id) = 1""")
 def _(s, d):
     once = docs(s, d).groupBy("document_id").agg(F.max("title").alias("title")).withColumn("tokens", linkage.tokens(linkage.title_key(c("title"))))
     items = table(s, d, "eval_items").select(c("item_id"), linkage.tokens(linkage.title_key(c("question"))).alias("tokens"))
@@ -290,7 +302,9 @@ def _(s, d):
     return both.groupBy("l", "r").agg(F.max("shared").alias("shared"), F.max("coverage").alias("coverage"), F.max("exact_title").alias("exact_title"))
 
 
-@query("title_contained_links", "J13", None)
+@query("title_contained_links", "J13", f"""
+    WITH a AS (SELECT min(chunk_id) AS l, k FROM (SELECT chunk_id, array_to_string({_subject('section_title')}, ' ') AS k FROM chunks WHERE section_title IS NOT NULL) GROUP BY k), b AS (SELECT document_id AS r, array_to_string({_subject('t')}, ' ') AS k FROM (SELECT document_id, max(title) AS t FROM document_metadata GROUP BY document_id))
+    SELECT DISTINCT l, r FROM a JOIN b ON a.k <> '' AND b.k <> '' AND (contains(a.k, b.k) OR contains(b.k, a.k))""")
 def _(s, d):
     once = docs(s, d).groupBy("document_id").agg(F.max("title").alias("title")).withColumn("key", linkage.title_key(c("title")))
     headings = chunks(s, d).where("section_title is not null").groupBy(linkage.title_key(c("section_title")).alias("key")).agg(F.min("chunk_id").alias("chunk_id"))
@@ -650,14 +664,12 @@ def _(s, d):
     return quality.expectations(actual, expected)
 
 
-@query("margin_lines", "Q1-Q4", """
+@query("margin_lines", "Q2", """
     WITH l AS (SELECT document_id, chunk_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS pos, len(string_split(content, chr(10))) AS n FROM (SELECT DISTINCT document_id, chunk_id, content FROM chunks)),
     m AS (SELECT DISTINCT document_id, chunk_id, trim(regexp_replace(line, '[\\s\\x{A0}\\x{202F}\\x{2007}]+', ' ', 'g')) AS line FROM l WHERE pos < 5 OR pos >= n - 5), h AS (SELECT document_id, line, count(*) AS hits FROM m WHERE line <> '' GROUP BY ALL)
     SELECT h.document_id, line, hits, pages FROM h JOIN (SELECT document_id, count(DISTINCT chunk_id) AS pages FROM chunks GROUP BY document_id) p USING (document_id) WHERE hits >= greatest(3, round_even(pages * 0.35, 0))""")
 def _(s, d):
-    once = chunks(s, d).select("document_id", "chunk_id", F.split("content", "\n").alias("lines")).distinct()
-    lines = once.select("document_id", "chunk_id", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
-    return quality.repeated_margin_lines(lines, "chunk_id", "document_id", "line", "pos", "n")
+    return quality.repeated_margin_lines(chunks(s, d), "chunk_id", "document_id", "content")
 
 
 # ---- deduplication ---------------------------------------------------------------------------------------------
@@ -722,16 +734,16 @@ def _(s, d):
     SELECT chunk_id, document_id, 0.9::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_id) AS rn FROM c JOIN m USING (document_id) WHERE category = 'motion' AND (coalesce(title ILIKE '%Sergnole%', false) OR coalesce(content ILIKE '%Sergnole%', false)))
     WHERE rn <= 2 ORDER BY document_id, chunk_index, chunk_id LIMIT 40""")
 def _(s, d):
-    once = chunks(s, d).select("chunk_id", "document_id", "chunk_index", "content").distinct()
     titles = docs(s, d).groupBy("document_id").agg(F.max("title").alias("title"), F.max("category").alias("category"))
-    return retrieval.keyword_search(once, titles, "Sergnole", where=c("category") == "motion").select("chunk_id", "document_id", "score")
+    return retrieval.keyword_search(chunks(s, d), titles, "Sergnole", where=c("category") == "motion").select("chunk_id", "document_id", "score")
 
 
 def _search(s: SparkSession, d: str) -> DataFrame:
-    once = chunks(s, d).groupBy("chunk_id", "document_id", "chunk_index").agg(F.max("content").alias("content"), F.max("embedding").alias("embedding"))
+    rows = chunks(s, d)
+    ids = rows.select("chunk_id", "document_id", "chunk_index").distinct()
     titles = docs(s, d).groupBy("document_id").agg(F.max("title").alias("title"), F.max("category").alias("category"))
-    near = retrieval.vector_search(once, [1.0] * 64, 20)
-    return retrieval.fuse(retrieval.title_search(once, titles, "patrimoine bâti"), retrieval.keyword_search(once, titles, "Sergnole"), near, 20)
+    near = retrieval.vector_search_once(rows, [1.0] * 64, 20, ["chunk_id", "document_id"])
+    return retrieval.fuse(retrieval.title_search(ids, titles, "patrimoine bâti"), retrieval.keyword_search(rows, titles, "Sergnole"), near, 20)
 
 
 _FUSED = """

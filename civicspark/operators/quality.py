@@ -130,16 +130,19 @@ def expectations(actual: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def repeated_margin_lines(lines: DataFrame, page: str, group: str, line: str, position: str, count: str, edge: int = 5, share: float = 0.35, least: int = 3) -> DataFrame:
+def repeated_margin_lines(pages: DataFrame, page: str, group: str, text: str, edge: int = 5, share: float = 0.35, least: int = 3) -> DataFrame:
     """Lines among the first or last ``edge`` of a page that recur on many pages of their group.
 
     A line recurs if it is on at least ``max(least, round(share * pages))``
-    pages; rounding is half to even.
+    pages; rounding is half to even.  Only the lines at the edges are moved;
+    pages delivered twice count once.
     """
-    margin = lines.where((F.col(position) < edge) | (F.col(position) >= F.col(count) - edge)).select(group, page, compact(F.col(line)).alias("line")).where("line <> ''").distinct()
-    pages = lines.select(group, page).distinct().groupBy(group).agg(F.count("*").alias("pages"))
+    lines = F.split(text, "\n")
+    edges = F.array_distinct(F.transform(F.concat(F.slice(lines, F.lit(1), F.lit(edge)), F.slice(lines, F.greatest(F.size(lines) - edge + 1, F.lit(1)), F.lit(edge))), compact))
+    margin = pages.select(group, page, F.explode(F.filter(edges, lambda x: x != "")).alias("line")).distinct()
+    sizes = pages.select(group, page).distinct().groupBy(group).agg(F.count("*").alias("pages"))
     hits = margin.groupBy(group, "line").agg(F.count("*").alias("hits"))
-    return hits.join(pages, group).where(F.col("hits") >= F.greatest(F.lit(least), F.bround(F.col("pages") * share, 0))).select(group, "line", "hits", "pages")
+    return hits.join(sizes, group).where(F.col("hits") >= F.greatest(F.lit(least), F.bround(F.col("pages") * share, 0))).select(group, "line", "hits", "pages")
 
 
 def one_row(df: DataFrame, what: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,13 +13,21 @@ from civicspark.operators.dedup import interleave, keep_first
 
 
 def cosine(vector: Column, query: Sequence[float] | Column) -> Column:
-    """Cosine similarity in double precision; null for a null vector, one of another length or without direction."""
-    q = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
+    """Cosine similarity in double precision; null for a null vector, one of another length or without direction.
+
+    A query given as numbers is brought to length 1 once, not for every row.
+    """
     v = vector.cast("array<double>")
-    q = q.cast("array<double>")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    dot, vv, qq = total(F.zip_with(v, q, lambda a, b: a * b)), total(F.transform(v, lambda a: a * a)), total(F.transform(q, lambda a: a * a))
-    return F.when(F.size(v) == F.size(q), dot / F.nullif(F.sqrt(vv * qq), F.lit(0.0)))
+    norm = F.sqrt(total(F.transform(v, lambda a: a * a)))
+    if isinstance(query, Column):
+        q = query.cast("array<double>")
+        return F.when(F.size(v) == F.size(q), total(F.zip_with(v, q, lambda a, b: a * b)) / F.nullif(norm * F.sqrt(total(F.transform(q, lambda a: a * a))), F.lit(0.0)))
+    length = math.sqrt(sum(float(x) ** 2 for x in query))
+    if not length:
+        return F.lit(None).cast("double")
+    q = F.array(*[F.lit(float(x) / length) for x in query])
+    return F.when(F.size(v) == len(query), total(F.zip_with(v, q, lambda a, b: a * b)) / F.nullif(norm, F.lit(0.0)))
 
 
 def vector_search(chunks: DataFrame, query: Sequence[float], limit: int, where: Column | None = None, id_col: str = "chunk_id", vector: str = "embedding") -> DataFrame:
@@ -30,6 +39,12 @@ def vector_search(chunks: DataFrame, query: Sequence[float], limit: int, where:
     return rows.withColumn("score", cosine(F.col(vector), query)).where("score is not null").orderBy(F.desc("score"), id_col).limit(limit)
 
 
+def vector_search_once(chunks: DataFrame, query: Sequence[float], limit: int, id_cols: Sequence[str], vector: str = "embedding") -> DataFrame:
+    """Like ``vector_search``, for tables in which a chunk may stand twice: only its ids and its best score are kept."""
+    scored = chunks.select(*id_cols, cosine(F.col(vector), query).alias("score")).where("score is not null")
+    return scored.groupBy(*id_cols).agg(F.max("score").alias("score")).orderBy(F.desc("score"), id_cols[0]).limit(limit)
+
+
 def vector_search_per_group(chunks: DataFrame, query: Sequence[float], k: int, group: str, id_col: str, vector: str = "embedding") -> DataFrame:
     """The k most similar rows of each group in one pass."""
     scored = chunks.withColumn("score", cosine(F.col(vector), query)).where("score is not null")
@@ -43,11 +58,15 @@ def title_search(chunks: DataFrame, documents: DataFrame, phrase: str, limit: in
 
 
 def keyword_search(chunks: DataFrame, documents: DataFrame, keyword: str, limit: int = 40, per_document: int = 2, where: Column | None = None) -> DataFrame:
-    """Chunks whose title or content holds the keyword, score 0.9, at most ``per_document`` of each document."""
+    """Chunks whose title or content holds the keyword, score 0.9, at most ``per_document`` of each document.
+
+    Contents aren't carried on: hits are brought together by their ids, those delivered twice once.
+    """
     docs = documents.where(where) if where is not None else documents
     joined = chunks.join(docs.select("document_id", "title", "category"), "document_id")
     hit = F.coalesce(ilike_contains(F.col("title"), keyword), F.lit(False)) | F.coalesce(ilike_contains(F.col("content"), keyword), F.lit(False))
-    ranked = joined.where(hit).withColumn("rn", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index", "chunk_id")))
+    ids = joined.where(hit).select("chunk_id", "document_id", "chunk_index", "title", "category").dropDuplicates(["chunk_id"])
+    ranked = ids.withColumn("rn", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index", "chunk_id")))
     return ranked.where(F.col("rn") <= per_document).withColumn("score", F.lit(0.9)).orderBy("document_id", "chunk_index", "chunk_id").limit(limit)
 
 

@@ -23,6 +23,3 @@ def test_core_does_not_import_llm():
             assert "civicspark.llm" not in path.read_text()
 
 
-@pytest.mark.parametrize("name", ["browse_documents", "chunk_windows", "hybrid_search", "p4_found", "preindex_audit"])
-def test_queries_run(spark, data, name):
-    assert entry_module.queries()[name](spark, data).count() >= 0
