@@ -11,28 +11,26 @@ class Boosted:
     def __init__(self, trees: int = 40, depth: int = 3, rate: float = 0.3, least: int = 8):
         self.trees, self.depth, self.rate, self.least = trees, depth, rate, least
         self.base, self.nodes, self.scale, self.threshold = 0.0, [], (1.0, 0.0), 0.5
+        self.edges, self.width, self.valid = [], 0, np.zeros((0, 0), bool)
 
-    def _tree(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int) -> tuple:
+    def _tree(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int) -> tuple:
+        """A tree on the binned features; sums of all bins of all features are taken at once."""
         value = -g[rows].sum() / (h[rows].sum() + 1.0)
         if depth == 0 or len(rows) < 2 * self.least:
             return (value,)
-        total = g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
-        best, split = 1e-6, None
-        for f in range(x.shape[1]):
-            v = x[rows, f]
-            for cut in np.unique(np.quantile(v, np.linspace(0.02, 0.98, 16)))[:16]:
-                left = v <= cut
-                n = left.sum()
-                if n < self.least or len(rows) - n < self.least:
-                    continue
-                a, b = rows[left], rows[~left]
-                gain = g[a].sum() ** 2 / (h[a].sum() + 1.0) + g[b].sum() ** 2 / (h[b].sum() + 1.0) - total
-                if gain > best:
-                    best, split = gain, (f, cut, a, b)
-        if split is None:
+        width, features = self.width, bins.shape[1]
+        flat = (bins[rows] + np.arange(features) * width).ravel()
+        left = [np.bincount(flat, None if w is None else np.repeat(w[rows], features), features * width).reshape(features, width).cumsum(1) for w in (g, h, None)]
+        whole = [x[:, -1:] for x in left]
+        right = [w - x for w, x in zip(whole, left)]
+        score = lambda s: s[0] ** 2 / (s[1] + 1.0)
+        gain = np.where((left[2] >= self.least) & (right[2] >= self.least) & self.valid, score(left) + score(right) - score(whole), 0.0)
+        # of equal gains the first feature's, whatever the rounding
+        f, cut = np.unravel_index(gain.round(6).argmax(), gain.shape)
+        if gain[f, cut] <= 1e-6:
             return (value,)
-        f, cut, a, b = split
-        return f, cut, self._tree(x, g, h, a, depth - 1), self._tree(x, g, h, b, depth - 1)
+        below = bins[rows, f] <= cut
+        return int(f), float(self.edges[f][cut]), self._tree(bins, g, h, rows[below], depth - 1), self._tree(bins, g, h, rows[~below], depth - 1)
 
     def _apply(self, tree: tuple, x: np.ndarray) -> np.ndarray:
         if len(tree) == 1:
@@ -55,9 +53,14 @@ class Boosted:
         p = np.clip(b.mean() if len(b) else 0.5, 0.01, 0.99)
         self.base = float(np.log(p / (1 - p)))
         margin = np.full(len(b), self.base)
+        # cuts are the quantiles of each feature
+        self.edges = [np.unique(np.quantile(a[:, f], np.linspace(0.02, 0.98, 16))) if len(a) else np.zeros(1) for f in range(a.shape[1])]
+        self.width = 1 + max(map(len, self.edges), default=0)
+        self.valid = np.array([[j < len(e) for j in range(self.width)] for e in self.edges])
+        bins = np.stack([np.searchsorted(e, a[:, f], "left") for f, e in enumerate(self.edges)], 1)
         for _ in range(self.trees if 0 < b.sum() < len(b) else 0):
             q = 1 / (1 + np.exp(-margin))
-            tree = self._tree(a, q - b, q * (1 - q), np.arange(len(b)), self.depth)
+            tree = self._tree(bins, q - b, q * (1 - q), np.arange(len(b)), self.depth)
             self.nodes.append(tree)
             margin += self.rate * self._apply(tree, a)
         m, t = self.margin(x[held]), y[held].astype(float)
