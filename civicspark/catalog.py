@@ -106,7 +106,7 @@ def _(s, d):
     return table(s, d, "events").select("event_id", k.alias("k")).where("k >= 90")
 
 
-@query("json_defaults", "F9 F17 F18 X10", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE coalesce(CAST(json_extract_string(props, '$.canonical') AS BOOLEAN), true)) AS canonical, count(*) FILTER (WHERE json_exists(props, '$.k')) AS with_key FROM events GROUP BY event_type")
+@query("json_defaults", "F9 F17 F18", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE coalesce(CAST(json_extract_string(props, '$.canonical') AS BOOLEAN), true)) AS canonical, count(*) FILTER (WHERE json_exists(props, '$.k')) AS with_key FROM events GROUP BY event_type")
 def _(s, d):
     canonical = F.coalesce(F.get_json_object("props", "$.canonical").cast("boolean"), F.lit(True))
     return browse.counts_by(table(s, d, "events"), ["event_type"], {"canonical": canonical, "with_key": F.array_contains(F.json_object_keys("props"), "k")})
@@ -147,12 +147,12 @@ def _(s, d):
     return browse.counts_by(docs(s, d), ["listing_year"], {"responses": c("document_role") == "municipal_response", "texts": c("document_role").endswith("_text")})
 
 
-@query("distinct_projection", "A5 U5", "SELECT DISTINCT category, document_role, processing_status FROM document_metadata")
+@query("distinct_projection", "A5", "SELECT DISTINCT category, document_role, processing_status FROM document_metadata")
 def _(s, d):
     return docs(s, d).select("category", "document_role", "processing_status").distinct()
 
 
-@query("document_text", "A6 J3 X6", """
+@query("document_text", "A6 J3", """
     SELECT m.document_id, coalesce(t.content, '') AS content FROM (SELECT DISTINCT document_id FROM document_metadata) m LEFT JOIN (
       SELECT document_id, string_agg(content, ' ' ORDER BY chunk_index) AS content FROM (SELECT document_id, chunk_index, min(content) AS content FROM chunks GROUP BY ALL) GROUP BY document_id) t USING (document_id)""")
 def _(s, d):
@@ -179,7 +179,7 @@ def _(s, d):
     return people.select("name", "party", text.author_display(c("civility"), c("name"), c("party")).alias("shown")).distinct()
 
 
-@query("author_parts", "T19 T20 Z1", """
+@query("author_parts", "T19", """
     SELECT DISTINCT name, CASE WHEN t IN ('M.', 'Monsieur') THEN 'M.' WHEN t <> '' THEN 'Mme' END AS civility, nullif(regexp_extract(name, '^\\s*(?:(M\\.|Mme|Mlle|Monsieur|Madame)\\s+)?([^()]+?)\\s*(?:\\(([^)]+)\\))?\\s*$', 2), '') AS person,
       nullif(regexp_extract(name, '^\\s*(?:(M\\.|Mme|Mlle|Monsieur|Madame)\\s+)?([^()]+?)\\s*(?:\\(([^)]+)\\))?\\s*$', 3), '') AS party
     FROM (SELECT a.name AS name, regexp_extract(a.name, '^\\s*(?:(M\\.|Mme|Mlle|Monsieur|Madame)\\s+)?([^()]+?)\\s*(?:\\(([^)]+)\\))?\\s*$', 1) AS t FROM (SELECT unnest(authors) AS a FROM document_metadata) WHERE a.name IS NOT NULL)""")
@@ -189,14 +189,14 @@ def _(s, d):
     return names.select("name", parts["civility"].alias("civility"), parts["name"].alias("person"), parts["party"].alias("party"))
 
 
-@query("authors_in_all_types", "A20 Z39 U2", """
+@query("authors_in_all_types", "A20 U2", """
     SELECT name, count(*) AS labels FROM (SELECT DISTINCT a.name AS name, category FROM (SELECT category, unnest(authors) AS a FROM document_metadata WHERE category IN ('interpellation', 'postulat', 'motion')) WHERE a.name IS NOT NULL) GROUP BY name HAVING count(*) >= 3""")
 def _(s, d):
     rows = docs(s, d).where(c("category").isin("interpellation", "postulat", "motion")).select("category", F.explode("authors").alias("a")).select(c("a.name").alias("name"), "category").where("name is not null")
     return linkage.overlap_in_all(rows, ["name"], "category", 3)
 
 
-@query("category_report", "A11 A16 A18", """
+@query("category_report", "A11", """
     SELECT commune_key, count(DISTINCT document_id) AS documents, count(*) AS chunks, count(*) FILTER (WHERE len(quality_issues) > 0) AS review, count(*) FILTER (WHERE coalesce(len(quality_issues), 0) = 0) AS valid, bool_and(word_count > 0) AS all_counted
     FROM chunks GROUP BY commune_key""")
 def _(s, d):
@@ -211,7 +211,7 @@ def _(s, d):
     return quality.histogram(chunks(s, d), "quality_issues")
 
 
-@query("first_last_by_type", "A14 A15 Z56", "SELECT category, count(DISTINCT document_id) AS n, min(document_date) AS first_day, max(document_date) AS last_day FROM document_metadata GROUP BY category")
+@query("first_last_by_type", "A14", "SELECT category, count(DISTINCT document_id) AS n, min(document_date) AS first_day, max(document_date) AS last_day FROM document_metadata GROUP BY category")
 def _(s, d):
     return docs(s, d).groupBy("category").agg(F.count_distinct("document_id").alias("n"), F.min("document_date").alias("first_day"), F.max("document_date").alias("last_day"))
 
@@ -221,7 +221,7 @@ def _(s, d):
     return chunks(s, d).groupBy("commune_key").agg(F.round(F.avg("word_count"), 4).alias("mean_words"), F.count("word_count").alias("counted"))
 
 
-@query("numbered_maximum", "A21 A22 D3", """
+@query("numbered_maximum", "A21", """
     SELECT doc_id, list_max(list_transform(regexp_extract_all(text, 'CHF ([0-9]+)', 1), lambda x: CAST(x AS BIGINT))) AS largest, len(regexp_extract_all(text, '\\?')) AS questions FROM documents""")
 def _(s, d):
     found = F.transform(F.regexp_extract_all("text", F.lit("CHF ([0-9]+)"), F.lit(1)), lambda x: x.cast("bigint"))
@@ -233,7 +233,7 @@ def _(s, d):
     return browse.page(table(s, d, "documents"), [F.desc("n_chars"), c("doc_id")], 2).select("doc_id", "n_chars")
 
 
-@query("recent", "O9 K12", "SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 20")
+@query("recent", "O9", "SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 20")
 def _(s, d):
     return table(s, d, "events").where("event_type = 'error'").orderBy(F.desc("ts"), "event_id").limit(20).select("event_id", "user_id")
 
@@ -258,7 +258,7 @@ def _(s, d):
     return linkage.broken_links(table(s, d, "lineitem").select("l_orderkey"), "l_orderkey", orders, "o_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("id_bijection", "J7 J8 U2 Q14", """
+@query("id_bijection", "J7 U2", """
     SELECT document_id, 'left' AS side FROM (SELECT DISTINCT document_id FROM document_metadata) ANTI JOIN chunks USING (document_id)
     UNION ALL SELECT document_id, 'right' AS side FROM (SELECT DISTINCT document_id FROM chunks) ANTI JOIN document_metadata USING (document_id)""")
 def _(s, d):
@@ -274,7 +274,7 @@ def _(s, d):
     return people.select("document_id", "name").distinct().join(party, "name", "left").groupBy("name", "party").agg(F.count_distinct("document_id").alias("documents"))
 
 
-@query("object_graph", "J4 J17 R4 Z24 Z25", """
+@query("object_graph", "J4 J17", """
     WITH r AS (SELECT DISTINCT document_id, document_role, regexp_extract(document_id, '^(.*_\\d+)_', 1) AS key FROM document_metadata WHERE regexp_extract(document_id, '^(.*_\\d+)_', 1) <> '')
     SELECT o.document_id AS object_id, a.document_id AS response_id FROM (SELECT * FROM r WHERE document_role IN ('interpellation_text','postulat_text','postulate_text','motion_text')) o LEFT JOIN (SELECT * FROM r WHERE document_role = 'municipal_response') a ON o.key = a.key""")
 def _(s, d):
@@ -311,7 +311,7 @@ def _(s, d):
     return linkage.contained_join(headings, once, "chunk_id", "document_id", "key", "key")
 
 
-@query("unique_title_links", "R3 J18", f"""
+@query("unique_title_links", "R3", f"""
     WITH t AS (SELECT DISTINCT document_id, document_role, {_fold('title')} AS f FROM document_metadata WHERE title IS NOT NULL), q AS (SELECT *, list_last(regexp_extract_all(f, '[«"]\\s*([^»"]{{8,}}?)\\s*[»"]', 1)) AS q FROM t),
     k AS (SELECT document_id, document_role, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(CASE WHEN q IS NOT NULL THEN q ELSE regexp_replace(f, '\\.pdf$', '') END, '\\bri\\s*\\d+\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT list_contains({linkage.EMPTY_WORDS}, w) AND NOT regexp_matches(w, '^20\\d\\d$')), ' ') AS k FROM q),
     u AS (SELECT k, min(document_id) AS r FROM (SELECT DISTINCT document_id, k FROM k WHERE document_role <> 'municipal_response' AND k <> '') GROUP BY k HAVING count(*) = 1)
@@ -327,7 +327,7 @@ def _(s, d):
     return linkage.link_by_title(once.where("document_role = 'municipal_response'"), once.where("document_role = 'interpellation_text'"), author="author", year="listing_year")
 
 
-@query("audited_links", "Z51 S29", """
+@query("audited_links", "Z51", """
     SELECT coalesce(f.k, o.k) AS k, coalesce(o.v, f.v) AS v, CASE WHEN o.k IS NOT NULL THEN 'audited_override' ELSE 'matched' END AS origin
     FROM (SELECT c_custkey AS k, c_nationkey AS v FROM customer) f FULL JOIN (SELECT s_suppkey * 2 AS k, s_nationkey AS v FROM supplier) o ON f.k = o.k""")
 def _(s, d):
@@ -353,7 +353,7 @@ def _(s, d):
     return chunks(s, d).select("chunk_id", "document_id", rn.alias("rn")).where("rn <= 2")
 
 
-@query("interleaved", "W3 W5", """
+@query("interleaved", "W3", """
     WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings)
     SELECT vec_id, label, rn, row_number() OVER (ORDER BY rn, label) AS place FROM (SELECT * FROM r WHERE rn <= 40 ORDER BY rn, label LIMIT 40)""")
 def _(s, d):
@@ -376,7 +376,7 @@ def _(s, d):
     return texts.select("doc_id", F.posexplode(segment.spaced(starts, 120)).alias("marker_no", "position"))
 
 
-@query("sections_by_marker", "W7 W8 G10 Z15", """
+@query("sections_by_marker", "W7 W8", """
     SELECT document_id, chunk_index, lead(chunk_index, 1, 9999) OVER (PARTITION BY document_id ORDER BY chunk_index) AS until, section_title FROM (
       SELECT DISTINCT document_id, chunk_index, section_title FROM chunks WHERE section_title IS NOT NULL)""")
 def _(s, d):
@@ -411,7 +411,7 @@ def _(s, d):
     return docs(s, d).where(text.badness(c("title")) > 0).select("document_id", "title", text.reread(c("title")).alias("reread")).distinct()
 
 
-@query("clean_contents", "T4 T7 Z41", None)
+@query("clean_contents", "T4 T7", None)
 def _(s, d):
     return chunks(s, d).select("chunk_id", text.without_page_lines(text.clean_text(c("content"))).alias("content")).distinct()
 
@@ -421,12 +421,12 @@ def _(s, d):
     return chunks(s, d).select("chunk_id", text.word_count(c("content")).cast("long").alias("words"))
 
 
-@query("page_markers", "T9", "SELECT chunk_id, len(regexp_extract_all(content, '\\b\\d{1,3}\\s*/\\s*\\d{1,3}\\b')) AS markers FROM chunks")
+@query("page_markers", "", "SELECT chunk_id, len(regexp_extract_all(content, '\\b\\d{1,3}\\s*/\\s*\\d{1,3}\\b')) AS markers FROM chunks")
 def _(s, d):
     return chunks(s, d).select("chunk_id", F.regexp_count("content", F.lit(r"\b\d{1,3}\s*/\s*\d{1,3}\b")).cast("long").alias("markers"))
 
 
-@query("quoted_titles", "T10 T17 Z27", "SELECT DISTINCT document_id, trim(regexp_extract(title, '«\\s*([^»]{3,200})\\s*»', 1)) AS phrase FROM document_metadata WHERE length(trim(regexp_extract(title, '«\\s*([^»]{3,200})\\s*»', 1))) >= 6 AND contains(trim(regexp_extract(title, '«\\s*([^»]{3,200})\\s*»', 1)), ' ')")
+@query("quoted_titles", "T10 Z27", "SELECT DISTINCT document_id, trim(regexp_extract(title, '«\\s*([^»]{3,200})\\s*»', 1)) AS phrase FROM document_metadata WHERE length(trim(regexp_extract(title, '«\\s*([^»]{3,200})\\s*»', 1))) >= 6 AND contains(trim(regexp_extract(title, '«\\s*([^»]{3,200})\\s*»', 1)), ' ')")
 def _(s, d):
     return docs(s, d).select("document_id", F.explode(text.quoted_phrases(c("title"))).alias("phrase")).distinct()
 
@@ -437,13 +437,13 @@ def _(s, d):
     return table(s, d, "eval_items").select("item_id", F.array_join(text.capitalized_keywords(c("question")), ",").alias("keywords"))
 
 
-@query("stripped_markup", "T12 T13 S13 S22", "SELECT doc_id, length(regexp_replace('<p class=\"x\"><b>' || source || '</b> ' || coalesce(category, '-') || '</p>', '<[^>]+>', '', 'g')) AS chars, source || ' ' || coalesce(category, '-') AS plain FROM documents")
+@query("stripped_markup", "T12 T13", "SELECT doc_id, length(regexp_replace('<p class=\"x\"><b>' || source || '</b> ' || coalesce(category, '-') || '</p>', '<[^>]+>', '', 'g')) AS chars, source || ' ' || coalesce(category, '-') AS plain FROM documents")
 def _(s, d):
     page = F.concat(F.lit('<p class="x"><b>'), c("source"), F.lit("</b> "), F.coalesce("category", F.lit("-")), F.lit("</p>"))
     return table(s, d, "documents").select("doc_id", F.length(F.regexp_replace(page, "<[^>]+>", "")).cast("long").alias("chars"), text.strip_tags(page).alias("plain"))
 
 
-@query("listing_links", "S13 S15 S18 S20 S23 S24 Z31", "SELECT commune_key, min(title) AS first_title, count(*) AS links FROM (SELECT DISTINCT commune_key, pdf_url, title FROM site_inventory WHERE snapshot_no = 1 AND title IS NOT NULL) GROUP BY commune_key")
+@query("listing_links", "S13", "SELECT commune_key, min(title) AS first_title, count(*) AS links FROM (SELECT DISTINCT commune_key, pdf_url, title FROM site_inventory WHERE snapshot_no = 1 AND title IS NOT NULL) GROUP BY commune_key")
 def _(s, d):
     rows = table(s, d, "site_inventory").where("snapshot_no = 1 and title is not null").select("commune_key", "pdf_url", "title").distinct()
     escaped = F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
@@ -452,18 +452,18 @@ def _(s, d):
     return found.groupBy("commune_key").agg(F.min("title").alias("first_title"), F.count("*").alias("links"))
 
 
-@query("url_parts", "T13 Z46 Z13 Z47", "SELECT DISTINCT pdf_url, regexp_extract(pdf_url, '([^/]*)$', 1) AS file, nullif(regexp_extract(pdf_url, '/(20\\d{2})/', 1), '') AS year, regexp_extract(pdf_url, '^https?://([^/]+)', 1) AS host FROM site_inventory")
+@query("url_parts", "T13 Z46", "SELECT DISTINCT pdf_url, regexp_extract(pdf_url, '([^/]*)$', 1) AS file, nullif(regexp_extract(pdf_url, '/(20\\d{2})/', 1), '') AS year, regexp_extract(pdf_url, '^https?://([^/]+)', 1) AS host FROM site_inventory")
 def _(s, d):
     return table(s, d, "site_inventory").select("pdf_url", text.basename(c("pdf_url")).alias("file"), dates.url_year(c("pdf_url")).alias("year"), F.try_parse_url("pdf_url", F.lit("HOST")).alias("host")).distinct()
 
 
-@query("object_types", "T23 T24 Z16-Z18 Z30 Z48", f"""
+@query("object_types", "T23 Z16-Z18", f"""
     SELECT DISTINCT source_title, CASE WHEN contains({_fold('source_title')}, 'interpellation') THEN 'interpellation' WHEN contains({_fold('source_title')}, 'postulat') THEN 'postulat' WHEN contains({_fold('source_title')}, 'motion') THEN 'motion' END AS object_type FROM document_metadata WHERE source_title IS NOT NULL""")
 def _(s, d):
     return docs(s, d).where("source_title is not null").select("source_title", text.object_type(c("source_title")).alias("object_type")).distinct()
 
 
-@query("status_codes", "T25 Z22", "SELECT processing_status, CASE WHEN processing_status LIKE '%valid%' THEN 'valid' WHEN processing_status IS NULL THEN 'unknown' ELSE 'open' END AS label, count(*) AS n FROM document_metadata GROUP BY ALL")
+@query("status_codes", "", "SELECT processing_status, CASE WHEN processing_status LIKE '%valid%' THEN 'valid' WHEN processing_status IS NULL THEN 'unknown' ELSE 'open' END AS label, count(*) AS n FROM document_metadata GROUP BY ALL")
 def _(s, d):
     label = F.when(c("processing_status").contains("valid"), "valid").when(c("processing_status").isNull(), "unknown").otherwise("open")
     return docs(s, d).groupBy("processing_status", label.alias("label")).agg(F.count("*").alias("n"))
@@ -472,25 +472,25 @@ def _(s, d):
 _FACETS = ", ".join(f"CASE WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{n}' END" for n, ws in sorted(text.TOPICS.items()))
 
 
-@query("topic_facets", "T26 Z43", f"SELECT facet, count(*) AS n FROM (SELECT unnest(list_filter([{_FACETS}], lambda x: x IS NOT NULL)) AS facet FROM (SELECT {_fold('title')} AS t FROM document_metadata WHERE title IS NOT NULL)) GROUP BY facet")
+@query("topic_facets", "T26", f"SELECT facet, count(*) AS n FROM (SELECT unnest(list_filter([{_FACETS}], lambda x: x IS NOT NULL)) AS facet FROM (SELECT {_fold('title')} AS t FROM document_metadata WHERE title IS NOT NULL)) GROUP BY facet")
 def _(s, d):
     return docs(s, d).where("title is not null").select(F.explode(text.facets(c("title"), text.TOPICS)).alias("facet")).groupBy("facet").agg(F.count("*").alias("n"))
 
 
-@query("votes", "T28 T29", """
+@query("votes", "", """
     SELECT doc_id, CAST(regexp_extract(text, '(\\d+) voix contre (\\d+)', 1) AS INTEGER) AS yes_votes, CAST(regexp_extract(text, '(\\d+) voix contre (\\d+)', 2) AS INTEGER) AS no_votes FROM documents WHERE regexp_matches(text, '(\\d+) voix contre (\\d+)')""")
 def _(s, d):
     p = r"(\d+) voix contre (\d+)"
     return table(s, d, "documents").where(c("text").rlike(p)).select("doc_id", F.regexp_extract("text", p, 1).cast("int").alias("yes_votes"), F.regexp_extract("text", p, 2).cast("int").alias("no_votes"))
 
 
-@query("citation_lines", "T34 T33 T16 Z32 F22", """
+@query("citation_lines", "", """
     SELECT DISTINCT document_id, concat_ws(' · ', category, title, document_date, file_url) AS line FROM document_metadata""")
 def _(s, d):
     return docs(s, d).select("document_id", F.concat_ws(" · ", "category", "title", "document_date", "file_url").alias("line")).distinct()
 
 
-@query("first_truthy", "F21 Z33 Z36", "SELECT DISTINCT document_id, coalesce(nullif(file_url, ''), nullif(source_page_url, ''), '') AS url, coalesce(nullif(title, ''), nullif(source_title, ''), document_id) AS title FROM document_metadata")
+@query("first_truthy", "F21", "SELECT DISTINCT document_id, coalesce(nullif(file_url, ''), nullif(source_page_url, ''), '') AS url, coalesce(nullif(title, ''), nullif(source_title, ''), document_id) AS title FROM document_metadata")
 def _(s, d):
     return docs(s, d).select("document_id", F.coalesce(text.first_truthy(c("file_url"), c("source_page_url")), F.lit("")).alias("url"), F.coalesce(text.first_truthy(c("title"), c("source_title")), c("document_id")).alias("title")).distinct()
 
@@ -501,7 +501,7 @@ _LONG = "\\b(\\d{1,2})(?:er)?\\s+(janvier|fevrier|mars|avril|mai|juin|juillet|ao
 _MONTH = "CASE {0} " + " ".join(f"WHEN '{m}' THEN '{i:02d}'" for i, m in enumerate("janvier fevrier mars avril mai juin juillet aout septembre octobre novembre decembre".split(), 1)) + " END"
 
 
-@query("long_dates", "D1 D4 Z14 Z45", f"""
+@query("long_dates", "D1", f"""
     SELECT doc_id, strftime(try_strptime(concat(regexp_extract(t, '{_LONG}', 3), '-', {_MONTH.format(f"regexp_extract(t, '{_LONG}', 2)")}, '-', lpad(regexp_extract(t, '{_LONG}', 1), 2, '0')), '%Y-%m-%d'), '%Y-%m-%d') AS day
     FROM (SELECT doc_id, {_fold('text')} AS t FROM documents) WHERE regexp_matches(t, '{_LONG}')""")
 def _(s, d):
@@ -515,7 +515,7 @@ def _(s, d):
     return docs(s, d).where(c("document_date").rlike(r"^\d{4}-\d{2}-\d{2}$")).select("document_date", dates.french_date(c("document_date")).alias("written")).distinct()
 
 
-@query("year_cascade", "D6 D7 D9 D10 F11", """
+@query("year_cascade", "D6 F11", """
     SELECT DISTINCT document_id, coalesce(nullif(CAST(listing_year AS VARCHAR), ''), nullif(left(document_date, 4), '')) AS year, nullif(regexp_extract(file_url, '/(20\\d{2})/', 1), '') AS url_year FROM document_metadata""")
 def _(s, d):
     return docs(s, d).select("document_id", dates.derived_year(c("listing_year"), c("legislature"), c("document_date")).alias("year"), dates.url_year(c("file_url")).alias("url_year")).distinct()
@@ -540,7 +540,7 @@ def _(s, d):
     return rows.select("doc_id", F.size("a").cast("long").alias("n"), F.round(F.aggregate("a", F.lit(0.0), lambda x, y: x + y), 2).alias("total"), F.array_max("a").alias("largest"))
 
 
-@query("content_hashes", "D18-D20 D22", """
+@query("content_hashes", "D18-D20", """
     SELECT doc_id, sha256(trim(regexp_replace(text, '[\\s\\x{A0}\\x{202F}\\x{2007}]+', ' ', 'g'))) AS content_hash, sha256(text) AS raw_hash, 'doc_' || left(sha256(text), 20) AS content_id FROM documents""")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", dates.content_hash(c("text")).alias("content_hash"), dates.raw_hash(c("text")).alias("raw_hash"), dates.content_id(c("text")).alias("content_id"))
@@ -554,7 +554,7 @@ def _(s, d):
     return table(s, d, "municipalities").select("commune_key", dates.hmac_sha256(c("source_domain"), "public test key").alias("fingerprint"), text.valid_email(F.concat(F.lit("greffe@"), "source_domain")).alias("valid"))
 
 
-@query("ocr_need", "D24 S8 Q10", "SELECT document_id, sum(length(content)) AS chars, count(DISTINCT chunk_index) AS pages, sum(length(content)) < greatest(200, 50 * count(DISTINCT chunk_index)) AS needs_ocr FROM chunks GROUP BY document_id")
+@query("ocr_need", "D24", "SELECT document_id, sum(length(content)) AS chars, count(DISTINCT chunk_index) AS pages, sum(length(content)) < greatest(200, 50 * count(DISTINCT chunk_index)) AS needs_ocr FROM chunks GROUP BY document_id")
 def _(s, d):
     grouped = chunks(s, d).groupBy("document_id").agg(F.sum(F.length("content")).alias("chars"), F.count_distinct("chunk_index").alias("pages"))
     return grouped.withColumn("needs_ocr", dates.needs_ocr(c("chars"), c("pages")))
@@ -637,7 +637,7 @@ _REQ = ["document_id", "commune", "category", "document_role", "title", "file_ur
 _MISS = ", ".join(f"CASE WHEN coalesce(CAST({x} AS VARCHAR), '') = '' THEN 'missing_{x}' END" for x in _REQ)
 
 
-@query("preindex_audit", "Q10-Q12 Z52 Z55", f"""
+@query("preindex_audit", "Q10-Q12", f"""
     WITH j AS (SELECT m.*, coalesce(t.chars, 0) AS chars, coalesce(extraction_method IN ('ocr_required', 'native_pdf_pending_ocr'), false) AS pending FROM document_metadata m LEFT JOIN (SELECT document_id, sum(length(content)) AS chars FROM chunks GROUP BY document_id) t USING (document_id)),
     b AS (SELECT document_id, array_to_string(list_filter([{_MISS}, CASE WHEN pending THEN 'ocr_required' END], lambda x: x IS NOT NULL), ',') AS blockers, CASE WHEN chars < 500 AND NOT pending THEN 'very_short_text' ELSE '' END AS warnings FROM j)
     SELECT *, CASE WHEN blockers <> '' THEN 'blocked' WHEN warnings <> '' THEN 'ready_with_warnings' ELSE 'ready' END AS status FROM b""")
@@ -646,7 +646,7 @@ def _(s, d):
     return quality.preindex_audit(docs(s, d), chars, _REQ)
 
 
-@query("record_comparison", "J19 Q13 Q18 A18", """
+@query("record_comparison", "J19 Q18", """
     WITH a AS (SELECT pdf_url, max(title) AS title, max(category) AS category FROM site_inventory WHERE snapshot_no = 1 GROUP BY pdf_url), b AS (SELECT pdf_url, max(title) AS title, max(category) AS category FROM site_inventory WHERE snapshot_no = 6 GROUP BY pdf_url),
     j AS (SELECT coalesce(a.pdf_url, b.pdf_url) AS pdf_url, a.title AS ot, b.title AS nt, a.category AS oc, b.category AS nc FROM a FULL JOIN b ON a.pdf_url = b.pdf_url)
     SELECT pdf_url, 'title' AS field, CASE WHEN ot IS NULL AND nt IS NULL THEN 'both_missing' WHEN nt IS NULL THEN 'only_old' WHEN ot IS NULL THEN 'only_new' WHEN ot = nt THEN 'identical' ELSE 'different' END AS status FROM j
@@ -656,7 +656,7 @@ def _(s, d):
     return quality.compare_records(at(1), at(6), "pdf_url", ["title", "category"])
 
 
-@query("expectation_diff", "Q15 K5", "SELECT 'eval_items' AS name, 250 AS expected, count(*) AS actual FROM eval_items WHERE (SELECT count(*) FROM eval_items) <> 250")
+@query("expectation_diff", "Q15", "SELECT 'eval_items' AS name, 250 AS expected, count(*) AS actual FROM eval_items WHERE (SELECT count(*) FROM eval_items) <> 250")
 def _(s, d):
     n = lambda t: table(s, d, t).agg(F.count("*").alias("value")).select(F.lit(t).alias("name"), "value")
     actual = n("municipalities").unionByName(n("eval_items"))
@@ -675,26 +675,26 @@ def _(s, d):
 # ---- deduplication ---------------------------------------------------------------------------------------------
 
 
-@query("first_occurrence", "R5 R10 R12 S4", "SELECT sha256(text) AS key, arg_min(doc_id, (fetched_at, doc_id)) AS kept, count(DISTINCT doc_id) AS occurrences, arg_max(doc_id, (fetched_at, doc_id)) AS last FROM documents GROUP BY 1")
+@query("first_occurrence", "R5 R10 R12", "SELECT sha256(text) AS key, arg_min(doc_id, (fetched_at, doc_id)) AS kept, count(DISTINCT doc_id) AS occurrences, arg_max(doc_id, (fetched_at, doc_id)) AS last FROM documents GROUP BY 1")
 def _(s, d):
     return dedup.keep_with_occurrences(table(s, d, "documents"), F.sha2("text", 256), "doc_id", c("fetched_at"))
 
 
-@query("dropped_copies", "R6-R8 U4", """
+@query("dropped_copies", "R6-R8", """
     WITH k AS (SELECT doc_id, sha256(text) AS key, CASE WHEN source = 'archives_seances' THEN 1 ELSE 0 END AS rank FROM documents), b AS (SELECT key, arg_min(doc_id, (rank, doc_id)) AS kept, count(*) AS n FROM k GROUP BY key HAVING count(*) > 1)
     SELECT doc_id AS dropped, kept FROM k JOIN b USING (key) WHERE doc_id <> kept""")
 def _(s, d):
     return dedup.dropped_by_content(table(s, d, "documents"), F.sha2("text", 256), "doc_id", (c("source") == "archives_seances").cast("int"))
 
 
-@query("title_aliases", "R9 R14 Z2", f"""
+@query("title_aliases", "R9", f"""
     WITH k AS (SELECT DISTINCT document_id AS id, trim(regexp_replace({_fold('title')}, '[^a-z0-9]+', ' ', 'g')) AS key FROM document_metadata WHERE title IS NOT NULL), g AS (SELECT key, min(id) AS main, count(*) - 1 AS others FROM k WHERE key <> '' GROUP BY key HAVING count(*) > 1)
     SELECT DISTINCT id, main, others FROM k JOIN g USING (key)""")
 def _(s, d):
     return dedup.aliases(docs(s, d), text.normalized_words(c("title")), "document_id")
 
 
-@query("latest_delivery", "U3 U4 R6 Z10", "SELECT document_id, arg_max(processing_status, loaded_at) AS processing_status, max(epoch(loaded_at))::BIGINT AS loaded FROM document_metadata WHERE processing_status IS NOT NULL GROUP BY document_id")
+@query("latest_delivery", "U4 R6", "SELECT document_id, arg_max(processing_status, loaded_at) AS processing_status, max(epoch(loaded_at))::BIGINT AS loaded FROM document_metadata WHERE processing_status IS NOT NULL GROUP BY document_id")
 def _(s, d):
     rows = docs(s, d).where("processing_status is not null")
     return rows.groupBy("document_id").agg(F.max_by("processing_status", "loaded_at").alias("processing_status"), F.max(F.unix_seconds("loaded_at")).alias("loaded"))
@@ -806,12 +806,12 @@ def _(s, d):
     return store.unrelated_counts(rows, rows.where("c_nationkey <> 7 or c_custkey % 2 = 0"), c("c_nationkey") == 7)
 
 
-@query("backfilled", "K13 Z38", "SELECT chunk_id, CASE WHEN trim(coalesce(section_title, '')) = '' THEN left(content, 40) ELSE section_title END AS section_title FROM chunks")
+@query("backfilled", "", "SELECT chunk_id, CASE WHEN trim(coalesce(section_title, '')) = '' THEN left(content, 40) ELSE section_title END AS section_title FROM chunks")
 def _(s, d):
     return store.backfilled(chunks(s, d), "section_title", F.left("content", F.lit(40))).select("chunk_id", "section_title")
 
 
-@query("inventory_log", "J20 I1 K10", """
+@query("inventory_log", "J20 I1", """
     WITH o AS (SELECT pdf_url, max(title) AS title, max(content_length) AS l, max(last_modified) AS m, max(etag) AS e FROM site_inventory WHERE snapshot_no = 2 GROUP BY pdf_url), n AS (SELECT pdf_url, max(title) AS title, max(content_length) AS l, max(last_modified) AS m, max(etag) AS e FROM site_inventory WHERE snapshot_no = 3 GROUP BY pdf_url)
     SELECT n.pdf_url, 'new' AS change_type FROM n ANTI JOIN o USING (pdf_url) UNION ALL SELECT n.pdf_url, 'renamed' FROM n JOIN o USING (pdf_url) WHERE n.title IS DISTINCT FROM o.title
     UNION ALL SELECT n.pdf_url, 'content_changed' FROM n JOIN o USING (pdf_url) WHERE n.l IS NOT NULL AND (n.l IS DISTINCT FROM o.l OR n.m IS DISTINCT FROM o.m OR n.e IS DISTINCT FROM o.e)""")
