@@ -421,11 +421,6 @@ def _(s, d):
     return chunks(s, d).select("chunk_id", text.word_count(c("content")).cast("long").alias("words"))
 
 
-@query("page_markers", "", "SELECT chunk_id, len(regexp_extract_all(content, '\\b\\d{1,3}\\s*/\\s*\\d{1,3}\\b')) AS markers FROM chunks")
-def _(s, d):
-    return chunks(s, d).select("chunk_id", F.regexp_count("content", F.lit(r"\b\d{1,3}\s*/\s*\d{1,3}\b")).cast("long").alias("markers"))
-
-
 @query("quoted_titles", "T10 Z27", "SELECT DISTINCT document_id, trim(regexp_extract(title, '«\\s*([^»]{3,200})\\s*»', 1)) AS phrase FROM document_metadata WHERE length(trim(regexp_extract(title, '«\\s*([^»]{3,200})\\s*»', 1))) >= 6 AND contains(trim(regexp_extract(title, '«\\s*([^»]{3,200})\\s*»', 1)), ' ')")
 def _(s, d):
     return docs(s, d).select("document_id", F.explode(text.quoted_phrases(c("title"))).alias("phrase")).distinct()
@@ -463,12 +458,6 @@ def _(s, d):
     return docs(s, d).where("source_title is not null").select("source_title", text.object_type(c("source_title")).alias("object_type")).distinct()
 
 
-@query("status_codes", "", "SELECT processing_status, CASE WHEN processing_status LIKE '%valid%' THEN 'valid' WHEN processing_status IS NULL THEN 'unknown' ELSE 'open' END AS label, count(*) AS n FROM document_metadata GROUP BY ALL")
-def _(s, d):
-    label = F.when(c("processing_status").contains("valid"), "valid").when(c("processing_status").isNull(), "unknown").otherwise("open")
-    return docs(s, d).groupBy("processing_status", label.alias("label")).agg(F.count("*").alias("n"))
-
-
 _FACETS = ", ".join(f"CASE WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{n}' END" for n, ws in sorted(text.TOPICS.items()))
 
 
@@ -477,19 +466,6 @@ def _(s, d):
     return docs(s, d).where("title is not null").select(F.explode(text.facets(c("title"), text.TOPICS)).alias("facet")).groupBy("facet").agg(F.count("*").alias("n"))
 
 
-@query("votes", "", """
-    SELECT doc_id, CAST(regexp_extract(text, '(\\d+) voix contre (\\d+)', 1) AS INTEGER) AS yes_votes, CAST(regexp_extract(text, '(\\d+) voix contre (\\d+)', 2) AS INTEGER) AS no_votes FROM documents WHERE regexp_matches(text, '(\\d+) voix contre (\\d+)')""")
-def _(s, d):
-    p = r"(\d+) voix contre (\d+)"
-    return table(s, d, "documents").where(c("text").rlike(p)).select("doc_id", F.regexp_extract("text", p, 1).cast("int").alias("yes_votes"), F.regexp_extract("text", p, 2).cast("int").alias("no_votes"))
-
-
-@query("citation_lines", "", """
-    SELECT DISTINCT document_id, concat_ws(' · ', category, title, document_date, file_url) AS line FROM document_metadata""")
-def _(s, d):
-    return docs(s, d).select("document_id", F.concat_ws(" · ", "category", "title", "document_date", "file_url").alias("line")).distinct()
-
-
 @query("first_truthy", "F21", "SELECT DISTINCT document_id, coalesce(nullif(file_url, ''), nullif(source_page_url, ''), '') AS url, coalesce(nullif(title, ''), nullif(source_title, ''), document_id) AS title FROM document_metadata")
 def _(s, d):
     return docs(s, d).select("document_id", F.coalesce(text.first_truthy(c("file_url"), c("source_page_url")), F.lit("")).alias("url"), F.coalesce(text.first_truthy(c("title"), c("source_title")), c("document_id")).alias("title")).distinct()
@@ -806,7 +782,7 @@ def _(s, d):
     return store.unrelated_counts(rows, rows.where("c_nationkey <> 7 or c_custkey % 2 = 0"), c("c_nationkey") == 7)
 
 
-@query("backfilled", "", "SELECT chunk_id, CASE WHEN trim(coalesce(section_title, '')) = '' THEN left(content, 40) ELSE section_title END AS section_title FROM chunks")
+@query("backfilled", "K13", "SELECT chunk_id, CASE WHEN trim(coalesce(section_title, '')) = '' THEN left(content, 40) ELSE section_title END AS section_title FROM chunks")
 def _(s, d):
     return store.backfilled(chunks(s, d), "section_title", F.left("content", F.lit(40))).select("chunk_id", "section_title")
 

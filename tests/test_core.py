@@ -250,3 +250,16 @@ def test_batch_delivered_twice(spark, tmp_path):
     for name in ("a", "b"):  # a lost checkpoint: the first batch comes again
         changes.stream_changes(spark.readStream.schema(cols).parquet(folder), table, log, str(tmp_path / name)).awaitTermination()
     assert [r["change_type"] for r in log.read().collect()] == ["new"] and table.read().count() == 1
+
+
+def test_leading_scores_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    words = "lac route école parc bus vélo piscine budget crédit chauffage arbres quai".split()
+    keys = [" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(40)]
+    rows = [(f"l{i}", f"r{j}", a, b, rng.choice([0.0, 0.08])) for i, a in enumerate(keys[:12]) for j, b in enumerate([*keys, "", None])]
+    pairs = spark.createDataFrame(rows, "l string, r string, lk string, rk string, bonus double")
+    plain = linkage.similarity(pairs, "lk", "rk").withColumn("score", F.least(F.lit(1.0), F.col("score") + F.col("bonus")))
+    best = lambda df: {r.l: (r.r, round(r.score, 9), round(r.margin, 9)) for r in dedup.best_and_margin(df.select("l", "r", "score"), "l", "r", "score").collect()}
+    assert best(linkage.leading_scores(pairs)) == best(plain)
