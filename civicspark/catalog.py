@@ -680,7 +680,9 @@ def _(s, d):
 
 
 def _query_vector(s: SparkSession, d: str) -> list[float]:
-    return table(s, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+    row = table(s, d, "embeddings").where("vec_id = 0").select("embedding").first()
+    # without the row nothing is near
+    return row[0] if row and row[0] else [0.0]
 
 
 @query("vector_topk", "V1 O3 V16 W2", "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) DESC, vec_id LIMIT 10")

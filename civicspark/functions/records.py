@@ -33,7 +33,7 @@ def any_of(text: Column, words: Sequence[str]) -> Column:
 def letter_date(text: Column, role: Column, towns: Sequence[str], chars: int = 1800) -> Column:
     """The date behind the town at the head of a municipal response's letter; null for other roles."""
     head = compact(F.left(fold(text), F.lit(chars)))
-    places = "|".join(rf"\Q{t.lower()}\E" for t in towns)
+    places = "|".join(rf"\Q{t.lower()}\E" for t in towns if t)
     return F.when(role == "municipal_response", dates.long_date(_found(head, rf"\b(?:{places})\s*,?\s+le\s+({dates.LONG_DATE[2:-2]})")))
 
 

@@ -59,12 +59,12 @@ def embedded(inputs: DataFrame, text: str, embedder: Embedder, batch: int = 16,
 
 
 def recognized(pages: DataFrame, cache: DataFrame, recognize, key: str = "page_hash") -> DataFrame:
-    """Text of scanned pages: from the cache where it is, else from ``recognize(bytes) -> str``."""
+    """Text of scanned pages: from the cache where it is, else from ``recognize(bytes) -> str``; a page without content has none."""
     missing = pages.join(cache.select(key), key, "left_anti")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({key: frame[key], "text": [recognize(x) for x in frame["content"]]})
+            yield pd.DataFrame({key: frame[key], "text": [None if x is None else recognize(x) for x in frame["content"]]})
 
     return cache.select(key, "text").unionByName(missing.select(key, F.col("content")).mapInPandas(run, f"{key} string, text string"))
 

@@ -5,6 +5,8 @@ import os
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from civicspark.catalog import CATALOG
 from civicspark.queries import oracle_sql, queries
 
@@ -53,3 +55,21 @@ def test_operators_have_queries():
     covered = " ".join(covers for covers, _, _ in CATALOG.values())
     for code in ("S13", "K7", "F4", "J14", "A22", "W5", "O8", "U4", "T22", "D13", "X8", "G11", "Q16", "R13", "V7", "I3", "Z50"):
         assert code in covered.split()
+
+
+@pytest.fixture(scope="module")
+def odd(spark, data, tmp_path_factory):
+    """The tables empty, and with rows of nulls added."""
+    root = tmp_path_factory.mktemp("odd")
+    for name in os.listdir(data):
+        table = spark.read.parquet(f"{data}/{name}")
+        nulls = table.limit(2).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields])
+        table.limit(0).write.parquet(f"{root}/empty/{name}")
+        table.unionByName(nulls).write.parquet(f"{root}/nulls/{name}")
+    return root
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls"])
+@pytest.mark.parametrize("name", ["agenda_items", "answered_interpellations", "balanced_search", "chunk_windows", "commission_members", "deduplicated_documents", "fuzzy_title_links", "hybrid_search", "letter_dates", "minutes_parts", "motion_parts", "object_cards", "preavis_parts", "preindex_findings", "recognized_pages", "regulation_articles", "removed_blocks", "response_events", "session_items", "teasers", "vector_topk"])
+def test_empty_tables_and_nulls(spark, odd, name, kind):
+    assert queries()[name](spark, f"{odd}/{kind}").count() >= (1 if kind == "nulls" else 0)
