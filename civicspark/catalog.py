@@ -336,12 +336,26 @@ def _(s, d):
     return linkage.with_override(found, given, "k", "v")
 
 
-@query("set_difference", "U1", """
-    SELECT count(*) FILTER (WHERE a.u IS NOT NULL AND b.u IS NOT NULL) AS common, count(*) FILTER (WHERE b.u IS NULL) AS only_old, count(*) FILTER (WHERE a.u IS NULL) AS only_new, count(*) FILTER (WHERE a.u IS NULL OR b.u IS NULL) = 0 AS equal
-    FROM (SELECT DISTINCT pdf_url AS u FROM site_inventory WHERE snapshot_no = 1) a FULL JOIN (SELECT DISTINCT pdf_url AS u FROM site_inventory WHERE snapshot_no = 2) b ON a.u = b.u""")
+def consecutive(s: SparkSession, d: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Each snapshot of the inventory but the last as the one before, and each but the first as the one after; both bear the later number, and ``k`` with the URL."""
+    once = table(s, d, "site_inventory").groupBy("snapshot_no", "pdf_url").agg(*[F.max(x).alias(x) for x in columns])
+    numbers = table(s, d, "site_inventory").select("snapshot_no").distinct()
+    old = once.withColumn("snapshot_no", c("snapshot_no") + 1).join(F.broadcast(numbers), "snapshot_no", "left_semi")
+    new = once.join(F.broadcast(numbers.select((c("snapshot_no") + 1).alias("snapshot_no"))), "snapshot_no", "left_semi")
+    keyed = lambda df: df.withColumn("k", F.concat_ws(" ", "snapshot_no", "pdf_url"))
+    return keyed(old), keyed(new)
+
+
+#: The same in SQL: ``o`` and ``n`` with the later number ``s``.
+_CONSECUTIVE = """x AS (SELECT snapshot_no AS s, pdf_url, max(title) AS title, max(category) AS category, max(content_length) AS l, max(last_modified) AS m, max(etag) AS e FROM site_inventory GROUP BY ALL),
+    o AS (SELECT * REPLACE (s + 1 AS s) FROM x WHERE s + 1 IN (SELECT s FROM x)), n AS (SELECT * FROM x WHERE s - 1 IN (SELECT s FROM x))"""
+
+
+@query("set_difference", "U1", "WITH " + _CONSECUTIVE + """
+    SELECT coalesce(o.s, n.s) AS snapshot_no, count(*) FILTER (WHERE o.s IS NOT NULL AND n.s IS NOT NULL) AS common, count(*) FILTER (WHERE n.s IS NULL) AS only_old, count(*) FILTER (WHERE o.s IS NULL) AS only_new, count(*) FILTER (WHERE o.s IS NULL OR n.s IS NULL) = 0 AS equal
+    FROM o FULL JOIN n ON o.pdf_url = n.pdf_url AND o.s = n.s GROUP BY 1""")
 def _(s, d):
-    inventory = table(s, d, "site_inventory")
-    return linkage.set_difference(inventory.where("snapshot_no = 1"), inventory.where("snapshot_no = 2"), "pdf_url")
+    return linkage.set_difference(*consecutive(s, d, ["title"]), "pdf_url", ["snapshot_no"])
 
 
 # ---- windows and ranks ----------------------------------------------------------------------------------------
@@ -438,13 +452,13 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.length(F.regexp_replace(page, "<[^>]+>", "")).cast("long").alias("chars"), text.strip_tags(page).alias("plain"))
 
 
-@query("listing_links", "S13", "SELECT commune_key, min(title) AS first_title, count(*) AS links FROM (SELECT DISTINCT commune_key, pdf_url, title FROM site_inventory WHERE snapshot_no = 1 AND title IS NOT NULL) GROUP BY commune_key")
+@query("listing_links", "S13", "SELECT snapshot_no, commune_key, min(title) AS first_title, count(*) AS links FROM (SELECT DISTINCT snapshot_no, commune_key, pdf_url, title FROM site_inventory WHERE title IS NOT NULL) GROUP BY ALL")
 def _(s, d):
-    rows = table(s, d, "site_inventory").where("snapshot_no = 1 and title is not null").select("commune_key", "pdf_url", "title").distinct()
+    rows = table(s, d, "site_inventory").where("title is not null").select("snapshot_no", "commune_key", "pdf_url", "title").distinct()
     escaped = F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    page = rows.select("commune_key", F.concat(F.lit('<li><a class="x" href="'), "pdf_url", F.lit('">'), escaped, F.lit("</a></li>")).alias("html"), "title")
-    found = page.select("commune_key", "title", F.explode(html.links(c("html"))).alias("l"))
-    return found.groupBy("commune_key").agg(F.min("title").alias("first_title"), F.count("*").alias("links"))
+    page = rows.select("snapshot_no", "commune_key", F.concat(F.lit('<li><a class="x" href="'), "pdf_url", F.lit('">'), escaped, F.lit("</a></li>")).alias("html"), "title")
+    found = page.select("snapshot_no", "commune_key", "title", F.explode(html.links(c("html"))).alias("l"))
+    return found.groupBy("snapshot_no", "commune_key").agg(F.min("title").alias("first_title"), F.count("*").alias("links"))
 
 
 @query("url_parts", "T13 Z46", "SELECT DISTINCT pdf_url, regexp_extract(pdf_url, '([^/]*)$', 1) AS file, nullif(regexp_extract(pdf_url, '/(20\\d{2})/', 1), '') AS year, regexp_extract(pdf_url, '^https?://([^/]+)', 1) AS host FROM site_inventory")
@@ -622,14 +636,12 @@ def _(s, d):
     return quality.preindex_audit(docs(s, d), chars, _REQ)
 
 
-@query("record_comparison", "J19 Q18", """
-    WITH a AS (SELECT pdf_url, max(title) AS title, max(category) AS category FROM site_inventory WHERE snapshot_no = 1 GROUP BY pdf_url), b AS (SELECT pdf_url, max(title) AS title, max(category) AS category FROM site_inventory WHERE snapshot_no = 6 GROUP BY pdf_url),
-    j AS (SELECT coalesce(a.pdf_url, b.pdf_url) AS pdf_url, a.title AS ot, b.title AS nt, a.category AS oc, b.category AS nc FROM a FULL JOIN b ON a.pdf_url = b.pdf_url)
-    SELECT pdf_url, 'title' AS field, CASE WHEN ot IS NULL AND nt IS NULL THEN 'both_missing' WHEN nt IS NULL THEN 'only_old' WHEN ot IS NULL THEN 'only_new' WHEN ot = nt THEN 'identical' ELSE 'different' END AS status FROM j
-    UNION ALL SELECT pdf_url, 'category', CASE WHEN oc IS NULL AND nc IS NULL THEN 'both_missing' WHEN nc IS NULL THEN 'only_old' WHEN oc IS NULL THEN 'only_new' WHEN oc = nc THEN 'identical' ELSE 'different' END FROM j""")
+@query("record_comparison", "J19 Q18", "WITH " + _CONSECUTIVE + """,
+    j AS (SELECT coalesce(o.s, n.s) || ' ' || coalesce(o.pdf_url, n.pdf_url) AS k, o.title AS ot, n.title AS nt, o.category AS oc, n.category AS nc FROM o FULL JOIN n ON o.pdf_url = n.pdf_url AND o.s = n.s)
+    SELECT k, 'title' AS field, CASE WHEN ot IS NULL AND nt IS NULL THEN 'both_missing' WHEN nt IS NULL THEN 'only_old' WHEN ot IS NULL THEN 'only_new' WHEN ot = nt THEN 'identical' ELSE 'different' END AS status FROM j
+    UNION ALL SELECT k, 'category', CASE WHEN oc IS NULL AND nc IS NULL THEN 'both_missing' WHEN nc IS NULL THEN 'only_old' WHEN oc IS NULL THEN 'only_new' WHEN oc = nc THEN 'identical' ELSE 'different' END FROM j""")
 def _(s, d):
-    at = lambda n: table(s, d, "site_inventory").where(c("snapshot_no") == n).groupBy("pdf_url").agg(F.max("title").alias("title"), F.max("category").alias("category"))
-    return quality.compare_records(at(1), at(6), "pdf_url", ["title", "category"])
+    return quality.compare_records(*consecutive(s, d, ["title", "category"]), "k", ["title", "category"])
 
 
 @query("expectation_diff", "Q15", "SELECT 'eval_items' AS name, 250 AS expected, count(*) AS actual FROM eval_items WHERE (SELECT count(*) FROM eval_items) <> 250")
@@ -763,12 +775,15 @@ def _(s, d):
     return store.upsert(old, new, ["c_custkey"])
 
 
-@query("upserted_coalesced", "K9 K11", """
-    WITH o AS (SELECT pdf_url, max(title) AS title, max(etag) AS etag, min(snapshot_no) AS first_seen FROM site_inventory WHERE snapshot_no = 1 GROUP BY pdf_url), n AS (SELECT pdf_url, max(title) AS title, max(etag) AS etag, min(snapshot_no) AS first_seen FROM site_inventory WHERE snapshot_no = 2 GROUP BY pdf_url)
-    SELECT coalesce(o.pdf_url, n.pdf_url) AS pdf_url, coalesce(n.title, o.title) AS title, coalesce(n.etag, o.etag) AS etag, coalesce(o.first_seen, n.first_seen) AS first_seen FROM o FULL JOIN n ON o.pdf_url = n.pdf_url""")
+@query("upserted_coalesced", "K9", """
+    SELECT pdf_url, arg_max(title, s) FILTER (WHERE title IS NOT NULL) AS title, arg_max(etag, s) FILTER (WHERE etag IS NOT NULL) AS etag, min(s) AS first_seen
+    FROM (SELECT pdf_url, snapshot_no AS s, max(title) AS title, max(etag) AS etag FROM site_inventory GROUP BY ALL) GROUP BY pdf_url""")
 def _(s, d):
     at = lambda n: table(s, d, "site_inventory").where(c("snapshot_no") == n).groupBy("pdf_url").agg(F.max("title").alias("title"), F.max("etag").alias("etag"), F.min("snapshot_no").alias("first_seen"))
-    return store.upsert_coalesced(at(1), at(2), "pdf_url", ["first_seen"])
+    state = at(1)
+    for n in range(2, 7):
+        state = store.upsert_coalesced(state, at(n), "pdf_url", ["first_seen"])
+    return state
 
 
 @query("stale_children", "K4 K19", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_orderkey % 5 = 0 AND l_linenumber > 2 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 2))")
@@ -789,13 +804,12 @@ def _(s, d):
     return store.backfilled(chunks(s, d), "section_title", F.left("content", F.lit(40))).select("chunk_id", "section_title")
 
 
-@query("inventory_log", "J20 I1", """
-    WITH o AS (SELECT pdf_url, max(title) AS title, max(content_length) AS l, max(last_modified) AS m, max(etag) AS e FROM site_inventory WHERE snapshot_no = 2 GROUP BY pdf_url), n AS (SELECT pdf_url, max(title) AS title, max(content_length) AS l, max(last_modified) AS m, max(etag) AS e FROM site_inventory WHERE snapshot_no = 3 GROUP BY pdf_url)
-    SELECT n.pdf_url, 'new' AS change_type FROM n ANTI JOIN o USING (pdf_url) UNION ALL SELECT n.pdf_url, 'renamed' FROM n JOIN o USING (pdf_url) WHERE n.title IS DISTINCT FROM o.title
-    UNION ALL SELECT n.pdf_url, 'content_changed' FROM n JOIN o USING (pdf_url) WHERE n.l IS NOT NULL AND (n.l IS DISTINCT FROM o.l OR n.m IS DISTINCT FROM o.m OR n.e IS DISTINCT FROM o.e)""")
+@query("inventory_log", "J20 I1", "WITH " + _CONSECUTIVE + """
+    SELECT n.s || ' ' || n.pdf_url AS k, 'new' AS change_type FROM n ANTI JOIN o USING (pdf_url, s) UNION ALL SELECT n.s || ' ' || n.pdf_url, 'renamed' FROM n JOIN o USING (pdf_url, s) WHERE n.title IS DISTINCT FROM o.title
+    UNION ALL SELECT n.s || ' ' || n.pdf_url, 'content_changed' FROM n JOIN o USING (pdf_url, s) WHERE n.l IS NOT NULL AND (n.l IS DISTINCT FROM o.l OR n.m IS DISTINCT FROM o.m OR n.e IS DISTINCT FROM o.e)""")
 def _(s, d):
-    at = lambda n: table(s, d, "site_inventory").where(c("snapshot_no") == n).groupBy("pdf_url").agg(*[F.max(x).alias(x) for x in ("title", "content_length", "last_modified", "etag")])
-    return store.change_log(at(2), at(3))
+    old, new = (df.drop("pdf_url").withColumnRenamed("k", "pdf_url") for df in consecutive(s, d, ["title", "content_length", "last_modified", "etag"]))
+    return store.change_log(old, new).withColumnRenamed("pdf_url", "k")
 
 
 @query("cached_vectors", "J9 I2", """
