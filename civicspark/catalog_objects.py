@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from civicspark.catalog import c, chunks, docs, query
 from civicspark.catalog_records import cat, council, lit
 from civicspark.functions import records, text
-from civicspark.operators import linkage, objects, retrieval
+from civicspark.operators import objects
 from civicspark.sources.tables import table
 
 

@@ -447,3 +447,10 @@ def _(s, d):
         spec = question.understand(q, names, {"city": "all"})
         rows.append((q, spec.route, spec.city, spec.doc_type, "-".join(spec.year_range) if spec.year_range else None, spec.article, question.is_complex(q), question.conflict(q, {"city": spec.city or "all"}, towns)))
     return s.createDataFrame(rows, "question string, route string, city string, doc_type string, years string, article string, complex boolean, conflict string")
+
+
+@query("event_windows", "I1 streaming", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def _(s, d):
+    from civicspark.streaming import changes
+
+    return changes.event_windows(table(s, d, "events").where("ts is not null")).select(c("window.start").alias("hour"), "event_type", "n")

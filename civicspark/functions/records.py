@@ -347,10 +347,6 @@ def merged_people(persons: Column) -> Column:
     return F.transform(names, one)
 
 
-#: Groups that sign as one, by how they are named (fixed values).
-GROUPS = {"groupe": "Groupe", "au nom de": "Au nom de", "parti": "Parti"}
-
-
 def label_authors(label: Column) -> Column:
     """The authors a listing's label names: behind ``de``, separated by commas and ``et``, a party in brackets at the end holds for all without one; groups keep their name and have no civility."""
     named = F.regexp_replace(_found(label, r"(?is)^\s*(?:interpellation|postulat|motion)\s+(?:de\s+|du\s+|des\s+|d['’])(.*?)(?:\s*[:«\"].*)?$"), r"\s*,\s*et\s+|\s+et\s+", ", ")

@@ -28,11 +28,6 @@ def dropped_by_content(df: DataFrame, content_key: Column, id_col: str, rank: Co
     return keyed.join(best, "key").where("id <> kept").select(F.col("id").alias("dropped"), "kept").distinct()
 
 
-def dedup_key(role: Column, text: Column, raw: Column, least: int = 120) -> Column:
-    """Role and hash of the text, or of the raw bytes where the text is shorter than ``least`` characters."""
-    return F.concat_ws("|", role, F.when(F.length(text) >= least, F.sha2(text, 256)).otherwise(F.sha2(raw, 256)))
-
-
 def aliases(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     """Ids that share a key: each with the smallest of them and the number of the others."""
     keyed = df.select(key.alias("key"), F.col(id_col).alias("id")).where("key is not null and key <> ''").distinct()
@@ -40,15 +35,6 @@ def aliases(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     return keyed.join(groups, "key").select("id", "main", "others").distinct()
 
 
-def union_first_wins(frames: list[DataFrame], key: str, order: str) -> DataFrame:
-    """The union of several results in which the first one that has a key wins; its place is kept as ``stage``."""
-    out = None
-    for stage, frame in enumerate(frames):
-        part = frame.withColumn("stage", F.lit(stage))
-        out = part if out is None else out.unionByName(part)
-    return keep_first(out, [key], [F.col("stage"), F.col(order)])
-
-
 def interleave(df: DataFrame, group: str, order: list[Column], id_col: str, limit: int | None = None) -> DataFrame:
     """Round robin over the groups: first the best row of each, then the second; an id comes once.
 

@@ -1,4 +1,7 @@
-"""Audits of documents and chunks: issues, severities, reports."""
+"""Audits of documents and chunks: issues, severities, reports.
+
+Names of issues and reasons, and the limits they stand for, are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -148,9 +148,3 @@ def responses(documents: DataFrame) -> DataFrame:
     objects = rows.where(F.col("document_role").isin("interpellation_text", "postulat_text", "postulate_text", "motion_text")).select("key", F.col("document_id").alias("object_id"))
     answers = rows.where(F.col("document_role") == "municipal_response").select("key", F.col("document_id").alias("response_id"))
     return objects.join(answers, "key", "left").select("object_id", "response_id")
-
-
-def resolvable(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """Objects with how many of their links lead to an existing target, and the first one; ``edges``: object_id, position, target_id."""
-    found = edges.join(targets.select("target_id").distinct(), "target_id")
-    return found.groupBy("object_id").agg(F.count("*").alias("links"), F.min_by("target_id", F.struct("position", "target_id")).alias("first_target"))
