@@ -66,7 +66,6 @@ STREETS_IT = "via viale piazza piazzale corso vicolo strada largo salita contrad
 STREETS_EN = "Road Street Lane Avenue Close Way Drive Court Square Place Gardens Terrace Crescent Hill Row Grove".split()
 STREET_ONLY = re.compile(rf"(?<!\w)(?:{STREET_FR}|(?i:via|viale|piazza|piazzale|corso|vicolo))\s+{LINK_FR}(?:(?i:dei|delle|della|del)\s)?[{UP}][\w’'-]*")
 IN_WORD = frozenset("_.+-")
-NAME = re.compile(rf"(?:{INIT}|{WORD})(?:[ \xa0](?:{PARTICLE}[ ]?)?(?:{INIT}|{WORD}))?")
 #: What titles and signatures are found by.
 TITLE_WORDS = "m. mm. mr mme mlle monsieur madame mademoiselle messieurs mesdames herr frau signor sig. mrs ms miss dr maître me".split()
 SIGNATURES = "signé gezeichnet signed firmato unterzeichnet".split()
@@ -91,7 +90,6 @@ INITIAL = re.compile(rf"\b[{UP}]\.(?:-[{UP}]\.)?")
 #: Two capitalized words that fill a place in a list or a line, as names do, and places.
 PAIR = re.compile(rf"(?<![\w’'-]){WORD} {WORD}(?=[,.;\n]|$)")
 PAIR_BEFORE = re.compile(r"(?:^|[:,;] |\b(?:et|e|und|and) |\n)$")
-IS_INIT = re.compile(rf"{INIT}$")
 AFTER_TITLE = re.compile(rf"(?<!\w){TITLE}[ \xa0](?:{PARTICLE} )?$")
 PERSON_AFTER = re.compile(r",\s(?:of|wohnhaft|née?|domicili)")
 
