@@ -147,7 +147,7 @@ def _readings(counts: DataFrame) -> DataFrame:
     """Words that may be misread and the forms they may stand for: ``word``, ``form``, and how often the form is found (``m``)."""
     whole = counts.where("kind = 'w'").select(F.col("key").alias("word"), "n")
     broken = counts.where("kind = 'b'").select(F.replace("key", F.lit("\t"), F.lit("")).alias("word"), "n")
-    words = whole.unionByName(broken).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("word").rlike(r"\p{L}") & (F.length("word").between(2, 40)))
+    words = whole.unionByName(broken).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 2))
 
     def skeletal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -162,10 +162,9 @@ def _readings(counts: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["word", "n", "skeleton"])
 
     groups = words.mapInPandas(skeletal, "word string, n long, skeleton string")
-    # of a group only its three most frequent forms are taken into account
-    ranked = groups.where(~F.col("word").rlike(r"[|†`0-9]")).groupBy("skeleton").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.col("n").alias("m"), F.col("word").alias("form"))), asc=False), 1, 3).alias("best"))
-    forms = ranked.select("skeleton", F.explode("best").alias("b")).select("skeleton", "b.m", "b.form")
-    pairs = groups.join(forms, "skeleton").where((F.col("word") != F.col("form")) & (F.col("m") >= F.greatest(F.lit(LEAST), F.col("n") * RATIO)))
+    # every form of a group that is frequent enough for the word is a reading of it
+    forms = groups.where((F.col("n") >= LEAST) & ~F.col("word").rlike(r"[|†`0-9]")).select("skeleton", F.col("n").alias("m"), F.col("word").alias("form"))
+    pairs = groups.join(forms, "skeleton").where((F.col("word") != F.col("form")) & (F.col("m") >= F.col("n") * RATIO))
     # a smudge may stand for any letter, other words only for those with the same skeleton
     return pairs.where(~F.col("skeleton").contains("|") | F.col("word").contains("|")).groupBy("word", "form").agg(F.max("m").alias("m"))
 

@@ -115,6 +115,19 @@ def test_noise(spark):
     assert text[0] == "La commission demande la transparence du crédit au vice-président."
 
 
+def test_every_frequent_form_is_a_reading(spark):
+    long = "a" * 30 + "motion" * 4
+    counts = [("tata", 90), ("lata", 80), ("tala", 70), ("lala", 60), ("lata1", 9), ("ta1a", 1), (long, 40), (long.replace("m", "rn", 1), 1)]
+    frame = spark.createDataFrame([("w", *c) for c in counts], "kind string, key string, n long")
+    got = {(r["word"], r["form"]): r["m"] for r in scans._readings(frame).collect()}
+    assert got == {("ta1a", "tata"): 90, ("ta1a", "lata"): 80, ("ta1a", "tala"): 70, ("ta1a", "lala"): 60, (long.replace("m", "rn", 1), long): 40}
+    # the fourth form is the one that stands behind the same word
+    texts = [" ".join(f"un {w}" for w in ["tata"] * 90 + ["lata"] * 80 + ["tala"] * 70) + " du lala" * 60, "du ta1a"]
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, content string")
+    assert {tuple(r) for r in scans.noise_kinds(chunks).collect()} == {("c1", "characters")}
+    assert scans.scan_lines(chunks).where("id = 'c1'").collect()[0]["lines"][0]["text"] == "du lala"
+
+
 def test_no_scans(spark):
     assert scans.noise_kinds(spark.createDataFrame([], "chunk_id string, content string")).count() == 0
 
