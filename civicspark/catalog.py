@@ -295,11 +295,10 @@ def _(s, d):
 def _(s, d):
     once = docs(s, d).groupBy("document_id").agg(F.max("title").alias("title"), F.max("source_title").alias("source_title"))
     pieces = chunks(s, d).groupBy("document_id", "chunk_index", "chunk_id").agg(F.max("content").alias("content")).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "content"))).alias("pieces"))
-    texts = once.join(pieces, "document_id", "left").select(c("document_id").alias("r"), F.concat_ws(" ", "source_title", F.array_join("pieces.content", " ")).alias("text"))
+    texts = once.join(pieces, "document_id", "left").select(c("document_id").alias("r"), F.concat_ws(" ", "source_title", F.array_join("pieces.content", " ")).alias("text"), linkage.title_key(c("source_title")).alias("source_key"))
     # the title in source title and text, or its key in that of the source title
-    keys = linkage.response_match(once.select(c("document_id").alias("l"), linkage.title_key(c("title")).alias("title")), once.select(c("document_id").alias("r"), linkage.title_key(c("source_title")).alias("text")))
-    both = linkage.response_match(once.select(c("document_id").alias("l"), "title"), texts).unionByName(keys)
-    return both.groupBy("l", "r").agg(F.max("shared").alias("shared"), F.max("coverage").alias("coverage"), F.max("exact_title").alias("exact_title"))
+    titles = once.select(c("document_id").alias("l"), "title", linkage.title_key(c("title")).alias("title_key"))
+    return linkage.response_match(titles, texts, (("title", "text"), ("title_key", "source_key")))
 
 
 @query("title_contained_links", "J13", f"""

@@ -178,6 +178,38 @@ def test_response_match(spark):
     assert got == {("a", "r1", 2, 1.0, True), ("b", "r2", 1, 1.0, True), ("c", "r2", 4, 1.0, False)}
 
 
+def test_response_match_against_all_pairs(spark, monkeypatch):
+    """In blocks, over two pairs of columns, without a shuffle of the pairs."""
+    import random
+
+    monkeypatch.setattr(linkage, "TITLES", 9)
+    monkeypatch.setattr(linkage, "TEXTS", 7)
+    monkeypatch.setattr(linkage, "PAIRS", 5)
+    rng = random.Random(3)
+    words = "bus nuit bourg lac de la un velo velos garderie ecole rue".split()
+    text_of = lambda least, most: None if rng.random() < 0.1 else " ".join(rng.choices(words, k=rng.randint(least, most)))
+    left = [(f"l{i:02}", text_of(0, 6), text_of(1, 3)) for i in range(40)] + [("l40", "us", "elo"), ("l41", "lo garderie", ""), ("l42", "o un v", None), (None, "bus", "bus")]
+    right = [(f"r{i:02}", text_of(0, 12), text_of(0, 4)) for i in range(30)] + [(None, "bus nuit", "bus")]
+
+    def match(title, text):
+        own = {w for w in (title or "").split() if len(w) > 2 and w not in linkage.TITLE_STOPWORDS}
+        shared = len(own & set((text or "").split()))
+        exact = bool(title) and title in (text or "")
+        covered = len(own) > 1 and shared >= min(4, len(own)) and shared / len(own) >= 0.72
+        return (shared, round(shared / max(1, len(own)), 6), exact) if exact or covered else None
+
+    want = {}
+    for a, *titles in left:
+        for b, *texts in right:
+            if a and b and (found := [m for m in map(match, titles, texts) if m]):
+                want[a, b] = tuple(map(max, zip(*found)))
+    frames = spark.createDataFrame(left, "l string, x string, y string"), spark.createDataFrame(right, "r string, u string, v string")
+    pairs = linkage.response_match(*frames, (("x", "u"), ("y", "v")))
+    got = pairs.collect()
+    assert {(r["l"], r["r"]): tuple(r)[2:] for r in got} == want and len(got) == len(want) > 100
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_audit_helpers(spark):
     with pytest.raises(ValueError):
         quality.one_row(spark.range(2), "regulation")
