@@ -5,12 +5,15 @@ stored in one leaf, and searches the leaves in the order in which a priority
 queue over the tree's nodes reaches them, best bin first.  How many leaves are
 visited is calibrated: for a set of queries the exact neighbours are computed,
 and visits are widened until the wanted share of them lies in a visited leaf.
-Vectors and visits meet in one shuffle by leaf; large leaves are cut into
-shards, so no task holds more than a bounded number of vectors.
+Vectors and visits meet in a shuffle by region, a run of neighbouring leaves,
+so a query is sent once for all leaves of a region; large regions are cut into
+shards, so no task holds more than a bounded number of vectors.  Regions are
+taken in rounds, whose shuffles hold a bounded multiple of the vectors.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +33,12 @@ BRANCHES = 16
 MAX_LEAVES = 32_768
 #: Vectors of a leaf, on average.
 LEAF_ROWS = 1600
-#: Vectors of a shard of a leaf, on average at most.
-SHARD_ROWS = 6_000
+#: Leaves of a region: neighbours in the tree, as leaves are numbered along its branches.
+REGION_LEAVES = 16
+#: Vectors of a shard of a region, on average at most; it holds up to QUERY_SHARE times as many queries.
+SHARD_ROWS, QUERY_SHARE = 30_000, 4
+#: Copies of the vectors that are shuffled in a round, of stored ones and of queries.
+ROUND_COPIES = 4
 #: Leaves that a query may visit at first; calibration doubles them until the recall is reached, with all leaves at the latest.
 FIRST_VISITS = 64
 
@@ -291,58 +298,106 @@ def nearest(
     tree = Tree.fit(sample, max(1.0, len(sample) / leaves))
     ids, queries = _sample(units, rows, CALIBRATION_QUERIES, width, "calibration")
     widest, most = _calibrate(units, tree, ids, queries, k, min_similarity, recall)
-    shared = vectors.sparkSession.sparkContext.broadcast(tree)
+    shared, size = vectors.sparkSession.sparkContext.broadcast(tree), REGION_LEAVES
 
     def place(ids: pa.Array, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         for lo in range(0, len(x), 2048):
             part = x[lo : lo + 2048]
             home, order = tree.home(part), tree.visits(part, most, widest)[0]
-            n = len(part)
-            visit = [pa.array(row[row >= 0]) for row in order]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, visit)]).astype(np.int32)), pa.concat_arrays(visit))
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, n), _blobs(part), pa.array(home), lists], ["id", "vec", "home", "visit"])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, len(part)), _blobs(part), pa.array(home), _by_region(order, size)], ["id", "vec", "home", "visit"])
 
-    placed = cut(_units(given, width, place, "id string, vec binary, home int, visit array<int>"))
+    placed = cut(_units(given, width, place, "id string, vec binary, home int, visit array<struct<region:int,leaves:array<int>>>"))
     return _meet(placed, k, width, min_similarity)
 
 
-def _meet(placed: DataFrame, k: int, width: int, least: float) -> DataFrame:
-    """Vectors and visits brought together by leaf, and the k best of each query.
+def _by_region(order: np.ndarray, size: int) -> pa.ListArray:
+    """The leaves that each row visits (-1 is none), as a list of regions, of ``size`` leaves, with their leaves."""
+    row, _ = np.nonzero(order >= 0)
+    leaf = order[order >= 0]
+    by = np.lexsort((leaf, row))
+    row, leaf = row[by], leaf[by].astype(np.int32)
+    region = leaf // size
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (region[1:] != region[:-1])][: len(row)])
+    leaves = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(leaf))
+    regions = pa.StructArray.from_arrays([pa.array(region[first]), leaves], ["region", "leaves"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(order) + 1)).astype(np.int32)), regions)
+
 
-    A leaf is cut into as many shards as its own rows need, its queries into as
-    many parts, so no group holds more than about SHARD_ROWS of each.
+def _rounds(placed: DataFrame) -> list[list[tuple[int, int, int, int]]]:
+    """The shards of all regions by round: region, shard, shards of the region, and parts of its queries.
+
+    A region's vectors are dealt out to as many shards, its queries to as many
+    parts, as keep both bounded.  Vectors are copied for each part, queries for
+    each shard.
     """
-    # one row for each leaf, at most MAX_LEAVES
-    sizes = placed.groupBy(F.col("home").alias("leaf")).agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards")).where("shards > 1")
-    many = {r["leaf"]: r["shards"] for r in sizes.collect()}
-    if many:
-        table = F.broadcast(placed.sparkSession.createDataFrame(list(many.items()), "leaf int, shards int"))
-        homes = placed.join(table, F.col("home") == F.col("leaf"), "left").select("id", "vec", F.col("home").alias("leaf"), F.coalesce("shards", F.lit(1)).alias("shards"))
-        visits = placed.select(F.explode("visit").alias("leaf"), "id", "vec").join(table, "leaf", "left").select("id", "vec", "leaf", F.coalesce("shards", F.lit(1)).alias("shards"))
-    else:
-        homes = placed.select("id", "vec", F.col("home").alias("leaf"), F.lit(1).alias("shards"))
-        visits = placed.select("id", "vec", F.explode("visit").alias("leaf"), F.lit(1).alias("shards"))
-    own = F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")
-    part = F.pmod(F.xxhash64("id", F.lit("q")), F.col("shards")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    # stored once for each part of the queries, searched once for each shard of the leaf
-    stored = homes.select("leaf", own.alias("shard"), every.alias("part"), F.lit(True).alias("stored"), "id", "vec")
-    asked = visits.select("leaf", every.alias("shard"), part.alias("part"), F.lit(False).alias("stored"), "id", "vec")
+    stored = placed.groupBy(F.floor(F.col("home") / REGION_LEAVES).cast("int").alias("region")).agg(F.count("*").alias("n"))
+    asked = placed.select(F.explode("visit.region").alias("region")).groupBy("region").agg(F.count("*").alias("q"))
+    # a row for each region, at most MAX_LEAVES by REGION_LEAVES
+    sizes = sorted(tuple(r) for r in stored.join(asked, "region").select("region", "n", "q").collect())
+    most, held, out = ROUND_COPIES * sum(n for _, n, _ in sizes), 0, [[]]
+    for region, n, q in sizes:
+        shards, parts = -(-n // SHARD_ROWS), -(-q // (SHARD_ROWS * QUERY_SHARE))
+        for shard in range(shards):
+            copies = n // shards * parts + q
+            if out[-1] and held + copies > most:
+                out.append([])
+                held = 0
+            out[-1].append((region, shard, shards, parts))
+            held += copies
+    return out
+
+
+def _meet(placed: DataFrame, k: int, width: int, least: float) -> DataFrame:
+    """Vectors and visits brought together by region, in rounds, and the k best of each query."""
+    spark = placed.sparkSession
+    rounds = _rounds(placed)
+    best = None
+    for shards in rounds:
+        found = _best(_searched(placed, shards, k, width, least), k)
+        if len(rounds) > 1:
+            found = cut(found)
+            # the shuffle files of a round are removed when nothing refers to them any more
+            gc.collect()
+            spark._jvm.System.gc()
+        best = found if best is None else best.unionByName(found)
+    if len(rounds) > 1:
+        best = _best(best.select("id", F.explode("best").alias("b")).select("id", "b.neighbor", (-F.col("b.less")).alias("similarity")), k)
+    return best.select("id", F.explode("best").alias("b")).select("id", F.col("b.neighbor").alias("neighbor"), (-F.col("b.less")).alias("similarity"))
+
+
+def _best(met: DataFrame, k: int) -> DataFrame:
+    return met.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("less"), "neighbor"))), 1, k).alias("best"))
+
+
+def _searched(placed: DataFrame, shards: list[tuple[int, int, int, int]], k: int, width: int, least: float) -> DataFrame:
+    """The k best of each query in each leaf that it visits, among the vectors of the given shards."""
+    table = F.broadcast(placed.sparkSession.createDataFrame(shards, "region int, shard int, shards int, parts int"))
+    homes = placed.select("id", "vec", "home", F.floor(F.col("home") / REGION_LEAVES).cast("int").alias("region")).join(table, "region").where(F.pmod(F.xxhash64("id"), "shards") == F.col("shard"))
+    # stored once for each part of the queries, searched once for each shard of the region
+    stored = homes.select("region", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("stored"), "id", "vec", F.array("home").alias("leaves"))
+    visits = placed.select("id", "vec", F.explode("visit").alias("v")).select("id", "vec", "v.region", "v.leaves").join(table, "region")
+    asked = visits.select("region", "shard", F.pmod(F.xxhash64("id", F.lit("q")), "parts").cast("int").alias("part"), F.lit(False).alias("stored"), "id", "vec", "leaves")
 
     def search(table: pa.Table) -> pa.Table:
         is_stored = np.asarray(table.column("stored"))
         ids = np.asarray(table.column("id").to_pylist(), object)
         x = _rows(table.column("vec"), width)
-        kept, first = np.unique(ids[is_stored], return_index=True) if is_stored.any() else (np.zeros(0, object), np.zeros(0, int))
-        y = x[is_stored][first]
+        leaves = table.column("leaves").combine_chunks()
+        leaf, owner = np.asarray(leaves.flatten()), np.repeat(np.arange(len(ids)), np.asarray(leaves.value_lengths()))
+        by = np.argsort(leaf, kind="stable")
+        leaf, owner = leaf[by], owner[by]
         out_id, out_nb, out_sim = [], [], []
-        if len(kept):
-            q_ids, q_first = np.unique(ids[~is_stored], return_index=True) if (~is_stored).any() else (np.zeros(0, object), np.zeros(0, int))
-            q = x[~is_stored][q_first]
-            same = np.searchsorted(kept, q_ids) if len(q_ids) else np.zeros(0, int)
+        for own in np.split(owner, np.flatnonzero(np.diff(leaf)) + 1):
+            here, there = own[is_stored[own]], own[~is_stored[own]]
+            if not len(here) or not len(there):
+                continue
+            kept, first = np.unique(ids[here], return_index=True)
+            q_ids, q_first = np.unique(ids[there], return_index=True)
+            y, q = x[here[first]], there[q_first]
+            same = np.searchsorted(kept, q_ids)
             for lo in range(0, len(q), 1024):
-                sims = q[lo : lo + 1024] @ y.T
+                sims = x[q[lo : lo + 1024]] @ y.T
                 at = same[lo : lo + 1024]
                 inside = np.flatnonzero(at < len(kept))
                 inside = inside[kept[at[inside]] == q_ids[lo + inside]]
@@ -356,11 +411,7 @@ def _meet(placed: DataFrame, k: int, width: int, least: float) -> DataFrame:
         cat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
         return pa.table({"id": cat(out_id, pa.string()), "neighbor": cat(out_nb, pa.string()), "similarity": cat(out_sim, pa.float32())})
 
-    met = stored.unionByName(asked).groupBy("leaf", "shard", "part").applyInArrow(search, "id string, neighbor string, similarity float")
-    best = met.groupBy("id").agg(
-        F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("less"), "neighbor"))), 1, k).alias("best")
-    )
-    return best.select("id", F.explode("best").alias("b")).select("id", F.col("b.neighbor").alias("neighbor"), (-F.col("b.less")).alias("similarity"))
+    return stored.unionByName(asked).groupBy("region", "shard", "part").applyInArrow(search, "id string, neighbor string, similarity float")
 
 
 def similar_chunks(chunks: DataFrame, k: int = 5, min_similarity: float = 0.85) -> DataFrame:

@@ -464,3 +464,29 @@ def test_hot_leaf_and_widening(spark, monkeypatch):
     exact = np.sort(sims, 1)[:, -5:]
     hit = sum(int((np.array(got.get(f"v{i:03}", [])) >= exact[i, 0] - 1e-4).sum()) for i in range(600))
     assert hit >= 0.93 * 3000 and all(min(got[f"v{i:03}"]) > 0.999 for i in range(200))
+
+
+def test_vectors_meet_in_rounds(spark, monkeypatch):
+    """What is shuffled at a time is bounded by the vectors, however many leaves they visit; nothing is lost for it."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(f"v{i:03}", [float(a) for a in v]) for i, v in enumerate(rng.normal(size=(500, 8)))]
+    frame = spark.createDataFrame(rows, "id string, v array<float>")
+    run = lambda: {tuple(r)[:2] for r in neighbors.nearest(frame, "id", "v", 5, 8, leaf_rows=20).collect()}
+    whole, sent = run(), []
+    searched = neighbors._searched
+    monkeypatch.setattr(neighbors, "_searched", lambda placed, shards, *a: sent.append(placed.count()) or searched(placed, shards, *a))
+    monkeypatch.setattr(neighbors, "ROUND_COPIES", 1)
+    monkeypatch.setattr(neighbors, "REGION_LEAVES", 3)
+    monkeypatch.setattr(neighbors, "SHARD_ROWS", 50)
+    assert run() == whole and len(whole) == 2500 and len(sent) > 3
+
+
+def test_visits_by_region():
+    import numpy as np
+
+    order = np.array([[40, 3, 17, 2], [5, -1, -1, -1], [-1, -1, -1, -1], [16, 31, -1, -1]], np.int32)
+    regions = lambda *p: [{"region": r, "leaves": v} for r, v in p]
+    assert neighbors._by_region(order, 16).to_pylist() == [regions((0, [2, 3]), (1, [17]), (2, [40])), regions((0, [5])), [], regions((1, [16, 31]))]
+    assert neighbors._by_region(order[:0], 16).to_pylist() == [] and neighbors._by_region(order[2:3], 16).to_pylist() == [[]]
